@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusmill.plans import packed_fields
+
 FLAGSHIP = "grf_pagerank"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(packed_fields.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
