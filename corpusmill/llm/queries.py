@@ -26,8 +26,56 @@ def p9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(docs, table(spark, sf_dir, "pack_capacities"))
 
 
+def _node_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rec_kind, row_id, id, lang and text of both node tables; English is the language of catechism_nodes."""
+    n = table(spark, sf_dir, "catechism_nodes").select(F.lit("catechism_node").alias("rec_kind"), "row_id", "id", F.lit("en").alias("lang"), "text")
+    return n.unionByName(table(spark, sf_dir, "localized_nodes").select(F.lit("localized_node").alias("rec_kind"), "row_id", "id", "lang", "text"))
+
+
+def p6_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one form of each node text."""
+    from corpusmill.llm.lookalike import canonical, frequent_words
+
+    nodes = _node_texts(spark, sf_dir)
+    return nodes.select("rec_kind", "row_id", canonical(F.col("text"), frequent_words(nodes)).alias("form"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of rows of one id (and language) whose texts look the same but differ in their characters."""
+    from corpusmill.llm.lookalike import alike_pairs, frequent_words
+
+    nodes = _node_texts(spark, sf_dir)
+    return alike_pairs(nodes, frequent_words(nodes), ["rec_kind", "id", "lang"]).select("rec_kind", "row_id_a", "row_id_b")
+
+
+def _garble_model(spark: SparkSession, sf_dir: str):
+    from corpusmill.llm.garble import corpus_counts
+
+    texts = table(spark, sf_dir, "localized_nodes").select("text").unionByName(table(spark, sf_dir, "footnotes").select("text"))
+    return corpus_counts(texts)
+
+
+def _garble_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    loc = table(spark, sf_dir, "localized_nodes").select(F.lit("localized_node").alias("rec_kind"), F.col("row_id").alias("rec_id"), "text")
+    return loc.unionByName(table(spark, sf_dir, "footnotes").select(F.lit("footnote").alias("rec_kind"), F.col("note_key").alias("rec_id"), "text"))
+
+
+def p1_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each garbled record with its restored text and the number of garbled stretches."""
+    from corpusmill.llm.garble import restored
+
+    rows = _garble_rows(spark, sf_dir).where(~F.col("text").rlike(r"\A[\x00-\x7F]*\z"))  # texts of ASCII only hold no garbled sequence
+    out = rows.select("rec_kind", "rec_id", restored(F.col("text"), *_garble_model(spark, sf_dir)).alias("r"))
+    return out.select("rec_kind", "rec_id", F.col("r.text").alias("text"), F.col("r.garbled").alias("garbled")).where("garbled > 0")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rec_kind and rec_id of each record with a garbled sequence."""
+    return p1_restored(spark, sf_dir).select("rec_kind", "rec_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p8_ids": p8_ids, "p9_packing": p9_packing}
+    return {"p1_found": p1_found, "p1_restored": p1_restored, "p6_found": p6_found, "p6_canonical": p6_canonical, "p8_ids": p8_ids, "p9_packing": p9_packing}
 
 
 def oracle_sql() -> dict[str, str]:
