@@ -331,3 +331,15 @@ def restored(text: Column, counts: lm.Counts, alphabet: dict[str, float]) -> Col
             yield pd.DataFrame({"text": [g[0] for g in got], "garbled": np.array([g[1] for g in got], dtype="int32")})
 
     return run(text)
+
+
+def is_garbled(text: Column, counts: lm.Counts, alphabet: dict[str, float]) -> Column:
+    """Whether the text holds a garbled sequence; false for null and for ASCII texts, which need no search."""
+
+    @F.pandas_udf("boolean")
+    def run(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        r = Restorer(counts, alphabet)
+        for s in series:
+            yield pd.Series([isinstance(t, str) and not t.isascii() and r.decode(t)[1] > 0 for t in s], dtype=bool)
+
+    return run(text)

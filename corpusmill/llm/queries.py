@@ -74,8 +74,42 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_restored(spark, sf_dir).select("rec_kind", "rec_id")
 
 
+def _legible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Node texts of both tables that are not null and that p1_found does not list."""
+    from corpusmill.llm.garble import is_garbled
+
+    nodes = _node_texts(spark, sf_dir).where("text IS NOT NULL")
+    loc = nodes.where("rec_kind = 'localized_node'")
+    return nodes.where("rec_kind = 'catechism_node'").unionByName(loc.where(~is_garbled(F.col("text"), *_garble_model(spark, sf_dir))))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Start of each sentence unit of the legible node texts."""
+    from corpusmill.llm import sentences
+
+    splitter = sentences.train(_node_texts(spark, sf_dir))
+    starts = sentences.unit_starts(F.col("text"), splitter)
+    return _legible(spark, sf_dir).select("rec_kind", "row_id", F.explode(starts).alias("sent_start"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of sentence units, of the first row of each id and of each id and language, that translate one another."""
+    from corpusmill.llm import align, sentences
+    from corpusmill.llm.garble import is_garbled
+    from corpusmill.session import materialize
+
+    nodes, loc = table(spark, sf_dir, "catechism_nodes"), table(spark, sf_dir, "localized_nodes")
+    left = align.first_rows(nodes, ["id"]).withColumnRenamed("text", "node_text").where("node_text IS NOT NULL")
+    right = align.first_rows(loc, ["id", "lang"]).withColumnRenamed("text", "loc_text").where("loc_text IS NOT NULL")
+    right = right.where(~is_garbled(F.col("loc_text"), *_garble_model(spark, sf_dir)))
+    pairs = materialize(left.join(right, "id").select("id", "lang", "node_text", "loc_text"))
+    splitter = sentences.train(_node_texts(spark, sf_dir))
+    lexicon = align.train(materialize(align.unit_lists(pairs, splitter)))
+    return align.found(pairs, splitter, lexicon)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_restored": p1_restored, "p6_found": p6_found, "p6_canonical": p6_canonical, "p8_ids": p8_ids, "p9_packing": p9_packing}
+    return {"p1_found": p1_found, "p1_restored": p1_restored, "p3_found": p3_found, "p7_found": p7_found, "p6_found": p6_found, "p6_canonical": p6_canonical, "p8_ids": p8_ids, "p9_packing": p9_packing}
 
 
 def oracle_sql() -> dict[str, str]:
