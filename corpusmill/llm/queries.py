@@ -108,8 +108,15 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.found(pairs, splitter, lexicon)
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The work that each reference without a canonical label names, or 'none'."""
+    from corpusmill.llm.reference import resolve
+
+    return resolve(table(spark, sf_dir, "external_references"), table(spark, sf_dir, "external_sources"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_restored": p1_restored, "p3_found": p3_found, "p7_found": p7_found, "p6_found": p6_found, "p6_canonical": p6_canonical, "p8_ids": p8_ids, "p9_packing": p9_packing}
+    return {"p1_found": p1_found, "p1_restored": p1_restored, "p2_found": p2_found, "p3_found": p3_found, "p7_found": p7_found, "p6_found": p6_found, "p6_canonical": p6_canonical, "p8_ids": p8_ids, "p9_packing": p9_packing}
 
 
 def oracle_sql() -> dict[str, str]:
