@@ -115,8 +115,16 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve(table(spark, sf_dir, "external_references"), table(spark, sf_dir, "external_sources"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id and line_no of each line of a page's main body."""
+    from corpusmill.llm import pages
+    from corpusmill.session import materialize
+
+    return pages.body_lines(materialize(pages.lines(table(spark, sf_dir, "source_pages"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_restored": p1_restored, "p2_found": p2_found, "p3_found": p3_found, "p7_found": p7_found, "p6_found": p6_found, "p6_canonical": p6_canonical, "p8_ids": p8_ids, "p9_packing": p9_packing}
+    return {"p1_found": p1_found, "p1_restored": p1_restored, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p7_found": p7_found, "p6_found": p6_found, "p6_canonical": p6_canonical, "p8_ids": p8_ids, "p9_packing": p9_packing}
 
 
 def oracle_sql() -> dict[str, str]:
