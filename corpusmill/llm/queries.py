@@ -123,8 +123,24 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.body_lines(materialize(pages.lines(table(spark, sf_dir, "source_pages"))))
 
 
+def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of each document's words that lie in link lists, tag lists and menus."""
+    from corpusmill.llm import spam
+    from corpusmill.session import materialize
+
+    observed = materialize(spam.observe(table(spark, sf_dir, "documents")))
+    return spam.shares(observed, spam.train(observed)).withColumnRenamed("id", "doc_id")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose words are mostly keywords, links or tags."""
+    from corpusmill.llm import spam
+
+    return p10_shares(spark, sf_dir).where(F.col("share") > spam.SHARE).select("doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_restored": p1_restored, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p7_found": p7_found, "p6_found": p6_found, "p6_canonical": p6_canonical, "p8_ids": p8_ids, "p9_packing": p9_packing}
+    return {"p1_found": p1_found, "p1_restored": p1_restored, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p7_found": p7_found, "p6_found": p6_found, "p6_canonical": p6_canonical, "p8_ids": p8_ids, "p9_packing": p9_packing, "p10_found": p10_found, "p10_shares": p10_shares}
 
 
 def oracle_sql() -> dict[str, str]:
