@@ -36,11 +36,14 @@ STAY = 0.9
 #: Weight of the stated table in re-estimation, as expected symbols of each state; rounds; share of words that makes spam.
 PRIOR_WEIGHT, ROUNDS, SHARE = 2000.0, 2, 0.5
 
+#: Share of a document's words from which one word is unusual.
+UNUSUAL = 0.07
+
 _URL = re.compile(r"(?:https?://|www\.)\S+|<a\s[^>]*>[^<]*</a>|\[[^\]]*\]\([^)]*\)|\b[\w-]+\.(?:example|invalid|test|com|net|org|info|biz|shop)\b\S*", re.I)
 _SHOP = re.compile(r"★|☆|\[(?:cart|add|\+|>>)\]|\bSKU\b|#\w|(?<![\w.,])\(\d+[.,]\d\d\)|\b\d+ ?(?:cm|mm|kg|pcs)\b|[€$£]\s?\d|[^\W\d]-\d{1,3}(?!\d)", re.I)
 _REFERENCE = re.compile(r"\d+\s?[–-]\s?\d+|\.{3,}\s*\d+\s*$|\bpp?\.\s?\d|^\s*\[\d+\]|^\s*§?\s*\d+[.)]\s|\b1[5-9]\d\d\b|§\s?\d")
 _END = re.compile(r"[.!?。！？؟…][”»“\"」』)）]*\s*$")
-_SENTENCE = re.compile(r"(?<=[.!?。！？؟])[”»“\"」』)）]*\s+|(?<=[。！？])[」』）]*")
+_SENTENCE = re.compile(r"(?<=[.!?؟])[”»“\"」』)）]*\s+(?=[^\Wa-z\d_]|[¿¡“«„\"(])|(?<=[。！？])[」』）]*")
 _LABEL = re.compile(r"^\s*(?:tags?|keywords?|sku|mots[- ]clés|etiquetas|schlagwörter|標籤)\s*:?\s*", re.I)
 _SPLITS = (re.compile(r"\s*;\s*"), re.compile(r"\s*[•·]\s*"), re.compile(r"\s*\|\s*"), re.compile(r"\s+[-–]\s+"), re.compile(r"\s*[,、，]\s*"), re.compile(r"\s+(?=#)"), re.compile(r"\s{2,}"))
 _WORDS = re.compile(rf"[{lm.HAN}]|[^\W\d_{lm.HAN}]+")
@@ -91,7 +94,7 @@ def symbols(text: str) -> list[tuple[int, int]]:
     same = Counter(p.strip().lower() for p in ps)
     total = sum(whole.values()) or 1
     # a sentence that comes again is a refrain, unless others here are stuffed with its word
-    stuffing = any(_repeats([w.lower() for w in _WORDS.findall(p)]) >= 2 and _END.search(p) and not _URL.search(p) for p in ps)
+    stuffing = any(_repeats([w.lower() for w in _WORDS.findall(p)], whole) >= 2 and _END.search(p) and not _URL.search(p) for p in ps)
     out = []
     for p in ps:
         n = n_words(p)
@@ -105,7 +108,7 @@ def symbols(text: str) -> list[tuple[int, int]]:
         elif _SHOP.search(p) and not ended:
             s = "shop"
         elif ended or n > 4:
-            inside = _repeats(words)
+            inside = _repeats(words, whole)
             if inside >= 2 and ended:
                 s = "stuffed"
             elif ended and same[p.strip().lower()] > 2:
@@ -126,13 +129,23 @@ def symbols(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def _repeats(words: list[str]) -> int:
-    """How often content words (pairs of Han characters) come again within the sentence, beyond the first time."""
+def _repeats(words: list[str], whole: Counter | None = None) -> int:
+    """How often content words (pairs of Han characters) come again within the sentence, beyond the first time.
+
+    A word that comes twice in it counts only if it also makes up an unusual share of the document (whole).
+    """
     if words and lm.is_han(words[0]):
-        grams = Counter("".join(words[k : k + 2]) for k in range(len(words) - 1))
-        return sum(v - 1 for v in grams.values() if v > 1)
-    c = Counter(w for w in words if len(w) > 3 or (len(w) > 2 and not w.isascii()))
-    return sum(v - 1 for v in c.values() if v > 1)
+        c = Counter("".join(words[k : k + 2]) for k in range(len(words) - 1))
+        top = [w for w, v in c.items() if v > 1]
+    else:
+        c = Counter(w for w in words if len(w) > 3 or (len(w) > 2 and not w.isascii()))
+        top = [w for w, v in c.items() if v > 1]
+    again = sum(c[w] - 1 for w in top)
+    if whole and top and max(c[w] for w in top) == 2:
+        total = sum(whole.values()) or 1
+        if max(min(whole[x] for x in (w if lm.is_han(w[0]) else [w])) for w in top) / total < UNUSUAL:
+            return 0
+    return again
 
 
 def _keyed(words: list[str], whole: Counter, total: int) -> bool:
