@@ -6,14 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.plans import packed_fields
+from corpusmill.plans import graphs, packed_fields
 
 FLAGSHIP = "grf_pagerank"
+MODULES = (graphs, packed_fields)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(packed_fields.QUERIES)
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in MODULES for name, sql in getattr(m, "SQL", {}).items()}
