@@ -10,8 +10,6 @@ BIDI = r"[‎‏‪-‮⁦-⁩]"
 SPACE = r"[\s   -     　﻿]+"
 #: The entities that clean_text decodes, in this order.
 ENTITIES = (("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"), ("&gt;", ">"), ("&lt;", "<"))
-#: Fixed values of Roman numerals.
-ROMAN = ((1000, "M"), (900, "CM"), (500, "D"), (400, "CD"), (100, "C"), (90, "XC"), (50, "L"), (40, "XL"), (10, "X"), (9, "IX"), (5, "V"), (4, "IV"), (1, "I"))
 SMALL_WORDS = ("a", "an", "and", "as", "at", "but", "by", "for", "from", "in", "of", "on", "or", "the", "to", "with")
 
 
@@ -82,13 +80,14 @@ def roman_to_int(c: Column) -> Column:
 
 
 def int_to_roman(c: Column) -> Column:
-    """Roman numeral of 1 to 3999, null outside."""
-    out, rest = F.lit(""), c
-    for v, s in ROMAN:
-        n = F.floor(rest / v).cast("int")
-        out = F.concat(out, F.repeat(F.lit(s), n))
-        rest = rest - n * v
-    return F.when(c.between(1, 3999), out)
+    """Roman numeral of 1 to 3999, null outside: one lookup for each decimal place."""
+
+    def place(unit: int, one: str, five: str, ten: str) -> Column:
+        digits = ["", one, one * 2, one * 3, one + five, five, five + one, five + one * 2, five + one * 3, one + ten]
+        return F.element_at(F.array(*map(F.lit, digits)), (F.floor(c / unit) % 10 + 1).cast("int"))
+
+    thousands = F.repeat(F.lit("M"), F.floor(c / 1000).cast("int"))
+    return F.when(c.between(1, 3999), F.concat(thousands, place(100, "C", "D", "M"), place(10, "X", "L", "C"), place(1, "I", "V", "X")))
 
 
 def hash32(c: Column) -> Column:

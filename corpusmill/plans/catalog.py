@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.plans import graphs, packed_fields, relational
+from corpusmill.plans import graphs, packed_fields, relational, texts
 
 FLAGSHIP = "grf_pagerank"
-MODULES = (graphs, relational, packed_fields)
+MODULES = (graphs, relational, texts, packed_fields)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
