@@ -106,12 +106,36 @@ class Lexicon:
         return 1.0 / math.log(8.0 + n)
 
 
-def train(pairs: DataFrame) -> Lexicon:
-    """EM over the confident beads of pairs(lang, left, right), left and right arrays of unit texts. A pass a round.
+def beads(pairs: DataFrame) -> DataFrame:
+    """eb, fb and at of each confident bead of pairs(lang, left, right): the buckets of its words and of its word pairs."""
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for lang, left, right in zip(b["lang"], b["left"], b["right"]):
+                left, right = list(left), list(right)
+                if not left or not right:
+                    continue
+                for i, i2, j, j2, c in by_length([size(x) for x in left], [size(x) for x in right]):
+                    if (i2 - i, j2 - j) != (1, 1) or c > CONFIDENT:
+                        continue
+                    es, fs = words(left[i]), words(right[j])
+                    same = set(es) & set(fs)
+                    es = [e for e in dict.fromkeys(es) if e not in same]
+                    fs = [f for f in dict.fromkeys(fs) if f not in same]
+                    if es and fs:
+                        rows.append(([_word_bucket(lang, e) for e in es], [_word_bucket(lang, "\x03" + f) for f in fs], [_pair_bucket(lang, e, f) for f in fs for e in es]))
+            yield pd.DataFrame(rows, columns=["eb", "fb", "at"])
+
+    return pairs.mapInPandas(part, "eb array<int>, fb array<int>, at array<int>")
+
+
+def train(found: DataFrame) -> Lexicon:
+    """EM over beads() that were written once. A round is one pass of array arithmetic.
 
     The table is kept as expected counts: of word pairs, and of the words of either side, each hashed to 2**BITS buckets.
     """
-    spark = pairs.sparkSession
+    spark = found.sparkSession
     size_ = 1 << BITS
 
     def step(table: tuple[np.ndarray, np.ndarray] | None):
@@ -121,35 +145,19 @@ def train(pairs: DataFrame) -> Lexicon:
             old = shared.value
             new = np.zeros(3 * size_, dtype=np.float64)
             for b in batches:
-                for lang, left, right in zip(b["lang"], b["left"], b["right"]):
-                    left, right = list(left), list(right)
-                    if not left or not right:
-                        continue
-                    for i, i2, j, j2, c in by_length([size(x) for x in left], [size(x) for x in right]):
-                        if (i2 - i, j2 - j) != (1, 1) or c > CONFIDENT:
-                            continue
-                        es, fs = words(left[i]), words(right[j])
-                        same = set(es) & set(fs)
-                        es = [e for e in dict.fromkeys(es) if e not in same]
-                        fs = [f for f in dict.fromkeys(fs) if f not in same]
-                        if not es or not fs:
-                            continue
-                        eb = np.array([_word_bucket(lang, e) for e in es])
-                        at = np.array([[_pair_bucket(lang, e, f) for e in es] for f in fs])
-                        if old is None:
-                            p = np.full(at.shape, 1.0)
-                        else:
-                            p = old[0][at] / np.maximum(old[1][eb], 1e-6)[None, :] + 1e-9
-                        p /= p.sum(axis=1, keepdims=True)
-                        np.add.at(new, at.ravel(), p.ravel())
-                        np.add.at(new, size_ + eb, p.sum(axis=0))
-                        for f in fs:
-                            new[2 * size_ + _word_bucket(lang, "\x03" + f)] += 1
-            some = np.flatnonzero(new > 1e-4)
+                for eb, fb, at in zip(b["eb"], b["fb"], b["at"]):
+                    eb, fb = np.asarray(eb), np.asarray(fb)
+                    at = np.asarray(at).reshape(len(fb), len(eb))
+                    p = np.ones(at.shape) if old is None else old[0][at] / np.maximum(old[1][eb], 1e-6)[None, :] + 1e-9
+                    p /= p.sum(axis=1, keepdims=True)
+                    np.add.at(new, at.ravel(), p.ravel())
+                    np.add.at(new, size_ + eb, p.sum(axis=0))
+                    np.add.at(new, 2 * size_ + fb, 1)
+            some = np.flatnonzero(new > 1e-3)
             for lo in range(0, len(some), 100_000):
                 yield pd.DataFrame({"bucket": some[lo : lo + 100_000], "n": new[some[lo : lo + 100_000]]})
 
-        got = pairs.mapInPandas(part, "bucket long, n double").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+        got = found.mapInPandas(part, "bucket long, n double").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
         flat = np.zeros(3 * size_, dtype=np.float32)
         flat[got["bucket"].to_numpy(dtype=np.int64)] = got["n"].to_numpy()
         shared.unpersist()

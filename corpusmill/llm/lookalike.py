@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.session import materialize
+
 #: Cyrillic and Greek letters that look like the Latin letter below them, and Arabic letters like the second row's.
 CYRILLIC = "асеоіѕрхуѵјһԁԛԝАВЕНІЈКМОРСТХЅУԚԜ"
 CYRILLIC_AS = "aceoispxyvjhdqwABEHIJKMOPCTXSYQW"
@@ -178,6 +180,7 @@ def alike_pairs(rows: DataFrame, words: dict[str, float], group: list[str], id_c
         .select(*group, F.col(id_col).alias("rid"), F.col(text_col).alias("raw"), form.alias("form"))
         .select(*group, "rid", F.xxhash64("form").alias("f1"), F.crc32("form").alias("f2"), F.xxhash64("raw").alias("r1"), F.crc32("raw").alias("r2"))
     )
+    keyed = materialize(keyed)  # five numbers a row, read three times below
     # a look with one spelling only can't give a pair: found by aggregation first, so that crowds of exact copies aren't joined
     key = [*group, "f1", "f2"]
     several = keyed.groupBy(*key).agg(F.min("r1").alias("lo"), F.max("r1").alias("hi"), F.min("r2").alias("lo2"), F.max("r2").alias("hi2"))

@@ -7,14 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.session import table
+from corpusmill.session import materialize, spread, table
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id and ids of every document by byte_bpe_50k; the empty list for null and empty texts."""
     from corpusmill.llm.bpe import encode
 
-    return encode(table(spark, sf_dir, "documents"))
+    return encode(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def p9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,14 +22,14 @@ def p9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusmill.llm.bpe import token_count
     from corpusmill.llm.packing import pack
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", token_count(F.col("text")).alias("size"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", token_count(F.col("text")).alias("size"))
     return pack(docs, table(spark, sf_dir, "pack_capacities"))
 
 
 def _node_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """rec_kind, row_id, id, lang and text of both node tables; English is the language of catechism_nodes."""
     n = table(spark, sf_dir, "catechism_nodes").select(F.lit("catechism_node").alias("rec_kind"), "row_id", "id", F.lit("en").alias("lang"), "text")
-    return n.unionByName(table(spark, sf_dir, "localized_nodes").select(F.lit("localized_node").alias("rec_kind"), "row_id", "id", "lang", "text"))
+    return spread(n.unionByName(table(spark, sf_dir, "localized_nodes").select(F.lit("localized_node").alias("rec_kind"), "row_id", "id", "lang", "text")))
 
 
 def p6_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,12 +52,12 @@ def _garble_model(spark: SparkSession, sf_dir: str):
     from corpusmill.llm.garble import corpus_counts
 
     texts = table(spark, sf_dir, "localized_nodes").select("text").unionByName(table(spark, sf_dir, "footnotes").select("text"))
-    return corpus_counts(texts)
+    return corpus_counts(spread(texts))
 
 
 def _garble_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     loc = table(spark, sf_dir, "localized_nodes").select(F.lit("localized_node").alias("rec_kind"), F.col("row_id").alias("rec_id"), "text")
-    return loc.unionByName(table(spark, sf_dir, "footnotes").select(F.lit("footnote").alias("rec_kind"), F.col("note_key").alias("rec_id"), "text"))
+    return spread(loc.unionByName(table(spark, sf_dir, "footnotes").select(F.lit("footnote").alias("rec_kind"), F.col("note_key").alias("rec_id"), "text")))
 
 
 def p1_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,16 +96,15 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of sentence units, of the first row of each id and of each id and language, that translate one another."""
     from corpusmill.llm import align, sentences
     from corpusmill.llm.garble import is_garbled
-    from corpusmill.session import materialize
 
     nodes, loc = table(spark, sf_dir, "catechism_nodes"), table(spark, sf_dir, "localized_nodes")
     left = align.first_rows(nodes, ["id"]).withColumnRenamed("text", "node_text").where("node_text IS NOT NULL")
     right = align.first_rows(loc, ["id", "lang"]).withColumnRenamed("text", "loc_text").where("loc_text IS NOT NULL")
     right = right.where(~is_garbled(F.col("loc_text"), *_garble_model(spark, sf_dir)))
-    pairs = materialize(left.join(right, "id").select("id", "lang", "node_text", "loc_text"))
+    pairs = materialize(spread(left.join(right, "id").select("id", "lang", "node_text", "loc_text"), scan=False))
     splitter = sentences.train(_node_texts(spark, sf_dir))
-    lexicon = align.train(materialize(align.unit_lists(pairs, splitter)))
-    return align.found(pairs, splitter, lexicon)
+    lexicon = align.train(materialize(align.beads(align.unit_lists(spread(pairs), splitter))))
+    return align.found(spread(pairs), splitter, lexicon)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,17 +117,15 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id and line_no of each line of a page's main body."""
     from corpusmill.llm import pages
-    from corpusmill.session import materialize
 
-    return pages.body_lines(materialize(pages.lines(table(spark, sf_dir, "source_pages"))))
+    return pages.body_lines(materialize(pages.lines(spread(table(spark, sf_dir, "source_pages").select("page_id", "local_path", "site", "content")))))
 
 
 def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of each document's words that lie in link lists, tag lists and menus."""
     from corpusmill.llm import spam
-    from corpusmill.session import materialize
 
-    observed = materialize(spam.observe(table(spark, sf_dir, "documents")))
+    observed = materialize(spam.observe(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))))
     return spam.shares(observed, spam.train(observed)).withColumnRenamed("id", "doc_id")
 
 
