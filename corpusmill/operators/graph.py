@@ -19,36 +19,39 @@ def edges_from_lists(nodes: DataFrame, id_col: str = "id", list_col: str = "xref
 def pagerank(nodes: DataFrame, edges: DataFrame, id_col: str = "id", rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
     """(id, rank) after exactly `rounds` synchronous rounds from 1/N; the mass of nodes without edges is spread over all.
 
-    Edges from or to unknown nodes are ignored; self-loops and repeated edges count. An edge is joined once per round and
-    summed with partial results, so a hub's incoming mass doesn't meet in one task. As ranks sum to 1, the mass that
-    targets didn't receive is the dangling mass: the ranks are read once a round, and one number goes to the driver.
-    The state is written to the shared folder every CUT_EVERY rounds. No nodes give no rows.
+    Edges from or to unknown nodes are ignored; self-loops and repeated edges count. The rank after k rounds is a
+    combination of w_0 .. w_k with w_0 = 1 and w_(j+1) = A w_j, whose factors depend on the sums of the w_j only. So the
+    rounds are a plain chain of joins and sums without a number going to the driver and back in each; every node carries
+    its w_j along an edge to itself, which reads the state once a round. Sums are partial before they are shuffled, so a
+    hub's incoming mass doesn't meet in one task. The state is written to the shared folder every CUT_EVERY rounds. No
+    nodes give no rows.
     """
     ids = nodes.select(F.col(id_col).alias("id")).where("id IS NOT NULL").distinct()
     known = ids.select(F.col("id").alias("k"))
     e = edges.select("source", "target").join(known, F.col("source") == F.col("k"), "left_semi").join(known, F.col("target") == F.col("k"), "left_semi")
     e = e.groupBy("source", "target").agg(F.count("*").alias("w"))
     out = e.groupBy("source").agg(F.sum("w").alias("deg"))
-    e = materialize(e.join(out, "source").select("source", "target", (F.col("w") / F.col("deg")).alias("share")))
-    ids = materialize(ids)
-    n = ids.count()
-    if not n:
-        return ids.select("id", F.lit(0.0).alias("rank"))
-    ranks = ids.select("id", F.lit(1.0 / n).alias("rank"))
-    held: list[DataFrame] = []
+    e = e.join(out, "source").select("source", "target", (F.col("w") / F.col("deg")).alias("share"), F.lit(False).alias("own"))
+    own = ids.select(F.col("id").alias("source"), F.col("id").alias("target"), F.lit(0.0).alias("share"), F.lit(True).alias("own"))
+    e = materialize(e.unionByName(own))
+    state = ids.select("id", F.array(F.lit(1.0)).alias("ws"))
     for k in range(1, rounds + 1):
-        c = e.join(ranks, F.col("source") == F.col("id")).groupBy("target").agg(F.sum(F.col("rank") * F.col("share")).alias("c"))
-        c = c.persist()
-        got = c.agg(F.sum("c")).first()[0] or 0.0
-        base = (1 - damping) / n + damping * (1.0 - got) / n
-        ranks = ids.join(c, F.col("id") == F.col("target"), "left").select("id", (F.lit(base) + F.lit(damping) * F.coalesce(F.col("c"), F.lit(0.0))).alias("rank"))
-        held.append(c)
+        step = e.join(state, F.col("source") == F.col("id"))
+        step = step.select("target", (F.element_at("ws", -1) * F.col("share")).alias("c"), F.when(F.col("own"), F.col("ws")).alias("ws"))
+        state = step.groupBy(F.col("target").alias("id")).agg(F.sum("c").alias("c"), F.max("ws").alias("ws"))
+        state = state.select("id", F.concat("ws", F.array("c")).alias("ws"))
         if k % CUT_EVERY == 0 or k == rounds:
-            ranks = materialize(ranks)
-            for x in held:
-                x.unpersist()
-            held = []
-    return ranks
+            state = materialize(state)
+    sums = {r["pos"]: r["s"] for r in state.select(F.posexplode("ws").alias("pos", "w")).groupBy("pos").agg(F.sum("w").alias("s")).collect()}
+    if not sums:
+        return ids.select("id", F.lit(0.0).alias("rank"))
+    n = sums[0]
+    factors = [1.0 / n]
+    for _ in range(rounds):
+        got = sum(g * sums[j + 1] for j, g in enumerate(factors))
+        factors = [((1 - damping) + damping * (1.0 - got)) / n, *(damping * g for g in factors)]
+    weights = F.array(*map(F.lit, factors))
+    return state.select("id", F.aggregate(F.zip_with("ws", weights, lambda w, g: w * g), F.lit(0.0), lambda acc, x: acc + x).alias("rank"))
 
 
 def degrees(nodes: DataFrame, edges: DataFrame, id_col: str = "id") -> DataFrame:

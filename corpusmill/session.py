@@ -48,3 +48,14 @@ def materialize(df: DataFrame) -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data set; Catalyst prunes its columns."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame, scan: bool = True) -> DataFrame:
+    """df in enough partitions for a step that is dear in each row: repartitioned only if it has too few.
+
+    A scan of many files stays as it is; a small table, or rows that adaptive execution would put into one partition
+    (scan=False), are dealt out evenly. Rows neither come nor go.
+    """
+    spark = df.sparkSession
+    n = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df if scan and df.rdd.getNumPartitions() >= n else df.repartition(n)
