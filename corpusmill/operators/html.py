@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions.text import SPACE
 
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+_ENDS_P = frozenset("p div ul ol dl table blockquote h1 h2 h3 h4 h5 h6 section article nav aside footer header hr pre".split())
 _SPACE = re.compile(SPACE)
 
 
@@ -53,7 +54,8 @@ class _Tree(HTMLParser):
         self.at = self.root
 
     def handle_starttag(self, tag, attrs):
-        closes = {"p": ("p",), "li": ("li", "p"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}.get(tag, ())
+        ends_p = ("p",) if tag in _ENDS_P else ()
+        closes = {"li": ("li", "p"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}.get(tag, ends_p)
         while self.at.tag in closes:
             self.at = self.at.parent
         e = Element(tag, dict(attrs), self.at)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import fnmatch
 import json
 import os
 
@@ -12,10 +13,44 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from corpusmill.functions.text import decode_page
 
 
-def scan_pages(spark: SparkSession, path: str, pattern: str = "__*.[hH][tT][mM]*") -> DataFrame:
+class PageFiles(DataSource):
+    """Files of a shared folder with their bytes, those included whose names begin with an underscore.
+
+    Spark's own file sources pass over such names as hidden. The driver lists names only; each partition reads `batch` files.
+    Options: path, pattern (of fnmatch, without regard to case), batch.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "page_files"
+
+    def schema(self) -> str:
+        return "file string, path string, content binary"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _FileReader(self.options)
+
+
+class _FileReader(DataSourceReader):
+    def __init__(self, options):
+        self.path = options.get("path", "").removeprefix("file://")
+        self.pattern, self.batch = options.get("pattern", "*"), int(options.get("batch", "200"))
+
+    def partitions(self):
+        names = sorted(n for n in os.listdir(self.path) if fnmatch.fnmatch(n.lower(), self.pattern.lower()))
+        return [InputPartition(names[k : k + self.batch]) for k in range(0, len(names), self.batch)] or [InputPartition([])]
+
+    def read(self, partition):
+        for n in partition.value:
+            with open(os.path.join(self.path, n), "rb") as f:
+                yield (n, os.path.join(self.path, n), f.read())
+
+
+def scan_pages(spark: SparkSession, path: str, pattern: str = "__*.htm") -> DataFrame:
     """file, path and text of every page file whose name matches; charset sniffed, Latin-1 unless the page says UTF-8."""
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
-    return raw.select(F.col("_metadata.file_name").alias("file"), F.col("path"), decode_page(F.col("content")).alias("text"))
+    spark.dataSource.register(PageFiles)
+    raw = spark.read.format("page_files").option("path", path).option("pattern", pattern).load()
+    return raw.select("file", "path", decode_page(F.col("content")).alias("text"))
 
 
 def paragraph_pages(pages: DataFrame, id_pattern: str = r"(?m)(?:^|>)\s*(\d{1,4})\s*\n") -> DataFrame:
