@@ -169,32 +169,27 @@ def train(found: DataFrame) -> Lexicon:
     return Lexicon(*table)
 
 
-def _cover(lex: Lexicon, lang: str, mine: list[str], theirs: list[str], side: str) -> np.ndarray:
-    """For each of my words, how well theirs explain it."""
-    out = np.zeros(len(mine))
-    for k, w in enumerate(mine):
-        total = 0.0  # an idiom's words share the credit for each of them
-        for v in theirs:
-            total += lex.t(lang, w, v) if side == "e" else lex.t(lang, v, w)
-        out[k] = min(1.0, total * 1.25)
-    return out
-
-
 def align(lex: Lexicon, lang: str, left: list[str], right: list[str]) -> list[tuple[int, int]]:
     """Index pairs (left unit, right unit) of which one translates the other or a part of it."""
     n, m = len(left), len(right)
     if not n or not m:
         return []
     ew, fw = [words(x) for x in left], [words(x) for x in right]
-    we = [np.array([lex.weight(lang, "e", w) for w in ws]) for ws in ew]
-    wf = [np.array([lex.weight(lang, "f", w) for w in ws]) for ws in fw]
-    cov_f = np.zeros((n, m))  # share of the right unit that the left one explains
-    cov_e = np.zeros((n, m))
-    for i in range(n):
-        for j in range(m):
-            if ew[i] and fw[j]:
-                cov_f[i, j] = (wf[j] * _cover(lex, lang, fw[j], ew[i], "f")).sum() / wf[j].sum()
-                cov_e[i, j] = (we[i] * _cover(lex, lang, ew[i], fw[j], "e")).sum() / we[i].sum()
+    e_at = {w: k for k, w in enumerate(dict.fromkeys(w for ws in ew for w in ws))}
+    f_at = {w: k for k, w in enumerate(dict.fromkeys(w for ws in fw for w in ws))}
+    in_e, in_f = np.zeros((n, len(e_at))), np.zeros((m, len(f_at)))
+    for i, ws in enumerate(ew):
+        for w in ws:
+            in_e[i, e_at[w]] += 1
+    for j, ws in enumerate(fw):
+        for w in ws:
+            in_f[j, f_at[w]] += 1
+    t = np.array([[lex.t(lang, e, f) for f in f_at] for e in e_at]).reshape(len(e_at), len(f_at))
+    we = in_e * np.array([lex.weight(lang, "e", w) for w in e_at])
+    wf = in_f * np.array([lex.weight(lang, "f", w) for w in f_at])
+    # how well a unit explains each word (an idiom's words share the credit), and the explained share of the other unit
+    cov_f = np.minimum(1.0, 1.25 * (in_e @ t)) @ wf.T / np.maximum(wf.sum(axis=1), 1e-9)[None, :]
+    cov_e = we @ np.minimum(1.0, 1.25 * (in_f @ t.T)).T / np.maximum(we.sum(axis=1), 1e-9)[:, None]
     both = (cov_e + cov_f) / 2
     part = np.maximum(cov_e, cov_f)
     # monotone alignment over lexical scores: 1-1, and merges in which each unit is explained by the other side's one

@@ -191,17 +191,21 @@ def markup_lines(content: str) -> list[tuple[int, str, int]]:
     for n in leaf:
         total, a, inner = _outward(n)
         linky[n.id] = a > 0 or inner > 0.5 * total
-    group: dict[int, list[Node]] = {}
+    # of every container: its blocks with text and how many of them are links
+    held: Counter = Counter()
+    held_links: Counter = Counter()
     for n in leaf:
-        if n.parent is not None:
-            group.setdefault(n.parent.id, []).append(n)
+        p = n.parent
+        while p is not None:
+            held[p.id] += 1
+            held_links[p.id] += linky[n.id]
+            p = p.parent
 
     def related(n: Node) -> bool:
-        """A container most of whose blocks are links, seen from one of its blocks."""
+        """Whether the block lies in a container most of whose blocks are links."""
         p = n.parent
         while p is not None and p.parent is not None:
-            mine = [m for m in leaf if _within(m, p)]
-            if len(mine) > 1 and sum(linky[m.id] for m in mine) >= 0.5 * len(mine):
+            if held[p.id] > 1 and held_links[p.id] >= 0.5 * held[p.id]:
                 return True
             p = p.parent
         return False
@@ -254,15 +258,6 @@ def markup_lines(content: str) -> list[tuple[int, str, int]]:
     return [(ln, " ".join(t for t, _ in parts), max(v for _, v in parts)) for ln, parts in sorted(by_line.items())]
 
 
-def _within(n: Node, p: Node) -> bool:
-    at = n.parent
-    while at is not None:
-        if at is p:
-            return True
-        at = at.parent
-    return False
-
-
 def _reaches(n: Node, main: Node) -> bool:
     """Whether n lies in the main container, at most within lists, quotations and the like."""
     at = n.parent
@@ -309,7 +304,7 @@ def plain_lines(content: str, site: str | None) -> list[tuple[int, str, int]]:
 
 
 def lines(pages: DataFrame) -> DataFrame:
-    """page_id, local_path, line_no, text and verdict of each line with visible text; one narrow pass."""
+    """page_id, local_path, line_no, text and verdict of each line with visible text; one narrow pass. Rows with a null page_id or content have none."""
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -320,7 +315,7 @@ def lines(pages: DataFrame) -> DataFrame:
                 rows += [(pid, path, ln, t, v, kind) for ln, t, v in found]
             yield pd.DataFrame(rows, columns=["page_id", "local_path", "line_no", "text", "verdict", "markup"])
 
-    some = pages.where("content IS NOT NULL").select("page_id", "local_path", "site", "content")
+    some = pages.where("content IS NOT NULL AND page_id IS NOT NULL").select("page_id", "local_path", "site", "content")
     return some.mapInPandas(part, "page_id long, local_path string, line_no int, text string, verdict int, markup int")
 
 

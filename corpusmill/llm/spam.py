@@ -229,14 +229,14 @@ def train(observed: DataFrame) -> Model:
 
 
 def observe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, symbols and words of each piece; empty lists for null, empty and blank texts."""
+    """id, symbols and words of each piece; empty lists for null, empty and blank texts. Rows with a null id are left out."""
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             got = [symbols(t) if isinstance(t, str) else [] for t in b[text_col]]
             yield pd.DataFrame({"id": b[id_col], "symbols": [[s for s, _ in g] for g in got], "words": [[w for _, w in g] for g in got]})
 
-    return docs.select(id_col, text_col).mapInPandas(part, "id long, symbols array<int>, words array<int>")
+    return docs.where(F.col(id_col).isNotNull()).select(id_col, text_col).mapInPandas(part, "id long, symbols array<int>, words array<int>")
 
 
 def shares(observed: DataFrame, model: Model) -> DataFrame:
