@@ -73,6 +73,7 @@ def _closed(text: str) -> dict[int, int]:
     """Start and end of each quotation that opens at the beginning of a value and is closed later; a backslash escapes a mark."""
     spans: dict[int, int] = {}
     i, n = 0, len(text)
+    last = {c: text.rfind(c) for c in QUOTES.values()}
     fresh = True  # nothing but blanks, delimiters and lead-ins since the last delimiter
     while i < n:
         ch = text[i]
@@ -80,7 +81,7 @@ def _closed(text: str) -> dict[int, int]:
             i += 2
             fresh = False
             continue
-        if ch in QUOTES and (fresh or text[i - 1].isspace() or text[i - 1] == "("):
+        if ch in QUOTES and last[QUOTES[ch]] > i and (fresh or text[i - 1].isspace() or text[i - 1] == "("):
             close = QUOTES[ch]
             j = i + 1
             while j < n:
@@ -134,18 +135,16 @@ def split_values(text: str | None, names: Names | None = None) -> list[str]:
                 k += 1
     cuts, i, n, depth, start = [], 0, len(text), 0, 0
 
-    def name_follows(j: int) -> bool:
-        while j < n:
+    # whether a name comes next, after blanks, marks and lead-ins: from the end to the front, once for each place
+    follows = bytearray(n + 1)
+    if name_at:
+        for j in range(n - 1, -1, -1):
             if j in name_at:
-                return True
-            m = _LEAD.match(text, j)
-            if m and m.end() > j:
-                j = m.end()
-            elif not text[j].isalnum() or not text[j].isascii():
-                j += 1
-            else:
-                return False
-        return False
+                follows[j] = 1
+            elif text[j].isalpha() and (m := _LEAD.match(text, j)) and m.end() > j:
+                follows[j] = follows[m.end()]
+            elif not (text[j].isascii() and text[j].isalnum()):
+                follows[j] = follows[j + 1]
 
     while i < n:
         ch = text[i]
@@ -164,7 +163,7 @@ def split_values(text: str | None, names: Names | None = None) -> list[str]:
             depth = max(0, depth - 1)
         elif depth == 0:
             if names:
-                if (ch in STRONG or ch in WEAK or not ch.isascii()) and name_follows(i + 1):
+                if (ch in STRONG or ch in WEAK or not ch.isascii()) and follows[i + 1]:
                     cuts.append((start, i))
                     start = i + 1
             elif ch in STRONG:
