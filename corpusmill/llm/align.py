@@ -190,6 +190,9 @@ def align(lex: Lexicon, lang: str, left: list[str], right: list[str]) -> list[tu
     # how well a unit explains each word (an idiom's words share the credit), and the explained share of the other unit
     cov_f = np.minimum(1.0, 1.25 * (in_e @ t)) @ wf.T / np.maximum(wf.sum(axis=1), 1e-9)[None, :]
     cov_e = we @ np.minimum(1.0, 1.25 * (in_f @ t.T)).T / np.maximum(we.sum(axis=1), 1e-9)[:, None]
+    # the share that two neighbouring units explain together
+    pair_f = np.minimum(1.0, 1.25 * ((in_e[:-1] + in_e[1:]) @ t)) @ wf.T / np.maximum(wf.sum(axis=1), 1e-9)[None, :]
+    pair_e = we @ np.minimum(1.0, 1.25 * ((in_f[:-1] + in_f[1:]) @ t.T)).T / np.maximum(we.sum(axis=1), 1e-9)[:, None]
     both = (cov_e + cov_f) / 2
     part = np.maximum(cov_e, cov_f)
     # monotone alignment over lexical scores: 1-1, and merges in which each unit is explained by the other side's one
@@ -206,9 +209,9 @@ def align(lex: Lexicon, lang: str, left: list[str], right: list[str]) -> list[tu
             if i and j:
                 options.append((best[i - 1, j - 1] + gain[i - 1, j - 1], 3))
             if i > 1 and j:  # two left units in one right unit
-                options.append((best[i - 2, j - 1] + _merge(cov_e[i - 2, j - 1], cov_e[i - 1, j - 1], cov_f[i - 2, j - 1] + cov_f[i - 1, j - 1]), 4))
+                options.append((best[i - 2, j - 1] + _merge(cov_e[i - 2, j - 1], cov_e[i - 1, j - 1], cov_f[i - 2, j - 1], cov_f[i - 1, j - 1], pair_f[i - 2, j - 1]), 4))
             if i and j > 1:
-                options.append((best[i - 1, j - 2] + _merge(cov_f[i - 1, j - 2], cov_f[i - 1, j - 1], cov_e[i - 1, j - 2] + cov_e[i - 1, j - 1]), 5))
+                options.append((best[i - 1, j - 2] + _merge(cov_f[i - 1, j - 2], cov_f[i - 1, j - 1], cov_e[i - 1, j - 2], cov_e[i - 1, j - 1], pair_e[i - 1, j - 2]), 5))
             if i or j:
                 best[i, j], move[i, j] = max(options)
     pairs: set[tuple[int, int]] = set()
@@ -253,11 +256,11 @@ def align(lex: Lexicon, lang: str, left: list[str], right: list[str]) -> list[tu
     return sorted(pairs)
 
 
-def _merge(a: float, b: float, whole: float) -> float:
-    """Gain of a merge of two units in one: both must be explained by it, and together explain it."""
-    if min(a, b) < COVER + 0.1:
+def _merge(a: float, b: float, one: float, other: float, whole: float) -> float:
+    """Gain of a merge of two units in one. a and b: how much of them it explains; one, other, whole: how much of it they explain, alone and together."""
+    if min(a, b) < 0.4 or whole < 0.7 or whole - max(one, other) < 0.15:
         return -1.0
-    return (a + b) / 2 + min(1.0, whole) - 0.45
+    return (a + b) / 2 + whole - 0.45
 
 
 def first_rows(df: DataFrame, keys: list[str]) -> DataFrame:
