@@ -88,7 +88,7 @@ def _lead_chars(wrong: str, lo: int, hi: int) -> str:
 #: A lead byte (and for three bytes its first continuation) that no further byte follows, and what took the lost byte's place.
 _BROKEN = {
     w: re.compile(
-        f"(?P<lead>[{_lead_chars(w, 0xC2, 0xDF)}]|[{_lead_chars(w, 0xE1, 0xEF)}][{_lead_chars(w, 0x80, 0xBF)}])(?:[?{LOST} ]|$|(?![{_lead_chars(w, 0x80, 0xBF)}]))"
+        f"(?P<lead>[{_lead_chars(w, 0xC2, 0xDF)}]|[{_lead_chars(w, 0xE1, 0xEF)}][{_lead_chars(w, 0x80, 0xBF)}])(?:[?{LOST} ]|$)"
     )
     for w in {c[1] for c in CHANNELS if c[0] == "utf-8" and c[1] != "gb18030"}
 }
