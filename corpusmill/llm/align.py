@@ -157,7 +157,7 @@ def train(found: DataFrame) -> Lexicon:
             for lo in range(0, len(some), 100_000):
                 yield pd.DataFrame({"bucket": some[lo : lo + 100_000], "n": new[some[lo : lo + 100_000]]})
 
-        got = found.mapInPandas(part, "bucket long, n double").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+        got = found.mapInPandas(part, "bucket int, n double").groupBy("bucket").agg(F.sum("n").cast("float").alias("n")).toPandas()
         flat = np.zeros(3 * size_, dtype=np.float32)
         flat[got["bucket"].to_numpy(dtype=np.int64)] = got["n"].to_numpy()
         shared.unpersist()

@@ -93,7 +93,7 @@ def count_units(texts: DataFrame, col: str, of, bits: int = BITS) -> Counts:
         for lo in range(0, len(some), 100_000):
             yield pd.DataFrame({"bucket": some[lo : lo + 100_000], "n": table[some[lo : lo + 100_000]]})
 
-    got = texts.select(col).mapInPandas(part, "bucket long, n double").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    got = texts.select(col).mapInPandas(part, "bucket int, n double").groupBy("bucket").agg(F.sum("n").cast("float").alias("n")).toPandas()
     flat = np.zeros(ROWS * size + 1, dtype=np.float32)
     flat[got["bucket"].to_numpy(dtype=np.int64)] = got["n"].to_numpy()
     return Counts(flat[:-1].reshape(ROWS, size), float(flat[-1]), bits)
