@@ -81,6 +81,10 @@ def _unread(text: str, wrong: str) -> list[bytes | None]:
     return [bytes([table[ch]]) if ch in table else None for ch in text]
 
 
+#: A lead of three bytes read in Latin-1 and what is left of the two after it.
+_THIN = re.compile("[\xe0-\xef][\x80-\xbf]{0,2}")
+
+
 def _lead_chars(wrong: str, lo: int, hi: int) -> str:
     return "".join(re.escape(c) for c, b in to_byte(wrong).items() if lo <= b <= hi)
 
@@ -180,6 +184,7 @@ class Restorer:
     def __init__(self, counts: lm.Counts, alphabet: dict[str, float]):
         self.counts, self.alphabet = counts, alphabet
         self.memo: dict[str, float] = {}
+        self.fits: dict[int, list[tuple[str, bytes]]] | None = None
         self.read: dict[str, list[tuple[int, str, float]]] = {}
 
     def unit(self, u: str) -> float:
@@ -221,6 +226,8 @@ class Restorer:
             got = read_through(piece, channel)
             if got is None and channel[0] == "utf-8" and channel[1] not in _WIDE:
                 got = self.completed(piece, channel)
+            if channel == CHANNELS[0] and (thin := self.thinned(piece)) is not None:
+                got = thin
             if got is None or LOST in got and LOST not in piece:
                 continue
             if typed is not None and skeleton(surface(got)) == typed:
@@ -232,6 +239,28 @@ class Restorer:
                 out.append((k, got, s))
         return out
 
+    def thinned(self, piece: str) -> str | None:
+        """A reading for three-byte characters of which control bytes were dropped: each takes the likeliest character that fits what is left."""
+        groups = list(_THIN.finditer(piece))
+        beyond = sum(not c.isascii() for c in piece)
+        if len(groups) < 3 or sum(len(m.group()) for m in groups) < 0.85 * beyond or all(len(m.group()) == 3 for m in groups):
+            return None
+        if self.fits is None:
+            self.fits = {}
+            for ch, n in sorted(self.alphabet.items(), key=lambda x: (-x[1], x[0])):
+                raw = ch.encode("utf-8", "surrogatepass")
+                if len(raw) == 3:
+                    self.fits.setdefault(raw[0], []).append((ch, raw[1:]))
+        out, done = [], 0
+        for m in groups:
+            lead, rest = ord(m.group()[0]), bytes(ord(c) for c in m.group()[1:])
+            ch = next((c for c, tail in self.fits.get(lead, []) if rest == tail or (len(rest) < 2 and all(b in tail for b in rest))), None)
+            if ch is None:
+                return None
+            out += [piece[done : m.start()], ch]
+            done = m.end()
+        return "".join(out) + piece[done:]
+
     def completed(self, piece: str, channel: tuple[str, str, int]) -> str | None:
         """A reading for a stretch whose sequences lost their last byte: the lead bytes and a wildcard, filled by the likeliest character."""
         true, wrong, times = channel
@@ -304,9 +333,10 @@ class Restorer:
         return "".join(reversed(out)), garbled
 
 
-# stretches: what lies between blanks; long ones (scripts without blanks) also end after a mark of the sentence
+# stretches: what lies between blanks; East Asian characters part from others and also end after a mark of the sentence
 _UNIT = re.compile(rf"[{lm.HAN}]|[^\W\d_{lm.HAN}]+(?:[^\w\s.,;:!?()…\"«»“”„。，；：！？（）、؟،؛][^\W\d_{lm.HAN}]+)*|\d+|[^\w\s]|_")
-_STRETCH = re.compile(r"[^\s。！？；，]*[^\s\x00-\x7f。！？；，][^\s。！？；，]*[。！？；，]?")
+_CJK = lm.HAN + "\u3000-\u303f\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff9f\ue000-\uf8ff"
+_STRETCH = re.compile(rf"[{_CJK}]+?(?:[。！？；，]|(?![{_CJK}]))|[^ \t\r\n\f{_CJK}]*[^\x00-\x7f{_CJK}][^ \t\r\n\f{_CJK}]*")
 
 
 def units_of(text: str) -> list[str]:
