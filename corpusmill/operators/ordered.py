@@ -19,14 +19,29 @@ def _ranged(df: DataFrame, order: list[str], parts: int | None) -> DataFrame:
     return materialize(df.repartitionByRange(n, *order).withColumn("__p", F.spark_partition_id()))
 
 
-def with_position(df: DataFrame, order: list[str], name: str = "position", parts: int | None = None) -> DataFrame:
-    """0-based position of each row in the order; ties in the order stand in any order among themselves."""
-    df = _ranged(df, order, parts)
-    counts = df.groupBy("__p").count()
-    ahead = W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)  # a row for each range
-    offsets = counts.withColumn("__o", F.coalesce(F.sum("count").over(ahead), F.lit(0))).select("__p", "__o")
-    local = F.row_number().over(W.partitionBy("__p").orderBy(*order)) - 1
-    return df.join(F.broadcast(offsets), "__p").withColumn(name, (local + F.col("__o")).cast("bigint")).drop("__p", "__o")
+def running_sum(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str, parts: int | None = None) -> DataFrame:
+    """Sum of the value over the rows of the key up to each row in the order (rows that tie may count each other or not).
+
+    A key may hold any share of the rows: it is cut into ranges of (keys, order), each sums by itself, and a range gets the
+    sums of the key's earlier ranges from a table with a row for each key and range.
+    """
+    df = _ranged(df.withColumn("__v", value), [*keys, *order], parts)
+    sums = df.groupBy(*keys, "__p").agg(F.sum("__v").alias("__s"))
+    key = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
+    ahead = key.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)  # a row for each range
+    sums = sums.withColumn("__o", F.coalesce(F.sum("__s").over(ahead), F.lit(0))).select(*(F.col(k).alias(f"__k_{k}") for k in keys), F.col("__p").alias("__q"), "__o")
+    same = F.col("__p") == F.col("__q")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    local = F.sum("__v").over(W.partitionBy(*keys, "__p").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    out = df.withColumn("__l", local).join(sums, same)
+    return out.withColumn(name, (F.col("__l") + F.col("__o")).cast("bigint")).drop("__v", "__p", "__q", "__o", "__l", *(f"__k_{k}" for k in keys))
+
+
+def with_position(df: DataFrame, order: list[str], name: str = "position", keys: list[str] | None = None, parts: int | None = None) -> DataFrame:
+    """0-based position of each row in the order, within the key if there is one; ties stand in any order among themselves."""
+    got = running_sum(df, keys or [], order, F.lit(1), name, parts)
+    return got.withColumn(name, F.col(name) - 1)
 
 
 def prev_next(df: DataFrame, key: str, parts: int | None = None) -> DataFrame:
@@ -52,10 +67,9 @@ def carry_forward(df: DataFrame, order: list[str], value: Column, name: str, par
     return out.drop("__p", "__v", "__before")
 
 
-def running_id(df: DataFrame, keys: list[str], order: list[str], opens: Column, name: str = "segment") -> DataFrame:
+def running_id(df: DataFrame, keys: list[str], order: list[str], opens: Column, name: str = "segment", parts: int | None = None) -> DataFrame:
     """Number of opening rows so far within the key: 0 before the first."""
-    w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    return df.withColumn(name, F.sum(F.when(opens, 1).otherwise(0)).over(w))
+    return running_sum(df, keys, order, F.when(opens, 1).otherwise(0), name, parts)
 
 
 def fill_levels(df: DataFrame, part: list[str], order: str, levels: list[str], identify) -> DataFrame:

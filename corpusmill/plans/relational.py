@@ -158,7 +158,7 @@ def win_sticky(spark, d):
 def win_segment_id(spark, d):
     """WIN-06: number of headed nodes so far within the part."""
     n = nodes(spark, d, "headings", "part").select("id", "part", "headings")
-    return O.running_id(n, ["part"], ["id"], F.size("headings") > 0).select("id", F.col("segment").cast("bigint").alias("segment"))
+    return O.running_id(n, ["part"], ["id"], F.size("headings") > 0).select("id", "segment")
 
 
 def win_recent(spark, d):
@@ -231,8 +231,9 @@ def flt_capability(spark, d):
 def srt_locale(spark, d):
     """SRT-03, SRT-04, SRT-07: languages of each node in locale order, and pages by the number in their name."""
     p = table(spark, d, "source_pages").select("page_id", F.regexp_extract("file", r"([0-9]+)", 1).try_cast("bigint").alias("num"), "lang")
-    w = W.partitionBy("lang").orderBy(F.col("num").asc_nulls_last(), "page_id")
-    return p.withColumn("ord", F.row_number().over(w).cast("bigint"))
+    last = p.withColumn("late", F.col("num").isNull())  # numbers first; a language may hold any share of the pages
+    out = O.with_position(last, ["late", "num", "page_id"], "ord", ["lang"])
+    return out.select("page_id", "num", "lang", (F.col("ord") + 1).alias("ord"))
 
 
 def set_union_distinct(spark, d):
