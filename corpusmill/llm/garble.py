@@ -339,16 +339,11 @@ _CJK = lm.HAN + "\u3000-\u303f\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff
 _STRETCH = re.compile(rf"[{_CJK}]+?(?:[。！？；，]|(?![{_CJK}]))|[^ \t\r\n\f{_CJK}]*[^\x00-\x7f{_CJK}][^ \t\r\n\f{_CJK}]*")
 
 
-def units_of(text: str) -> list[str]:
-    """What the search looks up."""
-    return [] if text.isascii() else touched(text) + ["\x00" + c for c in text if not c.isascii()]
-
-
 def corpus_counts(texts: DataFrame, col: str = "text") -> tuple[lm.Counts, dict[str, float]]:
-    """Frequencies over all rows, and those of each character, of which Unicode bounds the number."""
-    ch = texts.select(F.explode(F.split(F.regexp_replace(F.col(col), "[\\x00-\\x7F]", ""), "")).alias("c")).where("c <> ''")
-    alphabet = {r["c"]: float(r["n"]) for r in ch.groupBy("c").agg(F.count("*").alias("n")).collect()}
-    return lm.count_units(texts, col, touched), alphabet
+    """Frequencies over all rows, and those of each character, in one pass."""
+    alphabet: dict[str, float] = {}
+    counts = lm.count_units(texts, col, touched, alphabet=alphabet)
+    return counts, alphabet
 
 
 def restored(text: Column, counts: lm.Counts, alphabet: dict[str, float]) -> Column:

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterable, Iterator
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -64,21 +65,26 @@ class Counts:
         return float(np.log((self[unit] + 0.05) / self.total))
 
 
-def count_units(texts: DataFrame, col: str, of, bits: int = BITS) -> Counts:
+def count_units(texts: DataFrame, col: str, of, bits: int = BITS, alphabet: dict[str, float] | None = None) -> Counts:
     """Counts over all rows of texts[col]; of(text) gives the units of a text. Null texts have none.
 
     Each task adds up its own table and emits its non-zero buckets, so that the shuffle is bounded by the tasks times the
-    size of the table, and what comes to the driver by the table.
+    size of the table, and what comes to the driver by the table. With alphabet, the same pass counts each character beyond
+    ASCII into it, of which Unicode bounds the number.
     """
     size = 1 << bits
+    with_chars = alphabet is not None
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = np.zeros(ROWS * size + 1, dtype=np.float64)
         memo: dict[str, list[int]] = {}
+        seen: Counter = Counter()
         for b in batches:
             for t in b[col]:
                 if not isinstance(t, str):
                     continue
+                if with_chars and not t.isascii():
+                    seen.update(t)
                 us = of(t)
                 table[-1] += len(us)
                 for u in us:
@@ -92,8 +98,15 @@ def count_units(texts: DataFrame, col: str, of, bits: int = BITS) -> Counts:
         some = np.flatnonzero(table)
         for lo in range(0, len(some), 100_000):
             yield pd.DataFrame({"bucket": some[lo : lo + 100_000], "n": table[some[lo : lo + 100_000]]})
+        beyond = [(ROWS * size + 1 + ord(c), float(n)) for c, n in seen.items() if not c.isascii()]
+        if beyond:
+            yield pd.DataFrame(beyond, columns=["bucket", "n"])
 
     got = texts.select(col).mapInPandas(part, "bucket int, n double").groupBy("bucket").agg(F.sum("n").cast("float").alias("n")).toPandas()
     flat = np.zeros(ROWS * size + 1, dtype=np.float32)
-    flat[got["bucket"].to_numpy(dtype=np.int64)] = got["n"].to_numpy()
+    at, n = got["bucket"].to_numpy(dtype=np.int64), got["n"].to_numpy()
+    chars = at > ROWS * size
+    flat[at[~chars]] = n[~chars]
+    if alphabet is not None:
+        alphabet.update((chr(int(k) - ROWS * size - 1), float(v)) for k, v in zip(at[chars], n[chars]))
     return Counts(flat[:-1].reshape(ROWS, size), float(flat[-1]), bits)
