@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm import lm
+from corpusmill.llm import lattice, lm
 from corpusmill.llm.lookalike import skeleton, surface
 
 #: Fixed values: (true encoding, encoding it was read in, times).
@@ -41,12 +41,10 @@ CHANNELS = (
     ("big5", "cp1252", 1),
     ("gb18030", "cp1252", 1),
 )
-LOST = "�"
+LOST = lattice.LOST
 #: Log odds by which a channel's reading must beat the text as it stands (a valid multi-byte sequence is evidence in itself,
 #: so such channels need less), and what a change of channel costs.
 MARGIN, MARGIN_UTF8, SWITCH = 1.5, 0.3, 1.0
-#: Readings of a word with lost bytes that are kept at each step of the search.
-BEAM = 48
 
 
 @lru_cache(maxsize=64)
@@ -181,8 +179,8 @@ def touched(text: str) -> list[str]:
 class Restorer:
     """Finds and restores garbled stretches under the word frequencies of the corpus."""
 
-    def __init__(self, counts: lm.Counts, alphabet: dict[str, float]):
-        self.counts, self.alphabet = counts, alphabet
+    def __init__(self, counts: lm.Counts, alphabet: dict[str, float], reader: lattice.Reader | None = None):
+        self.counts, self.alphabet, self.reader = counts, alphabet, reader
         self.memo: dict[str, float] = {}
         self.fits: dict[int, list[tuple[str, bytes]]] | None = None
         self.read: dict[str, list[tuple[int, str, float]]] = {}
@@ -266,37 +264,25 @@ class Restorer:
         true, wrong, times = channel
         if times > 1:
             return None
-        m = _BROKEN[wrong].search(piece)
-        if not m:
-            return None
-        head = b"".join(x for x in _unread(m.group("lead"), wrong) if x)
-        best = None
-        for last in range(0x80, 0xC0):
-            try:
-                ch = (head + bytes([last])).decode("utf-8")
-            except UnicodeDecodeError:
-                continue
-            if self.alphabet.get(ch, 0.0) > 0:
-                got = piece[: m.start()] + ch + piece[m.end() :]
-                s = self.score(got)
-                if best is None or s > best[0]:
-                    best = (s, got)
-        return best[1] if best else None
-
-    def lost(self, word: str) -> str:
-        """The likeliest word for one with lost bytes: a beam over the corpus' letters for each wildcard."""
-        spots = [m.start() for m in re.finditer(LOST, word)]
-        if not spots or len(spots) > 3:
-            return word
-        beam = [word]
-        for at in spots:
-            grown = [w[:at] + ch + w[at + 1 :] for w in beam for ch in self.letters]
-            grown.sort(key=self.score, reverse=True)
-            beam = grown[:BEAM]
-        best = beam[0]
-        return best if self.score(best) > self.score(word) + MARGIN else word
-
-    letters = "àáâãäåæçèéêëìíîïñòóôõöøùúûüœßÀÁÂÄÆÇÈÉÊËÌÍÎÏÑÒÓÔÖÙÚÛÜŒ’–§«»“”„¿¡…º"
+        at, filled = 0, False
+        while m := _BROKEN[wrong].search(piece, at):
+            head = b"".join(x for x in _unread(m.group("lead"), wrong) if x)
+            best = None
+            for last in range(0x80, 0xC0):
+                try:
+                    ch = (head + bytes([last])).decode("utf-8")
+                except UnicodeDecodeError:
+                    continue
+                if self.alphabet.get(ch, 0.0) > 0:
+                    got = piece[: m.start()] + ch + piece[m.end() :]
+                    s = self.score(got)
+                    if best is None or s > best[0]:
+                        best = (s, got)
+            if best:
+                piece, at, filled = best[1], m.start() + 1, True
+            else:
+                at = m.end()
+        return piece if filled else None
 
     def decode(self, text: str) -> tuple[str, int]:
         """The restored text and the number of garbled stretches, by Viterbi search over the stretches."""
@@ -322,7 +308,6 @@ class Restorer:
             got = next(r for r in columns[k] if r[0] == state)[1]
             if LOST in got:
                 garbled += 1
-                got = self.lost(got)
             elif state >= 0:
                 garbled += 1
             out.append(text[b:done])
@@ -330,6 +315,8 @@ class Restorer:
             done = a
             state = best[k][state][1]
         out.append(text[:done])
+        if self.reader is not None and LOST in text:
+            return self.reader.restore(text, lambda part: self.decode(part)[0]), garbled
         return "".join(reversed(out)), garbled
 
 
@@ -347,7 +334,7 @@ def corpus_counts(texts: DataFrame, col: str = "text") -> tuple[lm.Counts, dict[
 
 
 def restored(text: Column, counts: lm.Counts, alphabet: dict[str, float]) -> Column:
-    """struct<text, garbled>: the restored text and the number of garbled stretches; null text gives null and 0."""
+    """struct<text, garbled>: the restored text and the number of garbled stretches; null text gives null and 0. Losses stay marked: see relost."""
     @F.pandas_udf("struct<text:string,garbled:int>")
     def run(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         r = Restorer(counts, alphabet)
@@ -358,6 +345,17 @@ def restored(text: Column, counts: lm.Counts, alphabet: dict[str, float]) -> Col
     return run(text)
 
 
+def relost(text: Column, counts: lm.Counts, alphabet: dict[str, float], grams: lattice.Grams) -> Column:
+    """The restored text of one with losses, under the character sequences of the legible texts."""
+    @F.pandas_udf("string")
+    def run(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        r = Restorer(counts, alphabet, lattice.Reader(grams, alphabet))
+        for s in series:
+            yield pd.Series([r.decode(t)[0] if isinstance(t, str) else None for t in s], dtype=object)
+
+    return run(text)
+
+
 def is_garbled(text: Column, counts: lm.Counts, alphabet: dict[str, float]) -> Column:
     """Whether the text holds a garbled sequence; false for null and for ASCII texts, which need no search."""
 

@@ -60,18 +60,31 @@ def _garble_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(loc.unionByName(table(spark, sf_dir, "footnotes").select(F.lit("footnote").alias("rec_kind"), F.col("note_key").alias("rec_id"), "text")))
 
 
+def _beyond_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _garble_rows(spark, sf_dir).where(~F.col("text").rlike(r"\A[\x00-\x7F]*\z"))  # texts of ASCII only hold no garbled sequence
+
+
 def p1_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each garbled record with its restored text and the number of garbled stretches."""
-    from corpusmill.llm.garble import restored
+    """Each garbled record with its restored text and the number of garbled stretches; losses are read under the legible records."""
+    from corpusmill.llm.garble import LOST, relost, restored
+    from corpusmill.llm.lattice import count_grams
 
-    rows = _garble_rows(spark, sf_dir).where(~F.col("text").rlike(r"\A[\x00-\x7F]*\z"))  # texts of ASCII only hold no garbled sequence
-    out = rows.select("rec_kind", "rec_id", restored(F.col("text"), *_garble_model(spark, sf_dir)).alias("r"))
-    return out.select("rec_kind", "rec_id", F.col("r.text").alias("text"), F.col("r.garbled").alias("garbled")).where("garbled > 0")
+    model = _garble_model(spark, sf_dir)
+    rows = _beyond_ascii(spark, sf_dir).withColumn("r", restored(F.col("text"), *model))
+    rows = materialize(rows.select("rec_kind", "rec_id", "text", F.col("r.text").alias("read"), F.col("r.garbled").alias("garbled")))
+    grams = count_grams(rows.where("garbled = 0"), "text")
+    found = rows.where("garbled > 0")
+    lossy = F.contains("text", F.lit(LOST))
+    whole = found.where(~lossy).select("rec_kind", "rec_id", F.col("read").alias("text"), "garbled")
+    lost = spread(found.where(lossy), scan=False)
+    return whole.unionByName(lost.select("rec_kind", "rec_id", relost(F.col("text"), *model, grams).alias("text"), "garbled"))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """rec_kind and rec_id of each record with a garbled sequence."""
-    return p1_restored(spark, sf_dir).select("rec_kind", "rec_id")
+    from corpusmill.llm.garble import is_garbled
+
+    return _beyond_ascii(spark, sf_dir).where(is_garbled(F.col("text"), *_garble_model(spark, sf_dir))).select("rec_kind", "rec_id")
 
 
 def _legible(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.llm import align, bpe, garble, lm, lookalike, packing, pages, queries, reference, sentences, spam
+from corpusmill.llm import align, bpe, garble, lattice, lm, lookalike, packing, pages, queries, reference, sentences, spam
 from corpusmill.session import table
 from tests.conftest import rows
 
@@ -125,6 +125,31 @@ def test_clean_text_stays(restorer):
     assert restorer.decode("a �b")[1] == 1
 
 
+def test_lost_bytes_are_read_from_a_lattice(texts, restorer):
+    """Losses in Chinese and Arabic, any number of them, come back from the bytes that are left and the corpus' sequences."""
+    clean = [t for t in texts if not t.isascii() and restorer.decode(t)[1] == 0]
+    table = np.zeros(2 * (1 << lattice.BITS) + 1)
+    lattice.add(table, clean)
+    grams = lattice.Grams(table[:-1].reshape(2, -1), table[-1])
+    r = garble.Restorer(restorer.counts, restorer.alphabet, lattice.Reader(grams, restorer.alphabet))
+    for true, wrong, script, share in (("utf-8", "gb18030", "\u4e00\u9fff", 0.95), ("big5", "utf-8", "\u4e00\u9fff", 0.7), ("cp1256", "utf-8", "\u0600\u06ff", 0.5)):
+        same = total = 0
+        for t in [t for t in clean if sum(script[0] <= c <= script[1] for c in t) > 5 and len(t) < 250][:5]:
+            bad = t.encode(true, "ignore").decode(wrong, "replace")
+            if garble.LOST not in bad:
+                continue
+            got, n = r.decode(bad)
+            assert n > 0
+            same += sum(a == b for a, b in zip(got, t))
+            total += len(t)
+        assert total and same >= share * total, (true, wrong, same, total)
+
+
+def test_every_broken_sequence_is_filled(restorer):
+    channel = next(c for c in garble.CHANNELS if c == ("utf-8", "cp1252", 1))
+    assert "Ã" not in restorer.completed("rÃ?gÃ?", channel)
+
+
 def test_garble_on_odd_rows(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "Ã©Ã©")], "id int, text string")
     counts, alphabet = garble.corpus_counts(df)
