@@ -92,3 +92,32 @@ def fill_levels(df: DataFrame, part: list[str], order: str, levels: list[str], i
         df = df.withColumn(f"__epoch_{lv}", F.sum(F.when(F.col("__changed"), 1).otherwise(0)).over(upto))
         keys.append(f"__epoch_{lv}")
     return df.drop("__seen", "__cand", "__prev", "__changed", *(f"__epoch_{lv}" for lv in levels))
+
+
+def fill_levels_ordered(df: DataFrame, order: str, levels: list[str], identify, parts: int | None = None) -> DataFrame:
+    """fill_levels over the whole order of a unique key, by ranges: what a range must know comes from a row for each range and epoch."""
+    df = _ranged(df.withColumn("__e", F.lit(0).cast("bigint")), [order], parts)
+    keys = ["__e"]
+    for lv in levels:
+        ahead = W.partitionBy(*keys).orderBy("__p").rowsBetween(W.unboundedPreceding, -1)  # a row for each range of the epoch
+        own = W.partitionBy("__p", *keys).orderBy(order)
+        upto, before = own.rowsBetween(W.unboundedPreceding, 0), own.rowsBetween(W.unboundedPreceding, -1)
+        at = [*keys, "__p"]
+        # the source value counts only where nothing is carried: in the first row of the epoch that has any value
+        either = F.coalesce(F.col(lv), F.col(f"src_{lv}"))
+        first = df.groupBy(*keys).agg(F.min(F.when(either.isNotNull(), F.col(order))).alias("__first"))
+        df = df.join(first, keys).withColumn("__cand", F.when(F.col(order) == F.col("__first"), either).otherwise(F.col(lv)))
+        df = df.withColumn("__id", identify(F.col("__cand")))
+        last = df.groupBy(*at).agg(F.max_by("__id", F.when(F.col("__id").isNotNull(), F.col(order))).alias("__last"))
+        last = last.select(*at, F.last("__last", ignorenulls=True).over(ahead).alias("__carried"))
+        df = df.join(last, at).withColumn("__prev", F.coalesce(F.last("__id", ignorenulls=True).over(before), F.col("__carried")))
+        df = df.withColumn("__changed", F.col("__cand").isNotNull() & (F.col("__prev").isNull() | ~F.col("__prev").eqNullSafe(F.col("__id"))))
+        df = df.drop("__first", "__id", "__carried", "__prev")
+        sums = df.groupBy(*at).agg(F.max_by("__cand", F.when(F.col("__changed"), F.col(order))).alias("__last"), F.count_if("__changed").alias("__n"))
+        sums = sums.select(*at, F.last("__last", ignorenulls=True).over(ahead).alias("__value"), F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__epochs"))
+        value = F.last(F.when(F.col("__changed"), F.col("__cand")), ignorenulls=True).over(upto)
+        df = df.join(sums, at).withColumn(f"full_{lv}", F.coalesce(value, F.col("__value")))
+        df = df.withColumn(f"__epoch_{lv}", F.sum(F.when(F.col("__changed"), 1).otherwise(0)).over(upto) + F.col("__epochs"))
+        df = materialize(df.drop("__cand", "__changed", "__value", "__epochs"))
+        keys.append(f"__epoch_{lv}")
+    return df.drop("__p", *keys)

@@ -140,12 +140,11 @@ def win_first_appearance(spark, d):
 
 
 def win_hierarchy(spark, d):
-    """WIN-03, EXT-14, PRJ-04: levels filled from above with cascade reset, within each part."""
-    n = nodes(spark, d, "breadcrumbs", "headings", "title")
-    level = lambda k: F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.try_element_at("breadcrumbs", F.lit(k)))
+    """WIN-03, EXT-14, PRJ-04: levels filled from above with cascade reset, in the global id order."""
+    n = nodes(spark, d, "breadcrumbs", "title")
+    level = lambda k: F.try_element_at("breadcrumbs", F.lit(k))
     n = n.select("id", level(1).alias("part"), level(2).alias("section"), F.lit(None).cast("string").alias("src_part"), F.col("title").alias("src_section"))
-    n = n.withColumn("band", F.floor(F.col("id") / 100))
-    out = O.fill_levels(n, ["band"], "id", ["part", "section"], lambda c: F.regexp_extract(c, "^([^:]*)", 1))
+    out = O.fill_levels_ordered(n, "id", ["part", "section"], lambda c: F.regexp_extract(c, "^([^:]*)", 1))
     return out.select("id", "full_part", "full_section")
 
 

@@ -116,6 +116,46 @@ def test_fill_levels_against_fold(spark):
     assert got == want
 
 
+def fold_levels(data, levels, ident):
+    """data: (id, explicit values, source values) in order; the filled levels of each id."""
+    ctx, out = dict.fromkeys(levels), {}
+    for key, explicit, source in data:
+        for k, lv in enumerate(levels):
+            v = explicit[k]
+            value = ctx[lv] if v and ctx[lv] and ident(v) == ident(ctx[lv]) else v if v is not None else (None if ctx[lv] else source[k])
+            if not value:
+                continue
+            if ctx[lv] != value:
+                for low in levels[k + 1 :]:
+                    ctx[low] = None
+            ctx[lv] = value
+        out[key] = tuple(ctx[lv] for lv in levels)
+    return out
+
+
+def test_fill_levels_over_the_whole_order(spark):
+    rng = random.Random(8)
+    levels, pick = ["a", "b", "c"], lambda p: rng.choice(["x1:t", "x1:u", "x2:t", "x3:t"]) if rng.random() < p else None
+    data = [(i, [pick(0.02), pick(0.06), pick(0.2)], [pick(0.1) for _ in levels]) for i in range(400)]
+    df = spark.createDataFrame([(i, *e, *s) for i, e, s in data], "id int, a string, b string, c string, src_a string, src_b string, src_c string").repartition(3)
+    want = fold_levels(data, levels, lambda s: s.split(":")[0])
+    for parts in (1, 7):
+        out = O.fill_levels_ordered(df, "id", levels, lambda c: F.substring_index(c, ":", 1), parts)
+        assert {r["id"]: (r["full_a"], r["full_b"], r["full_c"]) for r in out.collect()} == want
+    assert O.fill_levels_ordered(df.limit(0), "id", levels, lambda c: c).count() == 0
+
+
+def test_hierarchy_is_carried_past_each_hundredth_id(spark, tmp_path):
+    from corpusmill.plans.relational import win_hierarchy
+
+    crumbs = {1: ["PART ONE: A", "s1"], 150: [None, "s2"], 297: ["PART TWO: B"], 303: ["PART TWO: B", "s3"], 450: ["PART THREE: C", "s3"]}
+    data = [(i, crumbs.get(i) or [], "t" if i in (1, 298, 300, 301) else None) for i in range(1, 501)]
+    spark.createDataFrame([(i, i, c, [], t) for i, c, t in data], "row_id long, id int, breadcrumbs array<string>, headings array<struct<kind:string,text:string>>, title string").write.parquet(f"{tmp_path}/catechism_nodes.parquet")
+    want = fold_levels([(i, [*c, None, None][:2], [None, t]) for i, c, t in data], ["part", "section"], lambda s: s.split(":")[0])
+    assert want[300] == ("PART TWO: B", "t") and want[200] == ("PART ONE: A", "s2")
+    assert {r["id"]: (r["full_part"], r["full_section"]) for r in win_hierarchy(spark, str(tmp_path)).collect()} == want
+
+
 def test_joins(spark):
     base = spark.createDataFrame([(1, "a", None), (2, None, "z")], "id int, t string, u string")
     over = spark.createDataFrame([(1, None, "n"), (2, "b", None)], "id int, t string, u string")
