@@ -28,8 +28,8 @@ CHROME = frozenset("nav aside footer header".split())
 IMPLIED = {"p": {"p"}, "li": {"li", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "tr": {"tr", "td", "th", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "option": {"option"}}
 SCOPES = frozenset("ul ol table body div td th".split())
 PASS_THROUGH = frozenset("ul ol dl blockquote table tbody tr td article section main".split())
-#: A line that at least this many pages show, and mostly in their chrome, is chrome everywhere.
-REPEATED, CHROME_SHARE = 3, 0.6
+#: A look that at least this many pages show, and mostly in their chrome, is chrome on every site of which this share of the pages shows it.
+REPEATED, CHROME_SHARE, SITE_SHARE = 3, 0.6, 0.002
 
 
 class Node:
@@ -185,6 +185,11 @@ def _in_chrome(n: Node | None) -> bool:
 
 def markup_lines(content: str) -> list[tuple[int, str, int]]:
     """(line, its visible text, verdict) with 2 for a body paragraph, 1 for a heading of the body and 0 for chrome."""
+    return [x[:3] for x in _markup_lines(content)]
+
+
+def _markup_lines(content: str) -> list[tuple[int, str, int, bool]]:
+    """The same, and whether the line holds a link."""
     nodes = build(content).nodes
     leaf = [n for n in nodes if any(t.strip() for _, t, _ in n.runs)]
     linky: dict[int, bool] = {}
@@ -239,7 +244,7 @@ def markup_lines(content: str) -> list[tuple[int, str, int]]:
             elif n.tag == "div":
                 v = 2 if (n.tag, n.cls) == dominant else 0
         verdict[n.id] = v
-    by_line: dict[int, list[tuple[str, int]]] = {}
+    by_line: dict[int, list[tuple[str, int, bool]]] = {}
     for n in leaf:
         named = ""
         line = -1
@@ -254,8 +259,8 @@ def markup_lines(content: str) -> list[tuple[int, str, int]]:
             # notes typeset without blocks of their own: a named anchor begins the line
             if v == 0 and named and ln == line and n.id not in (own_links.keys() if own_links[n.id] and n.tag not in ("body", "td", "center") else ()) and k != "a":
                 v = 2
-            by_line.setdefault(ln, []).append((t.strip(), v))
-    return [(ln, " ".join(t for t, _ in parts), max(v for _, v in parts)) for ln, parts in sorted(by_line.items())]
+            by_line.setdefault(ln, []).append((t.strip(), v, k in ("a", "#")))
+    return [(ln, " ".join(t for t, _, _ in parts), max(v for _, v, _ in parts), any(x for _, _, x in parts)) for ln, parts in sorted(by_line.items())]
 
 
 def _reaches(n: Node, main: Node) -> bool:
@@ -304,19 +309,20 @@ def plain_lines(content: str, site: str | None) -> list[tuple[int, str, int]]:
 
 
 def lines(pages: DataFrame) -> DataFrame:
-    """page_id, local_path, line_no, text and verdict of each line with visible text; one narrow pass. Rows with a null page_id or content have none."""
+    """page_id, local_path, site, line_no, text, verdict and link flag of each line with visible text; one narrow pass. Rows with a null page_id or content have none."""
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for pid, path, site, content in zip(b["page_id"], b["local_path"], b["site"], b["content"]):
-                found = markup_lines(content) if is_markup(content) else plain_lines(content, site)
                 kind = 1 if is_markup(content) else 0
-                rows += [(pid, path, ln, t, v, kind) for ln, t, v in found]
-            yield pd.DataFrame(rows, columns=["page_id", "local_path", "line_no", "text", "verdict", "markup"])
+                # without markup, the items of a list that isn't body are titles of links
+                found = _markup_lines(content) if kind else [(*x, x[2] == 0 and x[1].startswith(("- ", "* ", "• "))) for x in plain_lines(content, site)]
+                rows += [(pid, path, site, ln, t, v, kind, linked) for ln, t, v, linked in found]
+            yield pd.DataFrame(rows, columns=["page_id", "local_path", "site", "line_no", "text", "verdict", "markup", "linked"])
 
     some = pages.where("content IS NOT NULL AND page_id IS NOT NULL").select("page_id", "local_path", "site", "content")
-    return some.mapInPandas(part, "page_id long, local_path string, line_no int, text string, verdict int, markup int")
+    return some.mapInPandas(part, "page_id long, local_path string, site string, line_no int, text string, verdict int, markup int, linked boolean")
 
 
 def look(text: Column) -> Column:
@@ -327,13 +333,16 @@ def look(text: Column) -> Column:
 def body_lines(found: DataFrame) -> DataFrame:
     """page_id and line_no of the main body, from lines() that were written once.
 
-    A line's look is chrome if REPEATED or more sources show it, mostly as chrome; copies of one page count once. Pages of
-    which only headings are left have no body. Null and empty contents give no row.
+    A line's look is chrome if REPEATED or more sources show it, mostly as chrome, and the line's own site shows it on a
+    share of its pages; copies of one page count once. Titles of links say nothing about the body of other pages and have
+    no vote. Pages of which only headings are left have no body. Null and empty contents give no row.
     """
-    found = found.withColumn("h", look(F.col("text")))
-    seen = found.groupBy("h", "local_path").agg(F.min("verdict").alias("v"))
-    looks = seen.groupBy("h").agg(F.count("*").alias("n"), F.avg((F.col("v") == 0).cast("double")).alias("share"))
-    chrome = looks.where((F.col("n") >= REPEATED) & (F.col("share") >= CHROME_SHARE)).select("h")
-    kept = found.where("verdict > 0").join(chrome, "h", "left_anti")
+    found = found.withColumn("h", look(F.col("text"))).withColumn("site", F.coalesce("site", F.lit("")))
+    sites = found.groupBy("site").agg(F.count_distinct("local_path").alias("pages"))
+    seen = found.where("verdict > 0 OR NOT linked").groupBy("h", "site", "local_path").agg(F.max((F.col("verdict") == 0).cast("int")).alias("c"))
+    looks = seen.groupBy("h", "site").agg(F.count("*").alias("n"), F.sum("c").alias("c"))
+    often = looks.groupBy("h").agg(F.sum("n").alias("all"), F.sum("c").alias("as_chrome")).where((F.col("all") >= REPEATED) & (F.col("as_chrome") >= CHROME_SHARE * F.col("all")))
+    chrome = looks.join(often, "h", "left_semi").join(sites, "site").where(F.col("n") >= SITE_SHARE * F.col("pages")).select("h", "site")
+    kept = found.where("verdict > 0").join(chrome, ["h", "site"], "left_anti")
     prose = kept.groupBy("page_id").agg(F.max("verdict").alias("best")).where("best = 2").select("page_id")
     return kept.join(prose, "page_id", "left_semi").select("page_id", "line_no").distinct()

@@ -303,6 +303,15 @@ def test_page_body(spark):
     assert pages.render("<table><tr><td>a<td>bb<tr><td>ccc<td>d</table>") == "a    bb\nccc  d"
 
 
+def test_titles_of_links_do_not_remove_headings(spark):
+    """A heading of the body that other pages' boxes link to stays; a notice that they show as chrome goes."""
+    body = "<body><main>\n<h2>The elder proclaims hope</h2>\n<p>The lamp burns in the house and does not fail.</p>\n<p>All rights reserved.</p>\n</main></body>"
+    other = '<body><div class="box"><ul>\n<li><a href="a.htm">The elder proclaims hope</a></li>\n<li><a href="b.htm">Home</a></li>\n</ul></div>\n<main><p>Text of page number %s that is long enough.</p></main>\n<footer><p>All rights reserved.</p></footer></body>'
+    data = [(1, "p1", "s.example", body)] + [(k, f"p{k}", site, other % ("abcdefghijkl"[k])) for k, site in zip(range(2, 10), ["s.example", "t.example"] * 4)]
+    df = spark.createDataFrame(data, "page_id long, local_path string, site string, content string")
+    assert [ln for pid, ln in rows(pages.body_lines(pages.lines(df))) if pid == 1] == [1, 2]
+
+
 def test_long_page_is_linear():
     big = "<body>" + "<p>A line of the body that is long enough.</p>\n" * 20000 + "</body>"
     assert len(pages.markup_lines(big)) == 20000
