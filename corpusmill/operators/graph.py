@@ -86,18 +86,21 @@ def bfs(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
-def reachable(links: DataFrame, seeds: DataFrame, limit: int, most_rounds: int = 1000) -> DataFrame:
-    """Crawl: every page reached from the seeds over links(source, target); raises if more than `limit` pages are visited."""
+def reachable(links: DataFrame, seeds: DataFrame, limit: int, most_rounds: int | None = None) -> DataFrame:
+    """Crawl: every page reached from the seeds over links(source, target); raises if more than `limit` pages are visited or the rounds are used up."""
     seen = materialize(seeds.select("id").distinct())
     frontier = seen
-    for _ in range(most_rounds):
+    rounds = 0
+    while True:
         frontier = materialize(frontier.join(links, F.col("id") == F.col("source")).select(F.col("target").alias("id")).distinct().join(seen, "id", "left_anti"))
         if frontier.isEmpty():
             return seen
+        rounds += 1
+        if most_rounds is not None and rounds > most_rounds:
+            raise ValueError(f"pages are left after {most_rounds} rounds")
         seen = materialize(seen.unionByName(frontier))
         if (n := seen.count()) > limit:
             raise ValueError(f"{n} pages visited; the limit is {limit}")
-    return seen
 
 
 def neighbour_flags(edges: DataFrame, root: int) -> DataFrame:

@@ -58,6 +58,14 @@ def test_bfs_and_crawl(spark):
         G.reachable(e, root, 2)
 
 
+def test_crawl_does_not_stop_short(spark):
+    chain = spark.createDataFrame([(k, k + 1) for k in range(1, 7)], "source int, target int")
+    root = spark.createDataFrame([(1,)], "id int")
+    assert G.reachable(chain, root, 10, most_rounds=6).count() == 7
+    with pytest.raises(ValueError):
+        G.reachable(chain, root, 10, most_rounds=3)
+
+
 def test_layout_is_deterministic(spark):
     n = spark.createDataFrame([(i, "a" if i < 4 else "b") for i in range(1, 8)], "id int, group string")
     e = spark.createDataFrame([(1, 2), (2, 3), (6, 7)], "source int, target int")
