@@ -10,7 +10,10 @@ BIDI = r"[‎‏‪-‮⁦-⁩]"
 SPACE = r"[\s   -     　﻿]+"
 #: The entities that clean_text decodes, in this order.
 ENTITIES = (("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"), ("&gt;", ">"), ("&lt;", "<"))
-SMALL_WORDS = ("a", "an", "and", "as", "at", "but", "by", "for", "from", "in", "of", "on", "or", "the", "to", "with")
+#: Words that stay small in a title, numerals that stay capitals, ordinal words of levels.
+SMALL_WORDS = ("a", "an", "and", "as", "at", "by", "for", "from", "in", "of", "on", "or", "the", "to", "with")
+TITLE_NUMERALS = ("i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix", "x")
+ORDINAL_WORDS = ("ONE", "TWO", "THREE", "FOUR", "FIVE", "SIX", "SEVEN", "EIGHT", "NINE", "TEN", "ELEVEN", "TWELVE")
 
 
 def strip_bidi(c: Column) -> Column:
@@ -46,19 +49,82 @@ def label_key(c: Column) -> Column:
 
 
 def title_case(c: Column) -> Column:
-    """Words capitalised; small words stay small but at the start and after a period or colon; Roman numerals in capitals."""
-    words = F.split(F.lower(c), " ")
+    """Words capitalised; small words stay small but at both ends and after a period or colon; numerals up to X in capitals.
+
+    Only a word of letters and apostrophes, with or without marks around it, is touched. Null gives null.
+    """
+    words = F.split(clean_text(c), " ")
+    shape = r"^([^A-Za-z]*)([A-Za-z][A-Za-z']*)([^A-Za-z]*)$"
 
     def one(w: Column, i: Column) -> Column:
         before = F.element_at(words, F.greatest(i, F.lit(1)))
-        first = (i == 0) | before.rlike(r"[.:]$")
-        numeral = w.rlike(r"^(?=[ivxlc])(c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})[.:]?$") & w.rlike("^[ivxlc]{1,7}[.:]?$")
-        cap = F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1_000_000))
-        return F.when(numeral, F.upper(w)).when(w.isin(*SMALL_WORDS) & ~first, w).otherwise(cap)
+        core = F.lower(F.regexp_extract(w, shape, 2))
+        keep = (i == 0) | (i == F.size(words) - 1) | before.rlike(r"[.:]$") | ~core.isin(*SMALL_WORDS)
+        cased = F.when(core.isin(*TITLE_NUMERALS), F.upper(core)).when(keep, F.concat(F.upper(F.substring(core, 1, 1)), F.substring(core, 2, 1_000_000))).otherwise(core)
+        return F.when(w.rlike(shape), F.concat(F.regexp_extract(w, shape, 1), cased, F.regexp_extract(w, shape, 3))).otherwise(w)
 
     return F.array_join(F.transform(words, one), " ")
 
 
+def document_label(c: Column) -> Column:
+    """A reference's label without one lead-in of each kind, in this order: cf, see also, see."""
+    c = clean_text(c)
+    for lead in (r"(?i)^cf\.?\s+", r"(?i)^see also\s+", r"(?i)^see\s+"):
+        c = F.regexp_replace(c, lead, "")
+    return collapse(c)
+
+
+def book_alias(c: Column) -> Column:
+    """A book's short name in lower case without periods."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"\.", ""), r"\s+", " "))
+
+
+def subtitle_key(c: Column) -> Column:
+    """A text without tags and punctuation, in lower case: two subtitles that differ in these only are one."""
+    c = F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), "<[^>]+>", " "), r"\s+", " ")
+    return F.lower(F.trim(F.regexp_replace(c, "[.,;:!?'\"“”‘’«»()\\[\\]{}-]", "")))
+
+
+def locator_token(c: Column) -> Column:
+    """A locator with 'para.' as a section mark and without 'et' and 'and'."""
+    c = F.regexp_replace(clean_text(c), r"(?i)\bpara(?:graph)?\.?\s*", "§ ")
+    return F.trim(F.regexp_replace(F.regexp_replace(c, r"(?i)\bet\s+", ""), r"(?i)\band\s+", ""))
+
+
+def without_count(c: Column) -> Column:
+    """A title without the range of numbers in parentheses at its end."""
+    return collapse(F.regexp_replace(clean_text(c), r"\(\d+\s*-\s*\d+\)$", ""))
+
+
+def quoted_title(c: Column, lang: Column) -> Column:
+    """A title that stands in quotation marks as a whole, in the marks of its language; others as they are."""
+    t = clean_text(c)
+    inner = F.trim(F.regexp_extract(t, "^[\"„«]\\s*(.*?)\\s*[\"»]$", 1))
+    marked = F.when(lang == "fr", F.concat(F.lit("«"), inner, F.lit("»"))).when(lang == "de", F.concat(F.lit("„"), inner, F.lit("“"))).otherwise(inner)
+    return F.when(t.rlike("^[\"„«]\\s*(.*?)\\s*[\"»]$"), marked).otherwise(t)
+
+
+def season(c: Column) -> Column:
+    """Season by ordered rules; any other text as it is, trimmed; null and empty give Ordinary Time."""
+    out = F.trim(c)
+    #: The rules in reverse order
+    for pattern, name in reversed((("holy week", "Holy Week"), ("ordinary", "Ordinary Time"), ("christmas", "Christmas"), ("advent", "Advent"), ("lent", "Lent"), ("easter", "Easter"))):
+        out = F.when(F.lower(c).contains(pattern), name).otherwise(out)
+    return F.when(c.isNull() | (c == ""), "Ordinary Time").otherwise(out)
+
+
+def unescape_html(c: Column) -> Column:
+    """The five entities that escape_html writes, decoded; the ampersand last, so that each character is decoded once."""
+    for ch, entity in (("'", "&#39;"), ('"', "&quot;"), (">", "&gt;"), ("<", "&lt;"), ("&", "&amp;")):
+        c = F.replace(c, F.lit(entity), F.lit(ch))
+    return c
+
+
+def escape_pattern(c: Column) -> Column:
+    """A text as a pattern that matches itself."""
+    return F.regexp_replace(c, r"([.*+?^${}()|\[\]\\])", r"\\$1")
+
+
 def escape_html(c: Column) -> Column:
     for ch, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
         c = F.replace(c, F.lit(ch), F.lit(entity))

@@ -61,37 +61,111 @@ def numbered_sections(df: DataFrame, keys: list[str], order: str, text: str, las
     return got.groupBy(*keys, "number").agg(pick("body", "__n").alias("body"))
 
 
+#: What cuts a note before a comparison, a label that is a comparison only, a segment that continues the document before it.
+COMPARE = r"(?i)\bcf\.?(?=\s|$)"
+COMPARE_ONLY = r"(?i)^[,.;:\s]*cf\.?[,.;:\s]*$"
+CONTINUES = r"(?i)^(?:\d+(?::\d+)?(?:\s*[-,]\s*\d+(?::\d+)?)?|§+\s*\d+|can(?:n)?\.?\s*\d+|cann?\.\s*\d+|preface\b|introduction\b|praenotanda\b)"
+
+
 def note_segments(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, pos, segment, compare) of each note: cut at semicolons and before 'cf.'; compare holds from the first 'cf.' on."""
-    cut = F.split(F.regexp_replace(F.col(text_col), r"(?i)\s+(?=cf\.)", ";"), ";")
-    parts = df.where(F.col(text_col).isNotNull()).select(F.col(id_col), F.posexplode(F.transform(cut, clean_text)).alias("pos", "raw")).where("raw <> ''")
+    """(id, pos, segment, compare) of each note: cut at semicolons and before each 'cf' or 'cf.'.
+
+    compare holds from the first 'cf' on to the note's end; the segment keeps its 'cf'. Null and blank notes have none.
+    """
+    cut = F.split(F.regexp_replace(F.col(text_col), COMPARE, "\u0001$0"), "[;\u0001]")
+    parts = df.where(F.col(text_col).isNotNull()).select(F.col(id_col), F.posexplode(F.transform(cut, clean_text)).alias("pos", "segment")).where("segment <> ''")
     w = W.partitionBy(id_col).orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    compare = F.max(F.col("raw").rlike(r"(?i)^cf\.").cast("int")).over(w) == 1
-    return parts.select(id_col, "pos", F.regexp_replace("raw", r"(?i)^cf\.\s*", "").alias("segment"), compare.alias("compare"))
+    compare = F.max(F.col("segment").rlike(r"(?i)^cf\.?(?:\s|$)").cast("int")).over(w) == 1
+    return parts.select(id_col, "pos", "segment", compare.alias("compare"))
 
 
-def references(segments: DataFrame, id_col: str, scripture: str, document: str) -> DataFrame:
-    """References of note segments: classified by pattern, a part that is neither continues the document before it.
+def references(segments: DataFrame, id_col: str, scripture: Column, scripture_labels=None) -> DataFrame:
+    """References of note segments: classified by the column scripture, a document segment that only continues is joined to the one before.
 
-    (id, ref_id, kind, label, compare); ref_id is note:kind:n with n counted within note and kind.
+    (id, ref_id, kind, label, compare). ref_id is note:kind:n, n counted within note and kind. A segment without a letter
+    and one that is a comparison only give none. scripture_labels(label): array of the labels of a scripture segment,
+    by default the label itself.
     """
-    kind = F.when(F.col("segment").rlike(scripture), "scripture").when(F.col("segment").rlike(document), "document")
-    s = segments.withColumn("kind", kind)
+    from corpusmill.functions.text import document_label
+
+    s = segments.withColumn("label", document_label(F.col("segment"))).where((F.col("label") != "") & ~F.col("label").rlike(COMPARE_ONLY))
+    s = s.withColumn("kind", F.when(scripture, "scripture").otherwise("document"))
     w = W.partitionBy(id_col).orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    s = s.withColumn("head", F.sum(F.col("kind").isNotNull().cast("int")).over(w)).where("head > 0")
-    label = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "segment"))), lambda x: x["segment"]), "; ")
-    g = s.groupBy(id_col, "head").agg(F.max("kind").alias("kind"), label.alias("label"), F.max("compare").alias("compare"), F.min("pos").alias("pos"))
+    docs = s.where("kind = 'document'")
+    letter = F.col("label").rlike("(?i)[a-z]")
+    opens = letter & ~F.col("label").rlike(CONTINUES)
+    # a continuation before any document opens one itself if it holds a letter
+    docs = docs.withColumn("__open", opens).withColumn("__some", F.max(letter.cast("int")).over(w))
+    first = F.min(F.when(letter, F.col("pos"))).over(W.partitionBy(id_col))
+    docs = docs.withColumn("__open", F.col("__open") | (F.col("pos") == first))
+    docs = docs.withColumn("head", F.sum(F.col("__open").cast("int")).over(w)).where("head > 0")
+    docs = docs.where(F.col("__open") | F.col("label").rlike(CONTINUES))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "label"))), lambda x: x["label"]), "; ")
+    docs = docs.groupBy(id_col, "head").agg(F.min("pos").alias("pos"), text.alias("label"), F.max("compare").alias("compare")).select(id_col, "pos", F.lit("document").alias("kind"), "label", "compare")
+    many = scripture_labels(F.col("label")) if scripture_labels else F.array("label")
+    verses = s.where("kind = 'scripture'").select(id_col, "pos", "kind", F.explode(many).alias("label"), "compare")
+    both = docs.unionByName(verses)
     n = F.row_number().over(W.partitionBy(id_col, "kind").orderBy("pos"))
-    return g.withColumn("n", n).select(id_col, F.concat_ws(":", F.col(id_col).cast("string"), "kind", F.col("n").cast("string")).alias("ref_id"), "kind", "label", "compare")
+    return both.withColumn("n", n).select(id_col, F.concat_ws(":", F.col(id_col).cast("string"), "kind", F.col("n").cast("string")).alias("ref_id"), "kind", "label", "compare")
 
 
 def inline_notes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, note): parenthetical notes of up to 260 characters that hold a digit, numbered in order of those kept."""
+    """(id, n, note): parenthetical notes of up to 260 characters that hold a digit and yield a reference, numbered in order of those kept.
+
+    A note yields a reference if one of its segments holds a letter and is more than a comparison.
+    """
     found = F.regexp_extract_all(F.col(text_col), F.lit(r"\(([^()]{1,260})\)"), F.lit(1))
-    kept = F.filter(found, lambda x: x.rlike(r"\d"))
+    parts = lambda x: F.split(F.regexp_replace(x, COMPARE, "\u0001$0"), "[;\u0001]")
+    yields = lambda x: F.exists(parts(x), lambda p: p.rlike("(?i)[a-z]") & ~p.rlike(COMPARE_ONLY))
+    kept = F.filter(F.transform(found, clean_text), lambda x: x.rlike(r"\d") & yields(x))
     return df.where(F.col(text_col).isNotNull()).select(F.col(id_col), F.posexplode(kept).alias("n", "note")).select(id_col, (F.col("n") + 1).alias("n"), "note")
 
 
 def pinpoints(c: Column) -> Column:
     """Locator numbers of a label; a range wider than 32 gives its start; each number once."""
     return F.array_distinct(expand_numbers(c, 32, collapse_wide=True))
+
+
+def verses_apart(df: DataFrame, keys: list[str], order: str, text: str) -> DataFrame:
+    """(keys, verse, text): a paragraph that is a number takes the next one that holds text as its verse; of numbers in a row the last counts."""
+    t = clean_text(F.col(text))
+    w = W.partitionBy(*keys).orderBy(order)
+    d = df.select(*keys, order, t.alias("__t")).where("__t <> ''").withColumn("__n", F.when(F.col("__t").rlike(r"^\d+$"), F.col("__t").try_cast("int")))
+    d = d.withColumn("verse", F.lag("__n").over(w)).where("__n IS NULL AND verse IS NOT NULL")
+    return d.select(*keys, "verse", F.regexp_replace("__t", r"^\d+\s+", "").alias("text"))
+
+
+def verses_inline(df: DataFrame, keys: list[str], order: str, text: str) -> DataFrame:
+    """(keys, verse, text) of the paragraphs 'n text'."""
+    t, p = clean_text(F.col(text)), r"^(\d+)\s+(.+)$"
+    return df.where(t.rlike(p)).select(*keys, F.regexp_extract(t, p, 1).try_cast("int").alias("verse"), F.regexp_extract(t, p, 2).alias("text"))
+
+
+def verses_marked(df: DataFrame, keys: list[str], order: str, text: str, marker: str = r"^(\d+)\s+(.+)$") -> DataFrame:
+    """(keys, verse, text): a line that fits the marker (number, rest) opens a verse, the others continue it; empty verses are left out."""
+    t = clean_text(F.col(text))
+    d = df.select(*keys, order, t.alias("__t")).where("__t <> ''")
+    opens = F.col("__t").rlike(marker)
+    w = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    d = d.withColumn("__seg", F.sum(F.when(opens, 1).otherwise(0)).over(w)).where("__seg > 0")
+    d = d.withColumn("__n", F.when(opens, F.regexp_extract("__t", marker, 1).try_cast("int"))).withColumn("__b", F.when(opens, F.regexp_extract("__t", marker, 2)).otherwise(F.col("__t")))
+    body = F.transform(F.filter(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col("__b").alias("t")))), lambda x: x["t"] != ""), lambda x: x["t"])
+    got = d.groupBy(*keys, "__seg").agg(F.max("__n").alias("verse"), clean_text(F.array_join(body, " ")).alias("text"))
+    return got.where("text <> ''").select(*keys, "verse", "text")
+
+
+def verses_anchored(df: DataFrame, keys: list[str], order: str, text: str, anchor: str) -> DataFrame:
+    """(keys, chapter, verse, text): a paragraph with a numeric anchor opens a chapter; within it as verses_marked."""
+    w = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    d = df.withColumn("chapter", F.last(anchor, ignorenulls=True).over(w)).where("chapter IS NOT NULL")
+    return verses_marked(d, [*keys, "chapter"], order, text)
+
+
+def verses_by_place(df: DataFrame, keys: list[str], order: str, text: str) -> DataFrame:
+    """(keys, chapter, verse, text): a line 'c:v text' opens a verse, the others continue it; empty verses are left out."""
+    p = r"^(\d+):(\d+)\s*(.*)$"
+    w = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    d = df.select(*keys, order, clean_text(F.col(text)).alias("__l")).where("__l <> ''")
+    d = d.withColumn("chapter", F.last(F.when(F.col("__l").rlike(p), F.regexp_extract("__l", p, 1).try_cast("int")), ignorenulls=True).over(w)).where("chapter IS NOT NULL")
+    d = d.withColumn("__l", F.regexp_replace("__l", r"^\d+:(?=\d+)", ""))
+    return verses_marked(d, [*keys, "chapter"], order, "__l", r"^(\d+)\s*(.*)$")

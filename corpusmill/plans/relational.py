@@ -7,8 +7,12 @@ from pyspark.sql import Window as W
 
 from corpusmill.operators import joins as J
 from corpusmill.operators import ordered as O
+from corpusmill.functions.text import clean_text, document_label
 from corpusmill.operators.dedupe import keep_first, keep_last
+from corpusmill.operators.hierarchy import LEVELS, normal_segment
+from corpusmill.operators.segment import COMPARE_ONLY, CONTINUES
 from corpusmill.plans.graphs import N, nodes
+from corpusmill.plans.sqltext import LABEL
 from corpusmill.session import table
 
 L = "l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id, lang ORDER BY row_id) AS rn FROM localized_nodes) WHERE rn = 1)"
@@ -64,23 +68,30 @@ def agg_outline(spark, d):
 
 
 def join_lookup(spark, d):
-    """JOIN-01, JOIN-03: references whose node is missing, per kind (the misses of an inner lookup)."""
-    _, missing = J.lookup(table(spark, d, "external_references").select(F.col("node_id").alias("id"), "kind"), nodes(spark, d).select("id"), ["id"])
-    return missing.groupBy("kind").agg(F.count("*").alias("missing"))
+    """JOIN-01, JOIN-03: how many cross-references of each part find their node by an inner lookup, and how many miss it."""
+    n = nodes(spark, d, "part", "xrefs")
+    refs = n.select("part", F.explode("xrefs").alias("id"))
+    found, missing = J.lookup(refs, n.select("id"), ["id"])
+    both = found.select("part", F.lit(1).alias("hit")).unionByName(missing.select("part", F.lit(0).alias("hit")))
+    return both.groupBy("part").agg(F.sum("hit").alias("found"), F.sum(1 - F.col("hit")).alias("missing"))
 
 
 def join_overlay(spark, d):
-    """JOIN-02, PRJ-06: English rows with French columns where there are any."""
+    """JOIN-02: English rows with each language's columns where there are any, in every language of the packs."""
     base = nodes(spark, d, "title", "text", "preview").drop("row_id")
-    return J.overlay(base, _loc(spark, d, "title", "text", "preview").where("lang = 'fr'"), "id", ["title", "text", "preview"])
+    langs = table(spark, d, "localized_nodes").where("lang IS NOT NULL").select("lang").distinct()
+    want = base.join(_loc(spark, d).select("id", "lang").join(J.small(langs), "lang", "left_semi"), "id").withColumn("key", F.concat_ws(":", F.col("id").cast("string"), "lang"))
+    over = _loc(spark, d, "title", "text", "preview").where("lang IS NOT NULL").withColumn("key", F.concat_ws(":", F.col("id").cast("string"), "lang"))
+    return J.overlay(want, over, "key", ["title", "text", "preview"]).select("id", "lang", "title", "text", "preview")
 
 
 def join_fallback(spark, d):
-    """JOIN-05, SRC-21: the localized preview by id and language, else by the id's wildcard row."""
-    want = nodes(spark, d).select("id").withColumn("lang", F.lit("it"))
+    """JOIN-05, SRC-21: the localized preview of each node in each language of the list, else the id's wildcard row."""
+    langs = spark.createDataFrame(LANGUAGES, "lang string, name string").select("lang")
+    want = nodes(spark, d).select("id").crossJoin(F.broadcast(langs))  # eight rows
     exact = _loc(spark, d, "preview").select("id", "lang", "preview").where("lang <> '*'")
     wild = nodes(spark, d, "preview").select("id", F.lit("*").alias("lang"), "preview")
-    return J.with_fallback(want, exact.unionByName(wild), ["id", "lang"], ["id"], "preview", {"lang": F.lit("*")}).select("id", "preview")
+    return J.with_fallback(want, exact.unionByName(wild), ["id", "lang"], ["id"], "preview", {"lang": F.lit("*")}).select("id", "lang", "preview")
 
 
 def join_first_rule(spark, d):
@@ -140,18 +151,22 @@ def win_first_appearance(spark, d):
 
 
 def win_hierarchy(spark, d):
-    """WIN-03, EXT-14, PRJ-04: levels filled from above with cascade reset, in the global id order."""
-    n = nodes(spark, d, "breadcrumbs", "title")
-    level = lambda k: F.try_element_at("breadcrumbs", F.lit(k))
-    n = n.select("id", level(1).alias("part"), level(2).alias("section"), F.lit(None).cast("string").alias("src_part"), F.col("title").alias("src_section"))
-    out = O.fill_levels_ordered(n, "id", ["part", "section"], lambda c: F.regexp_extract(c, "^([^:]*)", 1))
-    return out.select("id", "full_part", "full_section")
+    """WIN-03: five levels carried over the whole id order; a changed level clears all lower ones, the source counts only where nothing is carried."""
+    n = nodes(spark, d, "breadcrumbs", "headings", "title")
+    heading = lambda kind: F.try_element_at(F.filter("headings", lambda h: h["kind"] == kind), F.lit(-1))["text"]
+    crumb = lambda k: F.try_element_at("breadcrumbs", F.lit(k))
+    given = {"part": normal_segment(crumb(1)), "section": crumb(2), "chapter": heading("major"), "article": heading("minor"), "paragraph": F.lit(None).cast("string")}
+    source = {"part": F.lit(None).cast("string"), "section": F.col("title"), "chapter": F.lit(None).cast("string"), "article": F.lit(None).cast("string"), "paragraph": F.col("title")}
+    n = n.select("id", *(c.alias(lv) for lv, c in given.items()), *(c.alias(f"src_{lv}") for lv, c in source.items()))
+    ident = lambda c: F.regexp_extract(c, "^([^:]*)", 1)
+    return O.fill_levels_ordered(n, "id", list(LEVELS), ident).select("id", *(f"full_{lv}" for lv in LEVELS))
 
 
 def win_sticky(spark, d):
-    """WIN-04: the latest heading kind up to each node, in the global id order."""
+    """WIN-04: a mode that the latest row with headings sets: whether one of them is the mode's, in the global id order; off before the first."""
     n = nodes(spark, d, "headings").select("id", "headings")
-    return O.carry_forward(n, ["id"], F.try_element_at("headings", F.lit(-1))["kind"], "mode").select("id", "mode")
+    flag = F.when(F.size("headings") > 0, F.exists("headings", lambda h: F.upper(clean_text(h["text"])) == "THE CUP"))
+    return O.carry_forward(n, ["id"], flag, "mode").select("id", F.coalesce("mode", F.lit(False)).alias("mode"))
 
 
 def win_segment_id(spark, d):
@@ -206,9 +221,9 @@ def flt_clamp_date(spark, d):
 
 
 def flt_validity(spark, d):
-    """FLT-06: labels that are a bare comparison, hold no letter, or only continue another."""
+    """FLT-06: labels that are a comparison only, hold no letter, or only continue the document before."""
     r = table(spark, d, "external_references").where("label IS NOT NULL")
-    return r.select("ref_key", F.col("label").rlike(r"(?i)^\s*cf\.?\s*$").alias("compare_only"), (~F.col("label").rlike("[A-Za-z]")).alias("no_letter"), F.col("label").rlike(r"^\s*[0-9]").alias("continues"))
+    return r.select("ref_key", F.col("label").rlike(COMPARE_ONLY).alias("compare_only"), (~F.col("label").rlike("[A-Za-z]")).alias("no_letter"), document_label(F.col("label")).rlike(CONTINUES).alias("continues"))
 
 
 def flt_reuse(spark, d):
@@ -223,8 +238,9 @@ def flt_plain_notes(spark, d):
 
 
 def flt_capability(spark, d):
-    """FLT-09: pages in the archive path."""
-    return table(spark, d, "source_pages").select("page_id", F.col("url").rlike(r"(?i)/archive/").alias("archived"))
+    """FLT-09: pages of the councils' archive, over the pages' addresses with that folder before every file whose page is known by language."""
+    moved = F.when(F.col("lang").isNull(), F.col("url")).otherwise(F.regexp_replace("url", "/archive/", "/ARCHIVE/hist_councils/"))
+    return table(spark, d, "source_pages").select("page_id", moved.rlike(r"(?i)/archive/hist_councils/").alias("archived"))
 
 
 def srt_locale(spark, d):
@@ -274,6 +290,28 @@ QUERIES = {
     )
 }
 
+_LV = ("part", "section", "chapter", "article", "paragraph")
+
+
+def _steps() -> str:
+    """One row of the walk: of each level its explicit value, then the carried one unless a higher level changed."""
+    out, reset = [], "false"
+    for lv in _LV:
+        out.append(f"CASE WHEN {reset} THEN NULL ELSE r.{lv} END AS c_{lv}")
+        same = f"x.{lv} IS NOT NULL AND c_{lv} IS NOT NULL AND regexp_extract(x.{lv}, '^([^:]*)', 1) = regexp_extract(c_{lv}, '^([^:]*)', 1)"
+        out.append(f"CASE WHEN {same} THEN c_{lv} WHEN x.{lv} IS NOT NULL THEN x.{lv} WHEN c_{lv} IS NULL THEN x.src_{lv} END AS e_{lv}")
+        out.append(f"coalesce(e_{lv}, c_{lv}) AS f_{lv}")
+        out.append(f"({reset} OR (e_{lv} IS NOT NULL AND e_{lv} IS DISTINCT FROM c_{lv})) AS z_{lv}")
+        reset = f"z_{lv}"
+    return ", ".join(out)
+
+
+_HIERARCHY = (
+    f"WITH RECURSIVE {N}, x AS (SELECT row_number() OVER (ORDER BY id) AS i, id, 'Part ' || (CASE WHEN breadcrumbs[1] LIKE 'PART ONE%' THEN 1 WHEN breadcrumbs[1] LIKE 'PART TWO%' THEN 2 WHEN breadcrumbs[1] LIKE 'PART THREE%' THEN 3 WHEN breadcrumbs[1] LIKE 'PART FOUR%' THEN 4 END) || ': ' || array_to_string(list_transform(string_split(regexp_extract(breadcrumbs[1], ': (.*)$', 1), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS part, NULL::varchar AS src_part, breadcrumbs[2] AS section, title AS src_section, "
+    "list_filter(headings, lambda h: h.kind = 'major')[-1].text AS chapter, NULL::varchar AS src_chapter, list_filter(headings, lambda h: h.kind = 'minor')[-1].text AS article, NULL::varchar AS src_article, NULL::varchar AS paragraph, title AS src_paragraph FROM n), "
+    f"r AS (SELECT 0::bigint AS i, 0 AS id, {', '.join('NULL::varchar AS ' + lv for lv in _LV)} UNION ALL SELECT i, id, {', '.join('f_' + lv for lv in _LV)} FROM (SELECT x.i, x.id, {_steps()} FROM r JOIN x ON x.i = r.i + 1)) "
+    f"SELECT id, {', '.join(f'{lv} AS full_{lv}' for lv in _LV)} FROM r WHERE i > 0"
+)
 _RULES = " ".join(f"WHEN regexp_matches(title, '{p}') THEN '{n}'" for n, p in RULES)
 _BANDS = " UNION ALL ".join(f"SELECT {o} AS ord, {a} AS lo, {b} AS hi, '{n}' AS band" for o, a, b, n in BANDS)
 _LANG_DIM = " UNION ALL ".join(f"SELECT '{a}' AS lang, '{b}' AS name" for a, b in LANGUAGES)
@@ -284,9 +322,9 @@ SQL = {
     "agg_kind_counts": "SELECT node_id, count(*) AS n, count(*) FILTER (kind = 'scripture') AS scripture, count(*) FILTER (kind = 'document') AS document, count(*) FILTER (kind IS NULL) AS other FROM external_references GROUP BY node_id",
     "agg_ordered_text": "SELECT footnote_id, string_agg(label, ' / ' ORDER BY ref_key) AS labels FROM external_references WHERE label IS NOT NULL AND footnote_id IS NOT NULL GROUP BY footnote_id",
     "agg_outline": f"WITH {N} SELECT part, breadcrumbs[2] AS section, min(id)::bigint AS first_id, count(*) AS n, string_agg(id::varchar, ',' ORDER BY id) AS ids FROM n WHERE part IS NOT NULL GROUP BY part, breadcrumbs[2]",
-    "join_lookup": "SELECT kind, count(*) AS missing FROM external_references r WHERE NOT EXISTS (SELECT 1 FROM catechism_nodes n WHERE n.id = r.node_id) GROUP BY kind",
-    "join_overlay": f"WITH {N}, {L} SELECT n.id, coalesce(l.title, n.title) AS title, coalesce(l.text, n.text) AS text, coalesce(l.preview, n.preview) AS preview FROM n LEFT JOIN l ON l.id = n.id AND l.lang = 'fr'",
-    "join_fallback": f"WITH {N}, {L} SELECT n.id, coalesce(l.preview, n.preview) AS preview FROM n LEFT JOIN l ON l.id = n.id AND l.lang = 'it'",
+    "join_lookup": f"WITH {N}, x AS (SELECT part, unnest(xrefs) AS id FROM n) SELECT part, count(*) FILTER (id IN (SELECT id FROM n)) AS found, count(*) FILTER (id NOT IN (SELECT id FROM n)) AS missing FROM x GROUP BY part",
+    "join_overlay": f"WITH {N}, {L} SELECT n.id, l.lang, coalesce(l.title, n.title) AS title, coalesce(l.text, n.text) AS text, coalesce(l.preview, n.preview) AS preview FROM n JOIN l ON l.id = n.id WHERE l.lang IS NOT NULL",
+    "join_fallback": f"WITH {N}, {L}, d AS ({_LANG_DIM}) SELECT n.id, d.lang, coalesce(l.preview, n.preview) AS preview FROM n CROSS JOIN d LEFT JOIN l ON l.id = n.id AND l.lang = d.lang",
     "join_first_rule": f"SELECT id, CASE {_RULES} END AS rule FROM external_sources",
     "join_zip": "WITH f AS (SELECT node_id, note_key, row_number() OVER (PARTITION BY node_id ORDER BY note_key) AS k FROM footnotes), r AS (SELECT node_id, ref_key, row_number() OVER (PARTITION BY node_id ORDER BY ref_key) AS k FROM external_references) SELECT f.node_id, note_key, ref_key FROM f JOIN r ON f.node_id = r.node_id AND f.k = r.k",
     "join_range_first": f"WITH {N}, b AS ({_BANDS}) SELECT n.id, (SELECT band FROM b WHERE n.id BETWEEN lo AND hi ORDER BY ord LIMIT 1) AS band FROM n",
@@ -295,7 +333,8 @@ SQL = {
     "win_prev_next": f"WITH {N} SELECT id, lag(id) OVER (ORDER BY id) AS prev_id, lead(id) OVER (ORDER BY id) AS next_id FROM n",
     "win_position": f"WITH {N} SELECT id, row_number() OVER (ORDER BY id) - 1 AS position FROM n",
     "win_first_appearance": f"WITH {N}, g AS (SELECT part, breadcrumbs[2] AS section, min(id) AS first_id FROM n WHERE breadcrumbs[2] IS NOT NULL GROUP BY ALL), h AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY first_id) - 1 AS idx, count(*) OVER (PARTITION BY part) AS n FROM g) SELECT part, section, idx, n, round((idx - (n - 1) / 2.0) / greatest((n - 1) / 2.0, 1.0) * 24.0, 6) AS \"offset\" FROM h",
-    "win_sticky": f"WITH {N} SELECT id, last_value(headings[len(headings)].kind IGNORE NULLS) OVER (ORDER BY id ROWS UNBOUNDED PRECEDING) AS mode FROM n",
+    "win_hierarchy": _HIERARCHY,
+    "win_sticky": f"WITH {N} SELECT id, coalesce(last_value(CASE WHEN len(headings) > 0 THEN len(list_filter(headings, lambda h: upper(h.text) = 'THE CUP')) > 0 END IGNORE NULLS) OVER (ORDER BY id ROWS UNBOUNDED PRECEDING), false) AS mode FROM n",
     "win_segment_id": f"WITH {N} SELECT id, sum(CASE WHEN len(headings) > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY part ORDER BY id)::bigint AS segment FROM n",
     "win_recent": f"WITH {VISITS}, a AS (SELECT reader, page, max(ts) AS ts FROM v GROUP BY reader, page), b AS (SELECT *, row_number() OVER (PARTITION BY reader ORDER BY ts DESC) AS k FROM a) SELECT reader, page, count(*) OVER (PARTITION BY reader) - k + 1 AS ord FROM b WHERE k <= 10",
     "win_first_reference": "SELECT footnote_id, ref_key, label FROM (SELECT *, row_number() OVER (PARTITION BY footnote_id ORDER BY ref_key) AS k FROM external_references WHERE footnote_id IS NOT NULL) WHERE k = 1",
@@ -303,10 +342,10 @@ SQL = {
     "flt_search": f"WITH {N} SELECT id, title, id = 12 AS exact FROM n WHERE contains(lower(concat_ws(' ', id::varchar, title, text, part)), '12') ORDER BY id = 12 DESC, id LIMIT 14",
     "flt_languages": "SELECT lang, count(*) AS n FROM localized_nodes WHERE lang IN ('fr', 'de', 'es', 'it') AND title <> '' AND id IN (SELECT id FROM catechism_nodes) GROUP BY lang",
     "flt_clamp_date": "SELECT row_id, strftime(least(greatest(updated_at::date, DATE '2025-03-01'), DATE '2025-10-31'), '%Y-%m-%d') AS clamped FROM catechism_nodes WHERE updated_at IS NOT NULL",
-    "flt_validity": r"SELECT ref_key, regexp_matches(label, '(?i)^\s*cf\.?\s*$') AS compare_only, NOT regexp_matches(label, '[A-Za-z]') AS no_letter, regexp_matches(label, '^\s*[0-9]') AS continues FROM external_references WHERE label IS NOT NULL",
+    "flt_validity": rf"SELECT ref_key, regexp_matches(label, '(?i)^[,.;:\s]*cf\.?[,.;:\s]*$') AS compare_only, NOT regexp_matches(label, '[A-Za-z]') AS no_letter, regexp_matches({LABEL.format('label')}, '(?i)^(?:\d+(?::\d+)?(?:\s*[-,]\s*\d+(?::\d+)?)?|§+\s*\d+|can(?:n)?\.?\s*\d+|cann?\.\s*\d+|preface\b|introduction\b|praenotanda\b)') AS continues FROM external_references WHERE label IS NOT NULL",
     "flt_reuse": f"WITH {N} SELECT row_id, id FROM catechism_nodes WHERE row_id NOT IN (SELECT row_id FROM n)",
     "flt_plain_notes": "SELECT note_key, id AS footnote_id FROM footnotes f WHERE NOT EXISTS (SELECT 1 FROM external_references r WHERE r.footnote_id = f.id)",
-    "flt_capability": "SELECT page_id, regexp_matches(url, '(?i)/archive/') AS archived FROM source_pages",
+    "flt_capability": "SELECT page_id, regexp_matches(CASE WHEN lang IS NULL THEN url ELSE replace(url, '/archive/', '/ARCHIVE/hist_councils/') END, '(?i)/archive/hist_councils/') AS archived FROM source_pages",
     "srt_locale": "WITH p AS (SELECT page_id, try_cast(nullif(regexp_extract(file, '([0-9]+)', 1), '') AS bigint) AS num, lang FROM source_pages) SELECT *, row_number() OVER (PARTITION BY lang ORDER BY num ASC NULLS LAST, page_id) AS ord FROM p",
     "set_union_distinct": "WITH u AS (SELECT id, 'n' AS t FROM catechism_nodes UNION SELECT id, 'l' FROM localized_nodes UNION SELECT node_id, 'f' FROM footnotes) SELECT id, string_agg(t, '' ORDER BY t) AS tables FROM u GROUP BY id",
     "src_catalog": f"WITH d AS ({_LANG_DIM}) SELECT d.lang, d.name, (SELECT count(*) FROM localized_nodes l WHERE l.lang = d.lang) AS n FROM d",

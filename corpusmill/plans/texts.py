@@ -2,24 +2,36 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from corpusmill.functions import text as T
 from corpusmill.operators import html as H
 from corpusmill.operators import segment as S
 from corpusmill.operators.dedupe import keep_first
+from corpusmill.operators.joins import priority_pick
 from corpusmill.plans.graphs import N, nodes
 from corpusmill.sources import pages as P
 from corpusmill.sources.sinks import document
 from corpusmill.streaming import state
+from corpusmill.plans.sqltext import CLEAN, SEGMENTS, SPACE
 from corpusmill.session import table
 
-SCRIPTURE, DOCUMENT = r"^(?:Book of|Letter to|First Letter|Second Letter)\b", r"^[A-Z]"
 START, END = "2025-04-03", "2026-04-02"
-#: Themes of the schedule: (key, order, score, pattern, paragraph ids).
-PROFILES = (("lamp", 0, 10.0, "(?i)lamp|light", [1, 2, 3]), ("water", 1, 10.0, "(?i)water|spring", [7, 8]), ("bread", 2, 8.0, "(?i)bread|harvest", [11, 12, 13, 14]))
-SEASONS = (("advent", r"(?i)advent"), ("lent", r"(?i)lent"), ("easter", r"(?i)easter"))
+#: Themes of the schedule: (key, score, patterns of the day, of its readings, of its season, paragraph ids).
+PROFILES = (
+    ("lamp", 10.0, ("lamp", "light"), ("watch",), (), (1, 2, 3)),
+    ("water", 10.0, ("water",), ("spring", "river"), ("easter",), (7, 8)),
+    ("bread", 8.0, ("bread", "harvest"), (), ("lent",), (11, 12, 13, 14)),
+)
+#: Weights of hits in the day, its readings and its season.
+HITS = (1.0, 0.7, 0.35)
+#: Paragraphs of each season.
+SEASONAL = {
+    "Advent": (522, 524, 559, 671, 972), "Christmas": (456, 461, 483, 525, 526, 563), "Lent": (540, 1430, 1434, 2015, 2846), "Holy Week": (571, 595, 612, 618, 624),
+    "Easter": (638, 659, 731, 1085, 1169), "Ordinary Time": (426, 1691, 1700, 1812, 2013, 2558, 748, 849),
+}
+RAW_SEASONS = (" Advent, first week", "Christmas Octave", "Lent", "Holy Week in Lent", "Easter season", "ordinary time after Easter", "Harvest ", "")
 
 
 def scl_clean_preview_slug(spark, d):
@@ -30,9 +42,10 @@ def scl_clean_preview_slug(spark, d):
 
 
 def scl_title_case(spark, d):
-    """SCL-05: titles in title case."""
-    s = table(spark, d, "external_sources")
-    return s.select("id", T.title_case(F.lower("title")).alias("title"))
+    """SCL-05: titles of the reference list and of the parts in title case."""
+    t = table(spark, d, "external_sources").select("id", F.lower("title").alias("t"))
+    parts = table(spark, d, "catechism_nodes").where("part IS NOT NULL").select(F.col("part").alias("id"), F.concat(F.lit("("), F.regexp_replace("part", ": ", ": vi. of "), F.lit(") to")).alias("t")).distinct()
+    return t.unionByName(parts).select("id", T.title_case(F.col("t")).alias("title"))
 
 
 def scl_html(spark, d):
@@ -61,33 +74,6 @@ def scl_numbers(spark, d):
     return r.select("ref_key", F.size(nums).cast("bigint").alias("n"), F.coalesce(F.aggregate(nums, F.lit(0).cast("bigint"), lambda a, x: a + x), F.lit(0)).alias("total"), F.size(pins).cast("bigint").alias("pins"), T.number_in(F.col("label")).cast("bigint").alias("first"))
 
 
-def scl_locator(spark, d):
-    """SCL-12: section numbers of a label with the pinpoints that follow a section mark."""
-    r = table(spark, d, "external_references").where("label IS NOT NULL")
-    t = r.select("ref_key", F.posexplode(F.regexp_extract_all("label", F.lit(r"(§\s*\d+|\d+)"), F.lit(1))).alias("pos", "tok"))
-    pin = F.col("tok").startswith("§")
-    w = W.partitionBy("ref_key").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    t = t.withColumn("section", F.last(F.when(~pin, F.col("tok").try_cast("bigint")), ignorenulls=True).over(w))
-    return t.where(pin).select("ref_key", "pos", "section", T.number_in(F.col("tok")).cast("bigint").alias("pinpoint"))
-
-
-def scl_classify(spark, d):
-    """SCL-13, SCL-18, EXT-20: kind of each label by ordered patterns."""
-    r = table(spark, d, "external_references").where("label IS NOT NULL")
-    k = F.when(F.col("label").rlike(r"^Book of"), "book").when(F.col("label").rlike(r"Letter to"), "letter").when(F.col("label").rlike(r"^Synod"), "synod").when(F.col("label").rlike(r"^[A-Z]{2,5}\b"), "siglum").otherwise("other")
-    return r.select("ref_key", k.alias("kind"))
-
-
-def scl_verses(spark, d):
-    """SCL-14, SCL-15, SCL-16: chapter and verses of scripture references, the chapter carried over semicolons."""
-    r = table(spark, d, "external_references").where("kind = 'scripture' AND label IS NOT NULL").select("ref_key", "label")
-    s = r.select("ref_key", F.posexplode(F.split("label", ";")).alias("pos", "seg"))
-    w = W.partitionBy("ref_key").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    ch = F.regexp_extract("seg", r"(\d+):", 1).try_cast("bigint")
-    s = s.withColumn("chapter", F.last(ch, ignorenulls=True).over(w))
-    return s.where("chapter IS NOT NULL").select("ref_key", "pos", "chapter", F.regexp_extract("seg", r"\d+:(\d+)", 1).try_cast("bigint").alias("verse_from"), F.regexp_extract("seg", r"\d+:\d+[-–](\d+)", 1).try_cast("bigint").alias("verse_to"))
-
-
 def scl_url_language(spark, d):
     """SCL-19, SCL-20, SCL-26, SCL-27: language and number in a page's address, the language to show, and a link."""
     p = table(spark, d, "source_pages").where("url IS NOT NULL")
@@ -96,12 +82,15 @@ def scl_url_language(spark, d):
     return p.select("page_id", lang.alias("path_lang"), shown.alias("shown"), T.query_url(F.col("url"), lang=F.col("lang"), id=F.col("page_id")).alias("link"))
 
 
+def _raw_season(k: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, RAW_SEASONS)), (k % len(RAW_SEASONS) + 1).cast("int"))
+
+
 def scl_corpus_season(spark, d):
-    """SCL-21, SCL-22: joined non-empty fields and a season by ordered rules."""
+    """SCL-21, SCL-22: joined non-empty fields, and a season by ordered rules."""
     n = nodes(spark, d, "part", "title", "preview")
     c = T.join_filled(" | ", F.col("part"), F.col("title"), F.col("preview"))
-    season = F.when(c.rlike("(?i)advent"), "Advent").when(c.rlike("(?i)lent"), "Lent").when(c.rlike("(?i)silent"), "Silence").otherwise("Ordinary Time")
-    return n.select("id", c.alias("corpus"), season.alias("season"))
+    return n.select("id", c.alias("corpus"), T.season(_raw_season(F.col("id"))).alias("season"))
 
 
 def scl_dates(spark, d):
@@ -128,11 +117,6 @@ def ext_note_segments(spark, d):
     return S.note_segments(table(spark, d, "footnotes"), "note_key", "text").select("note_key", F.col("pos").cast("bigint").alias("pos"), "segment", "compare")
 
 
-def ext_references(spark, d):
-    """EXT-23: references of the footnotes with ids note:kind:n (rows only)."""
-    return S.references(S.note_segments(table(spark, d, "footnotes"), "note_key", "text"), "note_key", SCRIPTURE, DOCUMENT)
-
-
 def ext_inline_notes(spark, d):
     """EXT-25: parenthetical notes with a digit in the documents, numbered."""
     return S.inline_notes(table(spark, d, "documents"), "doc_id", "text").select("doc_id", F.col("n").cast("bigint").alias("n"), "note")
@@ -183,9 +167,15 @@ def src_totals(spark, d):
 
 
 def src_charset(spark, d):
-    """SRC-02, SRC-03: pages as bytes, read by the charset that they declare (rows only)."""
-    p = table(spark, d, "source_pages").where("content IS NOT NULL")
-    return p.select("page_id", (T.decode_page(F.encode("content", "UTF-8")) == F.col("content")).alias("same"))
+    """SRC-02, SRC-03: pages as bytes in their own charset, read back by what they declare: UTF-8, or Latin-1 if it is declared or nothing is.
+
+    Latin-1 bytes are made of the pages all of whose characters it has.
+    """
+    p = table(spark, d, "source_pages").where("content IS NOT NULL").select("page_id", "content")
+    low = F.regexp_replace("content", r"(?i)charset\s*=\s*[\"']?utf-?8", "charset=iso-8859-1")
+    latin = F.when(F.col("content").rlike(r"\A[\x00-\xFF]*\z"), F.encode(low, "ISO-8859-1"))
+    utf = F.encode("content", "UTF-8")
+    return p.select("page_id", (T.decode_page(latin) == low).alias("latin_read"), F.length(T.decode_page(utf)).cast("bigint").alias("utf_length"))
 
 
 def snk_document(spark, d):
@@ -195,19 +185,45 @@ def snk_document(spark, d):
     return back.select(F.inline("j.rows"))
 
 
+def _days(spark, d):
+    """Every day of the schedule with its 0-based index, and what the node of the day's number holds, if there is one."""
+    n = nodes(spark, d, "title", "preview", "headings").select("id", F.col("title").alias("name"), F.col("preview").alias("reading"), F.try_element_at("headings", F.lit(-1))["kind"].alias("type"))
+    k = F.datediff("day", F.lit(START).cast("date"))
+    day = P.date_spine(spark, START, END).select(F.date_format("day", "yyyy-MM-dd").alias("day"), k.alias("idx"), (k + 1).alias("id"))
+    return day.join(n, "id", "left").withColumn("season", T.season(_raw_season(F.col("idx"))))
+
+
 def sch_theme_pick(spark, d):
-    """AGG-10, JOIN-13, JOIN-14, SRT-02, SRT-05, SCL-28, UDF-02: per day the best theme by pattern hits, else a fallback, and a hashed pick of its paragraph."""
-    n = nodes(spark, d, "preview").select("id", "preview")
-    day = P.date_spine(spark, START, END).select(F.date_format("day", "yyyy-MM-dd").alias("day"), (F.datediff("day", F.lit(START).cast("date")) + 1).alias("id"))
-    days = day.join(n, "id").withColumn("corpus", F.coalesce("preview", F.lit("")))
+    """AGG-10, JOIN-14, SRT-02, SRT-05, SCL-28: the best theme of every day by weighted pattern hits, else its season's; a paragraph by hash."""
+    days = _days(spark, d).withColumn("corpus", T.join_filled(" | ", "season", F.coalesce("name", F.lit("Ferial Day")), F.coalesce("type", F.lit("FERIA")), "reading"))
+
+    def score(p):
+        hits = [(c, F.col("corpus"), HITS[0]) for c in p[2]] + [(c, F.col("corpus"), HITS[1]) for c in p[3]] + [(c, F.col("season"), HITS[2]) for c in p[4]]
+        return sum((F.when(of.rlike(f"(?i){c}"), p[1] * w).otherwise(0.0) for c, of, w in hits), F.lit(0.0))
+
     # profiles are literals: scores are columns of one projection, so there is neither a cross join nor a shuffle
-    hits = F.array(*[F.struct((F.col("corpus").rlike(p).cast("double") * F.lit(s)).alias("score"), F.lit(-o).alias("neg"), F.lit(k).alias("key"), F.array(*map(F.lit, ids)).alias("ids")) for k, o, s, p, ids in PROFILES])
-    best = F.array_max(F.filter(hits, lambda x: x["score"] > 0))
-    out = days.withColumn("b", best)
-    seasonal = F.array(*map(F.lit, (21, 22, 23)))
+    hits = F.array(*[F.struct(score(p).alias("score"), F.lit(-o).alias("neg"), F.lit(p[0]).alias("key"), F.array(*map(F.lit, p[5])).alias("ids")) for o, p in enumerate(PROFILES)])
+    out = days.withColumn("b", F.array_max(F.filter(hits, lambda x: x["score"] > 0)))
+    lists = F.create_map(*(x for k, v in SEASONAL.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+    seasonal = F.coalesce(F.try_element_at(lists, F.col("season")), F.array(*map(F.lit, SEASONAL["Ordinary Time"])))
     picked = T.hash_pick(F.concat_ws(":", "day", F.col("b.key")), F.col("b.ids"))
-    fallback = T.hash_pick(F.concat_ws(":", "day", F.lit("ordinary"), F.col("id").cast("string")), seasonal, F.col("id"))
-    return out.select("day", F.coalesce(F.col("b.key"), F.lit("ordinary")).alias("theme"), F.coalesce(picked, fallback).cast("bigint").alias("paragraph"))
+    fallback = T.hash_pick(F.concat_ws(":", "day", "season", F.col("idx").cast("string")), seasonal, F.col("idx"))
+    return out.select("day", F.coalesce(F.col("b.key"), T.slug(F.col("season"))).alias("theme"), F.round(F.coalesce(F.col("b.score"), F.lit(0.0)), 2).alias("score"), F.coalesce(picked, fallback).cast("bigint").alias("paragraph"))
+
+
+def sch_calendar(spark, d):
+    """SRC-13, SRC-14, JOIN-13: entries of a calendar with the readings of their day, by date, one entry for each day: prioritized, else a solemnity, else the first.
+
+    Days in one of both only are kept, with a default name and type.
+    """
+    n = table(spark, d, "catechism_nodes").where("updated_at IS NOT NULL")
+    kind = F.when(F.exists(F.coalesce("headings", F.array().cast("array<struct<kind:string,text:string>>")), lambda h: h["kind"] == "major"), "SOLEMNITY").otherwise("FEAST")
+    entries = n.select(F.date_format("updated_at", "yyyy-MM-dd").alias("day"), "row_id", F.col("title").alias("name"), kind.alias("type"), F.col("vatican_source").isNull().alias("first"))
+    best = priority_pick(entries, ["day"], [F.when(F.col("first"), 0).when(F.col("type") == "SOLEMNITY", 1).otherwise(2), "row_id"])
+    read = table(spark, d, "localized_nodes").where("updated_at IS NOT NULL").select(F.date_format("updated_at", "yyyy-MM-dd").alias("day"), "row_id", "lang")
+    readings = keep_first(read, ["day"], ["row_id"]).select("day", F.col("lang").alias("reading"))
+    got = best.join(readings, "day", "full")
+    return got.select("day", F.coalesce("name", F.lit("Ferial Day")).alias("name"), F.coalesce("type", F.lit("FERIA")).alias("type"), "reading")
 
 
 def str_debounce(spark, d):
@@ -224,43 +240,47 @@ def str_recent(spark, d):
 
 
 def agg_profile_hits(spark, d):
-    """AGG-10: summed scores of the themes over all nodes."""
+    """AGG-10: summed scores of the themes' day patterns over all nodes."""
     n = nodes(spark, d, "text").select(F.coalesce("text", F.lit("")).alias("t"))
-    return n.agg(*[F.sum(F.when(F.col("t").rlike(p), s).otherwise(0.0)).alias(k) for k, _, s, p, _ in PROFILES])
+    return n.agg(*[F.sum(F.when(F.col("t").rlike("(?i)" + "|".join(p[2])), p[1]).otherwise(0.0)).alias(p[0]) for p in PROFILES])
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        scl_clean_preview_slug, scl_title_case, scl_html, scl_roman, scl_hash_pick, scl_numbers, scl_locator, scl_classify, scl_verses, scl_url_language, scl_corpus_season, scl_dates, ext_lines,
-        ext_paragraph_start, ext_note_segments, ext_references, ext_inline_notes, ext_paragraphs, ext_links, ext_raw_links, ext_index, ext_tables, src_date_spine, src_variants, src_totals, src_charset,
-        snk_document, sch_theme_pick, str_debounce, str_recent, agg_profile_hits,
+        scl_clean_preview_slug, scl_title_case, scl_html, scl_roman, scl_hash_pick, scl_numbers, scl_url_language, scl_corpus_season, scl_dates, ext_lines,
+        ext_paragraph_start, ext_note_segments, ext_inline_notes, ext_paragraphs, ext_links, ext_raw_links, ext_index, ext_tables, src_date_spine, src_variants, src_totals, src_charset,
+        snk_document, sch_theme_pick, sch_calendar, str_debounce, str_recent, agg_profile_hits,
     )
 }
 
-_SP = r"[\s\x{00A0}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}\x{FEFF}\x{2028}\x{2029}]+"
-_CLEAN = "trim(regexp_replace(regexp_replace(regexp_replace({0}, '[\\x{{200E}}\\x{{200F}}\\x{{202A}}-\\x{{202E}}\\x{{2066}}-\\x{{2069}}]', '', 'g'), '[\\x{{00AD}}\\x{{200B}}]', '', 'g'), '" + _SP.replace("{", "{{").replace("}", "}}") + "', ' ', 'g'))"
+_SP, _CLEAN = SPACE, CLEAN
 _HASH = "('0x' || substr(sha1({0}), 1, 8))::bigint"
+_SEASON = "(SELECT CASE WHEN r = '' THEN 'Ordinary Time' WHEN contains(lower(r), 'holy week') THEN 'Holy Week' WHEN contains(lower(r), 'ordinary') THEN 'Ordinary Time' WHEN contains(lower(r), 'christmas') THEN 'Christmas' WHEN contains(lower(r), 'advent') THEN 'Advent' WHEN contains(lower(r), 'lent') THEN 'Lent' WHEN contains(lower(r), 'easter') THEN 'Easter' ELSE trim(r) END FROM (SELECT (" + str(list(RAW_SEASONS)) + ")[{0} % 8 + 1] AS r))"
+
+
+def _score(p) -> str:
+    hits = [(c, "corpus", HITS[0]) for c in p[2]] + [(c, "corpus", HITS[1]) for c in p[3]] + [(c, "season", HITS[2]) for c in p[4]]
+    return "(" + " + ".join(f"CASE WHEN regexp_matches({of}, '(?i){c}') THEN {p[1]}::double * {w}::double ELSE 0.0::double END" for c, of, w in hits) + ")"
+
+
 SQL = {
     "scl_clean_preview_slug": f"WITH {N}, c AS (SELECT id, title, {_CLEAN.format('text')} AS t FROM n WHERE text IS NOT NULL) SELECT id, length(t) AS n, CASE WHEN length(t) > 220 THEN regexp_replace(substring(t, 1, 217), '{_SP}$', '') || '...' ELSE t END AS preview, regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, trim(regexp_replace(regexp_replace(lower({_CLEAN.format('title')}), '\\bthe\\b', '', 'g'), '[^a-z0-9]+', ' ', 'g')) AS label_key FROM c",
+    "scl_title_case": "WITH t AS (SELECT id, lower(title) AS t FROM external_sources UNION ALL SELECT DISTINCT part, '(' || replace(part, ': ', ': vi. of ') || ') to' FROM catechism_nodes WHERE part IS NOT NULL), w AS (SELECT id, string_split({0}, ' ') AS ws FROM t), u AS (SELECT id, len(ws) AS n, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS w FROM w), g AS (SELECT *, lag(w) OVER (PARTITION BY id ORDER BY i) AS before, regexp_extract(w, '^([^A-Za-z]*)([A-Za-z][A-Za-z'']*)([^A-Za-z]*)$', ['a', 'b', 'c']) AS p FROM u), c AS (SELECT *, lower(p.b) AS core FROM g), d AS (SELECT *, CASE WHEN core = '' THEN w ELSE p.a || CASE WHEN core IN ('i', 'ii', 'iii', 'iv', 'v', 'vi', 'vii', 'viii', 'ix', 'x') THEN upper(core) WHEN i = 1 OR i = n OR before LIKE '%.' OR before LIKE '%:' OR core NOT IN ('a', 'an', 'and', 'as', 'at', 'by', 'for', 'from', 'in', 'of', 'on', 'or', 'the', 'to', 'with') THEN upper(core[1]) || core[2:] ELSE core END || p.c END AS o FROM c) SELECT id, string_agg(o, ' ' ORDER BY i) AS title FROM d GROUP BY id".format(CLEAN.format("t")),
     "scl_html": "SELECT note_key, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS html FROM footnotes WHERE text IS NOT NULL",
     "scl_roman": f"WITH {N} SELECT id, repeat('M', id // 1000) || (['','C','CC','CCC','CD','D','DC','DCC','DCCC','CM'])[id // 100 % 10 + 1] || (['','X','XX','XXX','XL','L','LX','LXX','LXXX','XC'])[id // 10 % 10 + 1] || (['','I','II','III','IV','V','VI','VII','VIII','IX'])[id % 10 + 1] AS roman, id::bigint AS back FROM n",
     "scl_hash_pick": f"WITH {N}, h AS (SELECT id, {_HASH.format(chr(39).join(['id || ', ':', ' || part']))} AS hash FROM n WHERE part IS NOT NULL) SELECT id, hash, ([3, 5, 7])[hash % 3 + 1]::bigint AS pick FROM h",
     "scl_numbers": r"WITH t AS (SELECT ref_key, label, unnest(regexp_extract_all(label, '(\d+\s*[-–]\s*\d+|\d+)')) AS tok FROM external_references WHERE label IS NOT NULL), p AS (SELECT ref_key, try_cast(regexp_extract(tok, '^(\d+)', 1) AS bigint) AS a, try_cast(nullif(regexp_extract(tok, '[-–]\s*(\d+)$', 1), '') AS bigint) AS b FROM t), x AS (SELECT ref_key, unnest(CASE WHEN b IS NULL THEN [a] WHEN b >= a AND b - a <= 100 THEN range(a, b + 1) ELSE []::bigint[] END) AS v FROM p), y AS (SELECT ref_key, unnest(CASE WHEN b IS NULL THEN [a] WHEN b >= a AND b - a <= 32 THEN range(a, b + 1) WHEN b >= a THEN [a] ELSE []::bigint[] END) AS v FROM p), gx AS (SELECT ref_key, count(*) AS n, sum(v)::bigint AS total FROM x GROUP BY ref_key), gy AS (SELECT ref_key, count(DISTINCT v) AS pins FROM y GROUP BY ref_key) SELECT r.ref_key, coalesce(gx.n, 0) AS n, coalesce(gx.total, 0) AS total, coalesce(gy.pins, 0) AS pins, try_cast(nullif(regexp_extract(label, '(\d+)', 1), '') AS bigint) AS first FROM external_references r LEFT JOIN gx ON gx.ref_key = r.ref_key LEFT JOIN gy ON gy.ref_key = r.ref_key WHERE label IS NOT NULL",
-    "scl_locator": r"WITH l AS (SELECT ref_key, regexp_extract_all(label, '(§\s*\d+|\d+)') AS ts FROM external_references WHERE label IS NOT NULL), t AS (SELECT ref_key, unnest(ts) AS tok, unnest(range(len(ts))) AS pos FROM l), s AS (SELECT *, last_value(CASE WHEN tok NOT LIKE '§%' THEN try_cast(tok AS bigint) END IGNORE NULLS) OVER (PARTITION BY ref_key ORDER BY pos ROWS UNBOUNDED PRECEDING) AS section FROM t) SELECT ref_key, pos, section, try_cast(regexp_extract(tok, '(\d+)', 1) AS bigint) AS pinpoint FROM s WHERE tok LIKE '§%'",
-    "scl_classify": r"SELECT ref_key, CASE WHEN regexp_matches(label, '^Book of') THEN 'book' WHEN regexp_matches(label, 'Letter to') THEN 'letter' WHEN regexp_matches(label, '^Synod') THEN 'synod' WHEN regexp_matches(label, '^[A-Z]{2,5}\b') THEN 'siglum' ELSE 'other' END AS kind FROM external_references WHERE label IS NOT NULL",
-    "scl_verses": r"WITH l AS (SELECT ref_key, string_split(label, ';') AS ss FROM external_references WHERE kind = 'scripture' AND label IS NOT NULL), s AS (SELECT ref_key, unnest(ss) AS seg, unnest(range(len(ss))) AS pos FROM l), c AS (SELECT *, last_value(try_cast(nullif(regexp_extract(seg, '(\d+):', 1), '') AS bigint) IGNORE NULLS) OVER (PARTITION BY ref_key ORDER BY pos ROWS UNBOUNDED PRECEDING) AS chapter FROM s) SELECT ref_key, pos, chapter, try_cast(nullif(regexp_extract(seg, '\d+:(\d+)', 1), '') AS bigint) AS verse_from, try_cast(nullif(regexp_extract(seg, '\d+:\d+[-–](\d+)', 1), '') AS bigint) AS verse_to FROM c WHERE chapter IS NOT NULL",
-    "scl_corpus_season": f"WITH {N}, c AS (SELECT id, concat_ws(' | ', nullif(part, ''), nullif(title, ''), nullif(preview, '')) AS corpus FROM n) SELECT id, corpus, CASE WHEN regexp_matches(corpus, '(?i)advent') THEN 'Advent' WHEN regexp_matches(corpus, '(?i)lent') THEN 'Lent' WHEN regexp_matches(corpus, '(?i)silent') THEN 'Silence' ELSE 'Ordinary Time' END AS season FROM c",
+    "scl_corpus_season": f"WITH {N} SELECT id, concat_ws(' | ', nullif(part, ''), nullif(title, ''), nullif(preview, '')) AS corpus, {_SEASON.format('id')} AS season FROM n",
     "scl_dates": "SELECT row_id, strftime(updated_at, '%Y-%m-%d') AS day, year(updated_at) AS year, strftime(updated_at, '%m-%d') AS month_day, datediff('day', updated_at::date, DATE '2026-01-01') AS age FROM catechism_nodes WHERE updated_at IS NOT NULL",
     "ext_lines": f"WITH {N}, l AS (SELECT id, string_split(text, chr(10)) AS ls FROM n WHERE text IS NOT NULL), p AS (SELECT id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM l), s AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^(?:St\\.|Is it|How well)') THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY pos) AS segment FROM p) SELECT id, segment::bigint AS segment, min(pos) AS first_pos, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY pos) AS body FROM s WHERE segment > 0 GROUP BY id, segment",
-    "ext_note_segments": r"WITH l AS (SELECT note_key, string_split(regexp_replace(text, '(?i)\s+(cf\.)', ';\1', 'g'), ';') AS ss FROM footnotes WHERE text IS NOT NULL), s AS (SELECT note_key, unnest(ss) AS raw0, unnest(range(len(ss))) AS pos FROM l), c AS (SELECT note_key, pos, "
-    + _CLEAN.format("raw0")
-    + r" AS raw FROM s), k AS (SELECT *, max(CASE WHEN regexp_matches(raw, '(?i)^cf\.') THEN 1 ELSE 0 END) OVER (PARTITION BY note_key ORDER BY pos) = 1 AS compare FROM c WHERE raw <> '') SELECT note_key, pos, regexp_replace(raw, '(?i)^cf\.\s*', '') AS segment, compare FROM k",
-    "ext_inline_notes": r"WITH l AS (SELECT doc_id, list_filter(regexp_extract_all(text, '\(([^()]{1,260})\)', 1), lambda x: regexp_matches(x, '\d')) AS ns FROM documents WHERE text IS NOT NULL) SELECT doc_id, unnest(range(1, len(ns) + 1)) AS n, unnest(ns) AS note FROM l",
+    "ext_note_segments": f"WITH {SEGMENTS} SELECT note_key, pos, segment, compare FROM k",
+    "ext_inline_notes": "WITH m AS (SELECT doc_id, regexp_extract_all(text, '\\(([^()]{{1,260}})\\)', 1) AS ms FROM documents WHERE text IS NOT NULL), u AS (SELECT doc_id, unnest(range(len(ms))) AS pos, unnest(ms) AS raw FROM m), c AS (SELECT doc_id, pos, {0} AS note FROM u), s AS (SELECT *, regexp_split_to_array(regexp_replace(note, '(?i)\\b(cf\\.?)(\\s|$)', chr(1) || '\\1\\2', 'g'), '[;' || chr(1) || ']') AS ps FROM c WHERE regexp_matches(note, '\\d')), k AS (SELECT * FROM s WHERE len(list_filter(ps, lambda p: regexp_matches(p, '(?i)[a-z]') AND NOT regexp_matches(p, '(?i)^[,.;:\\s]*cf\\.?[,.;:\\s]*$'))) > 0) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n, note FROM k".format(CLEAN.format("raw")),
     "ext_raw_links": "SELECT page_id, href, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(content, 'href=\"([^\"#]+)\"', 1)) AS href FROM source_pages WHERE content IS NOT NULL) GROUP BY page_id, href",
     "src_date_spine": f"SELECT strftime(unnest(generate_series(DATE '{START}', DATE '{END}', INTERVAL 1 DAY)), '%Y-%m-%d') AS day",
     "src_variants": "SELECT regexp_replace(url, '/(?:en|fr|de|es|it|la|zh|ar)/', '/*/', 'g') AS stem, lang, arg_max(url, page_id) AS url FROM source_pages WHERE url IS NOT NULL AND lang IS NOT NULL GROUP BY ALL",
     "src_totals": f"WITH {N} SELECT id, id::bigint AS total FROM n",
+    "src_charset": "SELECT page_id, CASE WHEN regexp_full_match(content, '(?s)[\\x{00}-\\x{FF}]*') THEN true END AS latin_read, CASE WHEN regexp_matches(content, '(?i)charset\\s*=\\s*[\"'']?utf-?8[^\\w-]') OR regexp_matches(content, '(?i)charset\\s*=\\s*[\"'']?utf-?8$') THEN length(content) ELSE strlen(content) END AS utf_length FROM source_pages WHERE content IS NOT NULL",
     "snk_document": "SELECT id, title FROM external_sources",
     "str_debounce": "WITH e AS (SELECT user_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events) SELECT user_id, count(*) AS n FROM e WHERE nxt IS NULL OR epoch_us(nxt) - epoch_us(ts) >= 60000000 GROUP BY user_id",
     "str_recent": "WITH a AS (SELECT user_id, event_type, max(row(ts, event_id)) AS seen FROM events WHERE event_type IS NOT NULL GROUP BY ALL), b AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seen DESC, event_type) AS k FROM a) SELECT user_id, count(*) OVER (PARTITION BY user_id) - k + 1 AS ord, event_type FROM b WHERE k <= 3",
@@ -268,6 +288,7 @@ SQL = {
     "ext_paragraph_start": r"WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL), p AS (SELECT doc_id, unnest(ls) AS line0, unnest(range(len(ls))) AS pos FROM l), t AS (SELECT doc_id, pos, regexp_replace(line0, '[\x{200E}\x{200F}\x{202A}-\x{202E}\x{2066}-\x{2069}]', '', 'g') AS line FROM p), m AS (SELECT *, regexp_matches(line, '^(?:[-–]\s*)?(\d{1,4})[.)]\s*(.*)$') AS marked FROM t), s AS (SELECT doc_id, pos, marked, try_cast(nullif(CASE WHEN marked THEN regexp_extract(line, '^(?:[-–]\s*)?(\d{1,4})[.)]\s*(.*)$', 1) ELSE regexp_extract(line, '^(?:[-–]\s*)?(\d{1,4})\s+(.+)$', 1) END, '') AS bigint) AS number, CASE WHEN marked THEN regexp_extract(line, '^(?:[-–]\s*)?(\d{1,4})[.)]\s*(.*)$', 2) ELSE regexp_extract(line, '^(?:[-–]\s*)?(\d{1,4})\s+(.+)$', 2) END AS r FROM m) SELECT doc_id, pos, number, "
     + _CLEAN.format("r")
     + " AS rest FROM s WHERE number BETWEEN 1 AND 2865 AND (marked OR NOT regexp_matches(r, '^[:：]'))",
-    "sch_theme_pick": f"WITH {N}, d AS (SELECT strftime(unnest(generate_series(DATE '{START}', DATE '{END}', INTERVAL 1 DAY)), '%Y-%m-%d') AS day, unnest(range(1, datediff('day', DATE '{START}', DATE '{END}') + 2)) AS id), c AS (SELECT d.day, d.id, coalesce(n.preview, '') AS corpus FROM d JOIN n ON n.id = d.id), b AS (SELECT *, CASE WHEN regexp_matches(corpus, '(?i)lamp|light') THEN 'lamp' WHEN regexp_matches(corpus, '(?i)water|spring') THEN 'water' WHEN regexp_matches(corpus, '(?i)bread|harvest') THEN 'bread' END AS k FROM c) SELECT day, coalesce(k, 'ordinary') AS theme, CASE k WHEN 'lamp' THEN ([1, 2, 3])[('0x' || substr(sha1(day || ':' || k), 1, 8))::bigint % 3 + 1] WHEN 'water' THEN ([7, 8])[('0x' || substr(sha1(day || ':' || k), 1, 8))::bigint % 2 + 1] WHEN 'bread' THEN ([11, 12, 13, 14])[('0x' || substr(sha1(day || ':' || k), 1, 8))::bigint % 4 + 1] ELSE ([21, 22, 23])[(('0x' || substr(sha1(day || ':ordinary:' || id), 1, 8))::bigint + id) % 3 + 1] END::bigint AS paragraph FROM b",
-    "agg_profile_hits": f"WITH {N} SELECT " + ", ".join(f"sum(CASE WHEN regexp_matches(coalesce(text, ''), '{p}') THEN {s} ELSE 0.0 END)::double AS {k}" for k, _, s, p, _ in PROFILES) + " FROM n",
+    "sch_theme_pick": f"WITH {N}, d AS (SELECT unnest(generate_series(DATE '{START}', DATE '{END}', INTERVAL 1 DAY))::date AS dt), e AS (SELECT strftime(dt, '%Y-%m-%d') AS day, datediff('day', DATE '{START}', dt) AS idx FROM d), f AS (SELECT day, idx, {_SEASON.format('idx')} AS season, title, preview, headings[len(headings)].kind AS kind FROM e LEFT JOIN n ON n.id = idx + 1), c AS (SELECT *, concat_ws(' | ', nullif(season, ''), nullif(coalesce(title, 'Ferial Day'), ''), coalesce(kind, 'FERIA'), nullif(preview, '')) AS corpus FROM f), p AS (SELECT *, {', '.join(_score(p) + ' AS s_' + p[0] for p in PROFILES)} FROM c), b AS (SELECT *, greatest({', '.join('s_' + p[0] for p in PROFILES)}) AS top FROM p), k AS (SELECT *, CASE WHEN top = 0 THEN NULL {' '.join(f"WHEN s_{p[0]} = top THEN '{p[0]}'" for p in PROFILES)} END AS k FROM b) SELECT day, coalesce(k, trim(regexp_replace(lower(season), '[^a-z0-9]+', '-', 'g'), '-')) AS theme, round(top, 2) AS score, CASE k {' '.join(f"WHEN '{p[0]}' THEN ({list(p[5])})[('0x' || substr(sha1(day || ':' || k), 1, 8))::bigint % {len(p[5])} + 1]" for p in PROFILES)} ELSE CASE season {' '.join(f"WHEN '{s}' THEN ({list(v)})[(('0x' || substr(sha1(day || ':' || season || ':' || idx), 1, 8))::bigint + idx) % {len(v)} + 1]" for s, v in SEASONAL.items())} ELSE ({list(SEASONAL['Ordinary Time'])})[(('0x' || substr(sha1(day || ':' || season || ':' || idx), 1, 8))::bigint + idx) % 8 + 1] END END::bigint AS paragraph FROM k",
+    "sch_calendar": "WITH e AS (SELECT strftime(updated_at, '%Y-%m-%d') AS day, row_id, title, CASE WHEN len(list_filter(headings, lambda h: h.kind = 'major')) > 0 THEN 'SOLEMNITY' ELSE 'FEAST' END AS type, vatican_source IS NULL AS first FROM catechism_nodes WHERE updated_at IS NOT NULL), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY CASE WHEN first THEN 0 WHEN type = 'SOLEMNITY' THEN 1 ELSE 2 END, row_id) AS k FROM e) WHERE k = 1), r AS (SELECT strftime(updated_at, '%Y-%m-%d') AS day, arg_min(lang, row_id) AS reading FROM localized_nodes WHERE updated_at IS NOT NULL GROUP BY 1) SELECT coalesce(b.day, r.day) AS day, coalesce(title, 'Ferial Day') AS name, coalesce(type, 'FERIA') AS type, reading FROM b FULL JOIN r ON r.day = b.day",
+    "agg_profile_hits": f"WITH {N} SELECT " + ", ".join(f"sum(CASE WHEN regexp_matches(coalesce(text, ''), '(?i){'|'.join(p[2])}') THEN {p[1]} ELSE 0.0 END)::double AS {p[0]}" for p in PROFILES) + " FROM n",
 }
