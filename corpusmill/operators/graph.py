@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.session import materialize
 
-DAMPING, ROUNDS, CUT_EVERY = 0.85, 45, 9
+DAMPING, ROUNDS, CUT_EVERY = 0.85, 45, 5
 
 
 def edges_from_lists(nodes: DataFrame, id_col: str = "id", list_col: str = "xrefs") -> DataFrame:
@@ -19,39 +19,52 @@ def edges_from_lists(nodes: DataFrame, id_col: str = "id", list_col: str = "xref
 def pagerank(nodes: DataFrame, edges: DataFrame, id_col: str = "id", rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
     """(id, rank) after exactly `rounds` synchronous rounds from 1/N; the mass of nodes without edges is spread over all.
 
-    Edges from or to unknown nodes are ignored; self-loops and repeated edges count. The rank after k rounds is a
-    combination of w_0 .. w_k with w_0 = 1 and w_(j+1) = A w_j, whose factors depend on the sums of the w_j only. So the
-    rounds are a plain chain of joins and sums without a number going to the driver and back in each; every node carries
-    its w_j along an edge to itself, which reads the state once a round. Sums are partial before they are shuffled, so a
-    hub's incoming mass doesn't meet in one task. The state is written to the shared folder every CUT_EVERY rounds. No
-    nodes give no rows.
+    Edges from or to unknown nodes are ignored; self-loops and repeated edges count. The ranks always sum to 1, so a round
+    is x' = M x + b with M the damped shares and b a number that follows from the sum of M x. Hence x after k rounds is a
+    combination of w_0 .. w_k, w_0 = 1 and w_(j+1) = M w_j, whose factors follow from the sums of the w_j: the rounds are
+    a chain of joins and sums of one number a node, with no number going to the driver and back in each. Every CUT_EVERY
+    rounds their w_j are written to the shared folder and only the last goes on, so what a round shuffles doesn't grow.
+    Sums are partial before they are shuffled, so a hub's incoming mass doesn't meet in one task. No nodes give no rows.
     """
     ids = nodes.select(F.col(id_col).alias("id")).where("id IS NOT NULL").distinct()
     known = ids.select(F.col("id").alias("k"))
     e = edges.select("source", "target").join(known, F.col("source") == F.col("k"), "left_semi").join(known, F.col("target") == F.col("k"), "left_semi")
     e = e.groupBy("source", "target").agg(F.count("*").alias("w"))
     out = e.groupBy("source").agg(F.sum("w").alias("deg"))
-    e = e.join(out, "source").select("source", "target", (F.col("w") / F.col("deg")).alias("share"), F.lit(False).alias("own"))
-    own = ids.select(F.col("id").alias("source"), F.col("id").alias("target"), F.lit(0.0).alias("share"), F.lit(True).alias("own"))
+    e = e.join(out, "source").select("source", "target", (F.col("w") / F.col("deg") * damping).alias("share"))
+    # an edge of each node to itself carries the w_j of the block, so that the state is read once a round
+    own = ids.select(F.col("id").alias("source"), F.col("id").alias("target"), F.lit(None).cast("double").alias("share"))
     e = materialize(e.unionByName(own))
-    state = ids.select("id", F.array(F.lit(1.0)).alias("ws"))
-    for k in range(1, rounds + 1):
-        step = e.join(state, F.col("source") == F.col("id"))
-        step = step.select("target", (F.element_at("ws", -1) * F.col("share")).alias("c"), F.when(F.col("own"), F.col("ws")).alias("ws"))
-        state = step.groupBy(F.col("target").alias("id")).agg(F.sum("c").alias("c"), F.max("ws").alias("ws"))
-        state = state.select("id", F.concat("ws", F.array("c")).alias("ws"))
-        if k % CUT_EVERY == 0 or k == rounds:
-            state = materialize(state)
-    sums = {r["pos"]: r["s"] for r in state.select(F.posexplode("ws").alias("pos", "w")).groupBy("pos").agg(F.sum("w").alias("s")).collect()}
-    if not sums:
+    state, last, kept = ids.select("id", F.lit(1.0).alias("w0")), "w0", []
+    blocks, done = [], 0
+    while done < rounds:
+        kept = []
+        for k in range(done + 1, min(done + CUT_EVERY, rounds) + 1):
+            step = e.join(state, F.col("source") == F.col("id"))
+            carried = [F.sum(F.when(F.col("share").isNull(), F.col(c))).alias(c) for c in kept]
+            state = step.groupBy(F.col("target").alias("id")).agg(F.coalesce(F.sum(F.col("share") * F.col(last)), F.lit(0.0)).alias(f"w{k}"), *carried)
+            last = f"w{k}"
+            kept.append(last)
+        done += len(kept)
+        written = materialize(state)
+        blocks.append((written, kept))
+        state = written.select("id", last)
+    sums = {0: float(ids.count())}
+    rows = None
+    for table, names in blocks:
+        one = table.select(*(F.sum(c).alias(c) for c in names)).select(F.explode(F.array(*(F.struct(F.lit(int(c[1:])).alias("j"), F.col(c).alias("s")) for c in names))).alias("r")).select("r.*")
+        rows = one if rows is None else rows.unionByName(one)
+    if not sums[0]:
         return ids.select("id", F.lit(0.0).alias("rank"))
-    n = sums[0]
-    factors = [1.0 / n]
+    sums |= {r["j"]: r["s"] for r in rows.collect()} if rows is not None else {}  # a number for each round
+    factors = [1.0 / sums[0]]
     for _ in range(rounds):
         got = sum(g * sums[j + 1] for j, g in enumerate(factors))
-        factors = [((1 - damping) + damping * (1.0 - got)) / n, *(damping * g for g in factors)]
-    weights = F.array(*map(F.lit, factors))
-    return state.select("id", F.aggregate(F.zip_with("ws", weights, lambda w, g: w * g), F.lit(0.0), lambda acc, x: acc + x).alias("rank"))
+        factors = [(1.0 - got) / sums[0], *factors]
+    parts = ids.select("id", F.lit(factors[0]).alias("rank"))
+    for table, names in blocks:
+        parts = parts.unionByName(table.select("id", sum((F.col(c) * factors[int(c[1:])] for c in names), F.lit(0.0)).alias("rank")))
+    return parts.groupBy("id").agg(F.sum("rank").alias("rank"))
 
 
 def degrees(nodes: DataFrame, edges: DataFrame, id_col: str = "id") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -26,22 +28,46 @@ def get_session(app: str = "corpusmill", master: str | None = None, shuffle_part
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; a local one only where none is set (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        found = spark.sparkContext.getCheckpointDir()
-        if found:
-            return found
-        at = "file://" + tempfile.mkdtemp(prefix="corpusmill-")
-        spark.sparkContext.setCheckpointDir(at)
+    """The folder in spark.checkpoint.dir, which all executors share. Where none is set, a local one in local mode (tests); on a cluster that is an error."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if at:
+        return at
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    at = "file://" + tempfile.mkdtemp(prefix="corpusmill-")
+    spark.sparkContext.setCheckpointDir(at)
     return at
 
 
+#: Tables written by this process, removed when it ends (results may read them until then).
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+def discard(written: list[tuple[SparkSession, str]] | None = None) -> None:
+    """Removes the tables that materialize wrote; those of a session that has ended stay where its file system can't be reached."""
+    paths = _WRITTEN if written is None else written
+    while paths:
+        spark, path = paths.pop()
+        if path.startswith("file:"):
+            shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+            continue
+        try:
+            jvm = spark.sparkContext._jvm
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the session may be gone
+            continue
+
+
+atexit.register(discard)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Writes df once to the shared folder and reads it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/corpusmill-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    _WRITTEN.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
