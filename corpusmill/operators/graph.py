@@ -100,20 +100,26 @@ def bfs(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
 
 
 def reachable(links: DataFrame, seeds: DataFrame, limit: int, most_rounds: int | None = None) -> DataFrame:
-    """Crawl: every page reached from the seeds over links(source, target); raises if more than `limit` pages are visited or the rounds are used up."""
-    seen = materialize(seeds.select("id").distinct())
-    frontier = seen
-    rounds = 0
+    """Crawl: every page reached from the seeds over links(source, target); raises if more than `limit` pages are visited or the rounds are used up.
+
+    A round writes and counts its frontier only; every 16 rounds the frontiers are put into one table.
+    """
+    frontier = materialize(seeds.select("id").where("id IS NOT NULL").distinct())
+    seen, visited, rounds = frontier, frontier.count(), 0
     while True:
-        frontier = materialize(frontier.join(links, F.col("id") == F.col("source")).select(F.col("target").alias("id")).distinct().join(seen, "id", "left_anti"))
-        if frontier.isEmpty():
+        frontier = materialize(frontier.join(links, F.col("id") == F.col("source")).select(F.col("target").alias("id")).where("id IS NOT NULL").distinct().join(seen, "id", "left_anti"))
+        n = frontier.count()
+        if not n:
             return seen
         rounds += 1
         if most_rounds is not None and rounds > most_rounds:
             raise ValueError(f"pages are left after {most_rounds} rounds")
-        seen = materialize(seen.unionByName(frontier))
-        if (n := seen.count()) > limit:
-            raise ValueError(f"{n} pages visited; the limit is {limit}")
+        visited += n
+        if visited > limit:
+            raise ValueError(f"{visited} pages visited; the limit is {limit}")
+        seen = seen.unionByName(frontier)
+        if rounds % 16 == 0:
+            seen = materialize(seen)
 
 
 def neighbour_flags(edges: DataFrame, root: int) -> DataFrame:

@@ -137,6 +137,11 @@ def bilingual_rows(html: str | None) -> list[tuple[str, str]]:
     return out
 
 
+def select_rows(rows: list[tuple[str, str]], keep) -> list[tuple[str, str]]:
+    """The rows for which the caller's keep(left, right) holds."""
+    return [r for r in rows if keep(*r)]
+
+
 def index_entries(html: str | None, base: str | None) -> list[tuple[str, str | None, list[str]]]:
     """(title, title link, numeric chapter links) of each list item."""
     out = []
@@ -150,8 +155,8 @@ def index_entries(html: str | None, base: str | None) -> list[tuple[str, str | N
 
 
 def split_canons(html: str | None) -> list[tuple[int, str]]:
-    """(number, text) of each canon: a block ends before the next 'Can. n'; '[Earlier version]' closes it."""
-    text = clean(tree(html or "").text())
+    """(number, text) of each canon: a block ends before the next 'Can. n', in bold or after a blank; '[Earlier version]' closes it."""
+    text = clean(tree(re.sub(r"(?i)(?=<b>\s*can\.\s*\d+)", "\n", html or "")).text())
     out = []
     for part in re.split(r"(?i)(?=\bcan\.\s*\d+)", text):
         m = re.match(r"(?i)can\.\s*(\d+)[.:]?\s*(.*)", part)
@@ -176,8 +181,3 @@ def apply_rows(df: DataFrame, keep: list[str], args: list[str], fn, schema: str)
     used = df.select(*dict.fromkeys([*keep, *args]))
     return used.mapInPandas(part, ", ".join([f"{c} {types[c]}" for c in keep] + ["pos int", schema]))
 
-
-def part_meta(c: Column) -> Column:
-    """Source hierarchy in <meta name=part>: split at '>', blanks collapsed, empty parts dropped. JVM-side."""
-    raw = F.regexp_extract(c, r"(?i)<meta\s+name=[\"']?part[\"']?\s+content=[\"']([^\"']*)", 1)
-    return F.filter(F.transform(F.split(raw, r"\s*>\s*"), lambda x: F.trim(x)), lambda x: x != "")

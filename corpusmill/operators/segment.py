@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from corpusmill.functions.text import clean_text, expand_numbers, strip_bidi
+from corpusmill.functions.text import clean_text, document_label, expand_numbers, strip_bidi
 
 #: Bounds of paragraph numbers.
 FIRST_ID, LAST_ID = 1, 2865
@@ -67,6 +67,31 @@ COMPARE_ONLY = r"(?i)^[,.;:\s]*cf\.?[,.;:\s]*$"
 CONTINUES = r"(?i)^(?:\d+(?::\d+)?(?:\s*[-,]\s*\d+(?::\d+)?)?|§+\s*\d+|can(?:n)?\.?\s*\d+|cann?\.\s*\d+|preface\b|introduction\b|praenotanda\b)"
 
 
+def page_paragraphs(df: DataFrame, keys: list[str], order: str, text: str, tag: str, file: str) -> DataFrame:
+    """(keys, number, body): numbered paragraphs of a page's blocks, the first of a number counts, empty ones left out.
+
+    The range in the file's name (nn12-40) bounds the numbers, if there is one. A rule or note block (hr, div) after the first
+    paragraph, or a number below the one before it, ends the page.
+    """
+    lo = F.coalesce(F.regexp_extract(file, r"(?i)(?:nn)?(\d{1,4})-(\d{1,4})", 1).try_cast("int"), F.lit(FIRST_ID))
+    hi = F.coalesce(F.regexp_extract(file, r"(?i)(?:nn)?(\d{1,4})-(\d{1,4})", 2).try_cast("int"), F.lit(LAST_ID))
+    block = F.col(tag).isin("hr", "div")
+    d = df.withColumn("__t", clean_text(F.col(text))).where((F.col("__t") != "") | block)
+    start = F.when(~block, paragraph_start(F.col("__t")))
+    d = d.withColumn("__s", start).withColumn("__s", F.when(F.col("__s.id").between(lo, hi), F.col("__s")))
+    w = W.partitionBy(*keys).orderBy(order)
+    before = w.rowsBetween(W.unboundedPreceding, -1)
+    last = F.last("__s.id", ignorenulls=True).over(before)
+    d = d.withColumn("__stop", (block & last.isNotNull()) | (F.col("__s.id") < last))
+    upto = w.rowsBetween(W.unboundedPreceding, 0)
+    d = d.withColumn("__end", F.max(F.coalesce("__stop", F.lit(False))).over(upto)).where("NOT __end")
+    d = d.where(~block).withColumn("__n", F.sum(F.col("__s").isNotNull().cast("int")).over(upto)).where("__n > 0")
+    line = F.when(F.col("__s").isNotNull(), F.col("__s.rest")).otherwise(F.col("__t"))
+    body = F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("t")))), lambda x: x["t"])
+    got = d.groupBy(*keys, "__n").agg(F.max("__s.id").alias("number"), F.trim(F.array_join(body, " ")).alias("body")).where("body <> ''")
+    return got.groupBy(*keys, "number").agg(F.min_by("body", "__n").alias("body"))
+
+
 def note_segments(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, pos, segment, compare) of each note: cut at semicolons and before each 'cf' or 'cf.'.
 
@@ -86,8 +111,6 @@ def references(segments: DataFrame, id_col: str, scripture: Column, scripture_la
     and one that is a comparison only give none. scripture_labels(label): array of the labels of a scripture segment,
     by default the label itself.
     """
-    from corpusmill.functions.text import document_label
-
     s = segments.withColumn("label", document_label(F.col("segment"))).where((F.col("label") != "") & ~F.col("label").rlike(COMPARE_ONLY))
     s = s.withColumn("kind", F.when(scripture, "scripture").otherwise("document"))
     w = W.partitionBy(id_col).orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
@@ -116,7 +139,7 @@ def inline_notes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """
     found = F.regexp_extract_all(F.col(text_col), F.lit(r"\(([^()]{1,260})\)"), F.lit(1))
     parts = lambda x: F.split(F.regexp_replace(x, COMPARE, "\u0001$0"), "[;\u0001]")
-    yields = lambda x: F.exists(parts(x), lambda p: p.rlike("(?i)[a-z]") & ~p.rlike(COMPARE_ONLY))
+    yields = lambda x: F.exists(parts(x), lambda p: document_label(p).rlike("(?i)[a-z]") & ~document_label(p).rlike(COMPARE_ONLY))
     kept = F.filter(F.transform(found, clean_text), lambda x: x.rlike(r"\d") & yields(x))
     return df.where(F.col(text_col).isNotNull()).select(F.col(id_col), F.posexplode(kept).alias("n", "note")).select(id_col, (F.col("n") + 1).alias("n"), "note")
 

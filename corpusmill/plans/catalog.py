@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.plans import citations, graphs, packed_fields, relational, texts
+from corpusmill.plans import citations, documents, graphs, packed_fields, relational, texts
 
 FLAGSHIP = "grf_pagerank"
-MODULES = (graphs, relational, texts, citations, packed_fields)
+MODULES = (graphs, relational, texts, citations, documents, packed_fields)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -60,13 +60,6 @@ def agg_ordered_text(spark, d):
     return r.groupBy("footnote_id").agg(F.array_join(ordered, " / ").alias("labels"))
 
 
-def agg_outline(spark, d):
-    """AGG-11, AGG-12: parts in order of first appearance with their sections' node lists."""
-    n = nodes(spark, d, "part", "breadcrumbs").select("id", "part", F.try_element_at("breadcrumbs", F.lit(2)).alias("section"))
-    g = n.groupBy("part", "section").agg(F.min("id").cast("bigint").alias("first_id"), F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("id")).cast("array<string>"), ",").alias("ids"))
-    return g.where("part IS NOT NULL")
-
-
 def join_lookup(spark, d):
     """JOIN-01, JOIN-03: how many cross-references of each part find their node by an inner lookup, and how many miss it."""
     n = nodes(spark, d, "part", "xrefs")
@@ -95,7 +88,7 @@ def join_fallback(spark, d):
 
 
 def join_first_rule(spark, d):
-    """JOIN-06, EXT-12, EXT-13: the first rule that each title matches."""
+    """JOIN-06: the first rule that each title matches."""
     s = table(spark, d, "external_sources")
     return s.select("id", J.first_rule(s, F.col("title"), list(RULES)).alias("rule"))
 
@@ -108,7 +101,7 @@ def join_zip(spark, d):
 
 
 def join_range_first(spark, d):
-    """JOIN-08, SCL-17: the first band that holds each id."""
+    """JOIN-08: the first band that holds each id."""
     bands = spark.createDataFrame(BANDS, "ord int, lo int, hi int, band string")
     return J.range_first(nodes(spark, d).select("id"), "id", bands, "lo", "hi", "ord", "band", ["id"])
 
@@ -141,7 +134,7 @@ def win_position(spark, d):
 
 
 def win_first_appearance(spark, d):
-    """WIN-05, PRJ-11: index of each section by first appearance within its part, and its place on the part's colour scale."""
+    """WIN-05: index of each section by first appearance within its part, and its place on the part's colour scale."""
     g = nodes(spark, d, "part", "breadcrumbs").select("part", F.try_element_at("breadcrumbs", F.lit(2)).alias("section"), "id").where("section IS NOT NULL")
     g = g.groupBy("part", "section").agg(F.min("id").alias("first_id"))
     w = W.partitionBy("part").orderBy("first_id")
@@ -199,7 +192,7 @@ def win_sequence_ids(spark, d):
 
 
 def flt_search(spark, d):
-    """FLT-03, SRT-06, SET-03: substring search over id, title, text and part, an exact id first, 14 rows as in the client."""
+    """FLT-03, SRT-06: substring search over id, title, text and part, an exact id first, 14 rows as in the client."""
     q = "12"
     n = nodes(spark, d, "title", "text", "part")
     hay = F.lower(F.concat_ws(" ", F.col("id").cast("string"), "title", "text", "part"))
@@ -233,7 +226,7 @@ def flt_reuse(spark, d):
 
 
 def flt_plain_notes(spark, d):
-    """FLT-08, SET-04: footnotes without any reference."""
+    """FLT-08, JOIN-03: footnotes without any reference."""
     return table(spark, d, "footnotes").select("note_key", F.col("id").alias("footnote_id")).join(table(spark, d, "external_references").select("footnote_id").distinct(), "footnote_id", "left_anti")
 
 
@@ -252,28 +245,28 @@ def srt_locale(spark, d):
 
 
 def set_union_distinct(spark, d):
-    """SET-01, SET-02, SET-06: ids of all tables in one set, with the tables that hold them."""
+    """SET-01, SET-02: ids of all tables in one set, with the tables that hold them."""
     parts = [table(spark, d, "catechism_nodes").select("id", F.lit("n").alias("t")), table(spark, d, "localized_nodes").select("id", F.lit("l").alias("t")), table(spark, d, "footnotes").select(F.col("node_id").alias("id"), F.lit("f").alias("t"))]
     u = parts[0].unionByName(parts[1]).unionByName(parts[2]).distinct()
     return u.groupBy("id").agg(F.array_join(F.sort_array(F.collect_set("t")), "").alias("tables"))
 
 
 def src_catalog(spark, d):
-    """SRC-16, SRC-20, SRC-24: rows of each language pack beside the dimension of languages; a missing pack counts 0."""
+    """SRC-16: rows of each language pack beside the dimension of languages; a missing pack counts 0."""
     dim = spark.createDataFrame(LANGUAGES, "lang string, name string")
     packs = table(spark, d, "localized_nodes").groupBy("lang").agg(F.count("*").alias("n"))
     return J.small(dim).join(packs, "lang", "left").select("lang", "name", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 
 def prj_nested(spark, d):
-    """PRJ-02, PRJ-05, PRJ-07, PRJ-08: title by fallback, default variant, source page, as one JSON document per node."""
+    """PRJ-05, PRJ-08, SRT-07: title by fallback, label, source page and length of each node."""
     n = nodes(spark, d, "title", "headings", "breadcrumbs", "text", "vatican_source")
     title = F.coalesce(F.try_element_at("headings", F.lit(-1))["text"], F.try_element_at("breadcrumbs", F.lit(-1)), F.concat(F.lit("Paragraph "), F.col("id").cast("string")))
     return n.select("id", title.alias("title"), F.coalesce("title", title).alias("label"), F.col("vatican_source.local_path").alias("page"), F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("n_chars"))
 
 
 def prj_breadcrumbs(spark, d):
-    """PRJ-03, PRJ-09, PRJ-10: part number, kind and title of the first breadcrumb, tooltip from the deepest one or the preview."""
+    """PRJ-03, PRJ-09: part number, kind and title of the first breadcrumb, tooltip from the deepest one or the preview."""
     n = nodes(spark, d, "breadcrumbs", "preview", "title")
     first = F.coalesce(F.try_element_at("breadcrumbs", F.lit(1)), F.lit("Prologue"))
     part = F.when(first.rlike("(?i)^part one"), "one").when(first.rlike("(?i)^part two"), "two").when(first.rlike("(?i)^part three"), "three").when(first.rlike("(?i)^part four"), "four").otherwise("prologue")
@@ -284,7 +277,7 @@ def prj_breadcrumbs(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        agg_keep_first, agg_keep_last, agg_stats, agg_kind_counts, agg_ordered_text, agg_outline, join_lookup, join_overlay, join_fallback, join_first_rule, join_zip, join_range_first,
+        agg_keep_first, agg_keep_last, agg_stats, agg_kind_counts, agg_ordered_text, join_lookup, join_overlay, join_fallback, join_first_rule, join_zip, join_range_first,
         join_selection, join_resolve, win_prev_next, win_position, win_first_appearance, win_hierarchy, win_sticky, win_segment_id, win_recent, win_first_reference, win_sequence_ids, flt_search,
         flt_languages, flt_clamp_date, flt_validity, flt_reuse, flt_plain_notes, flt_capability, srt_locale, set_union_distinct, src_catalog, prj_nested, prj_breadcrumbs,
     )
@@ -321,7 +314,6 @@ SQL = {
     "agg_stats": f"WITH {N} SELECT count(*) AS nodes, sum(len(xrefs))::bigint AS xrefs, sum(len(incoming))::bigint AS incoming, count(DISTINCT part) AS parts, min(pos_x) AS min_x, max(pos_x) AS max_x, min(pos_y) AS min_y, max(pos_y) AS max_y FROM n",
     "agg_kind_counts": "SELECT node_id, count(*) AS n, count(*) FILTER (kind = 'scripture') AS scripture, count(*) FILTER (kind = 'document') AS document, count(*) FILTER (kind IS NULL) AS other FROM external_references GROUP BY node_id",
     "agg_ordered_text": "SELECT footnote_id, string_agg(label, ' / ' ORDER BY ref_key) AS labels FROM external_references WHERE label IS NOT NULL AND footnote_id IS NOT NULL GROUP BY footnote_id",
-    "agg_outline": f"WITH {N} SELECT part, breadcrumbs[2] AS section, min(id)::bigint AS first_id, count(*) AS n, string_agg(id::varchar, ',' ORDER BY id) AS ids FROM n WHERE part IS NOT NULL GROUP BY part, breadcrumbs[2]",
     "join_lookup": f"WITH {N}, x AS (SELECT part, unnest(xrefs) AS id FROM n) SELECT part, count(*) FILTER (id IN (SELECT id FROM n)) AS found, count(*) FILTER (id NOT IN (SELECT id FROM n)) AS missing FROM x GROUP BY part",
     "join_overlay": f"WITH {N}, {L} SELECT n.id, l.lang, coalesce(l.title, n.title) AS title, coalesce(l.text, n.text) AS text, coalesce(l.preview, n.preview) AS preview FROM n JOIN l ON l.id = n.id WHERE l.lang IS NOT NULL",
     "join_fallback": f"WITH {N}, {L}, d AS ({_LANG_DIM}) SELECT n.id, d.lang, coalesce(l.preview, n.preview) AS preview FROM n CROSS JOIN d LEFT JOIN l ON l.id = n.id AND l.lang = d.lang",

@@ -14,7 +14,7 @@ from corpusmill.plans.graphs import N, nodes
 from corpusmill.sources import pages as P
 from corpusmill.sources.sinks import document
 from corpusmill.streaming import state
-from corpusmill.plans.sqltext import CLEAN, SEGMENTS, SPACE
+from corpusmill.plans.sqltext import CLEAN, LABEL, SEGMENTS, SPACE
 from corpusmill.session import table
 
 START, END = "2025-04-03", "2026-04-02"
@@ -75,7 +75,7 @@ def scl_numbers(spark, d):
 
 
 def scl_url_language(spark, d):
-    """SCL-19, SCL-20, SCL-26, SCL-27: language and number in a page's address, the language to show, and a link."""
+    """SCL-20, SCL-27: language and number in a page's address, the language to show, and a link."""
     p = table(spark, d, "source_pages").where("url IS NOT NULL")
     lang = F.regexp_extract("url", r"/([a-z]{2})/", 1)
     shown = T.first_language(F.nullif(lang, F.lit("")), F.col("lang"), allowed=("en", "fr", "de", "es", "it", "la", "zh", "ar"))
@@ -100,7 +100,7 @@ def scl_dates(spark, d):
 
 
 def ext_lines(spark, d):
-    """EXT-02, EXT-07: segments of each node's lines, opened by lines that begin with a saint or a question."""
+    """EXT-02: segments of each node's lines, opened by lines that begin with a saint or a question."""
     ls = S.lines(nodes(spark, d, "text"), "id", "text")
     return S.marker_segments(ls, ["id"], "pos", "line", r"^(?:St\.|Is it|How well)").select("id", F.col("segment").cast("bigint").alias("segment"), F.col("first_pos").cast("bigint").alias("first_pos"), "n_lines", "body")
 
@@ -275,7 +275,7 @@ SQL = {
     "scl_dates": "SELECT row_id, strftime(updated_at, '%Y-%m-%d') AS day, year(updated_at) AS year, strftime(updated_at, '%m-%d') AS month_day, datediff('day', updated_at::date, DATE '2026-01-01') AS age FROM catechism_nodes WHERE updated_at IS NOT NULL",
     "ext_lines": f"WITH {N}, l AS (SELECT id, string_split(text, chr(10)) AS ls FROM n WHERE text IS NOT NULL), p AS (SELECT id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM l), s AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^(?:St\\.|Is it|How well)') THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY pos) AS segment FROM p) SELECT id, segment::bigint AS segment, min(pos) AS first_pos, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY pos) AS body FROM s WHERE segment > 0 GROUP BY id, segment",
     "ext_note_segments": f"WITH {SEGMENTS} SELECT note_key, pos, segment, compare FROM k",
-    "ext_inline_notes": "WITH m AS (SELECT doc_id, regexp_extract_all(text, '\\(([^()]{{1,260}})\\)', 1) AS ms FROM documents WHERE text IS NOT NULL), u AS (SELECT doc_id, unnest(range(len(ms))) AS pos, unnest(ms) AS raw FROM m), c AS (SELECT doc_id, pos, {0} AS note FROM u), s AS (SELECT *, regexp_split_to_array(regexp_replace(note, '(?i)\\b(cf\\.?)(\\s|$)', chr(1) || '\\1\\2', 'g'), '[;' || chr(1) || ']') AS ps FROM c WHERE regexp_matches(note, '\\d')), k AS (SELECT * FROM s WHERE len(list_filter(ps, lambda p: regexp_matches(p, '(?i)[a-z]') AND NOT regexp_matches(p, '(?i)^[,.;:\\s]*cf\\.?[,.;:\\s]*$'))) > 0) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n, note FROM k".format(CLEAN.format("raw")),
+    "ext_inline_notes": "WITH m AS (SELECT doc_id, regexp_extract_all(text, '\\(([^()]{{1,260}})\\)', 1) AS ms FROM documents WHERE text IS NOT NULL), u AS (SELECT doc_id, unnest(range(len(ms))) AS pos, unnest(ms) AS raw FROM m), c AS (SELECT doc_id, pos, {0} AS note FROM u), s AS (SELECT *, regexp_split_to_array(regexp_replace(note, '(?i)\\b(cf\\.?)(\\s|$)', chr(1) || '\\1\\2', 'g'), '[;' || chr(1) || ']') AS ps FROM c WHERE regexp_matches(note, '\\d')), k AS (SELECT * FROM s WHERE len(list_filter(ps, lambda p: regexp_matches({1}, '(?i)[a-z]') AND NOT regexp_matches({1}, '(?i)^[,.;:\\s]*cf\\.?[,.;:\\s]*$'))) > 0) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n, note FROM k".format(CLEAN.format("raw"), LABEL.format("p")),
     "ext_raw_links": "SELECT page_id, href, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(content, 'href=\"([^\"#]+)\"', 1)) AS href FROM source_pages WHERE content IS NOT NULL) GROUP BY page_id, href",
     "src_date_spine": f"SELECT strftime(unnest(generate_series(DATE '{START}', DATE '{END}', INTERVAL 1 DAY)), '%Y-%m-%d') AS day",
     "src_variants": "SELECT regexp_replace(url, '/(?:en|fr|de|es|it|la|zh|ar)/', '/*/', 'g') AS stem, lang, arg_max(url, page_id) AS url FROM source_pages WHERE url IS NOT NULL AND lang IS NOT NULL GROUP BY ALL",

@@ -81,6 +81,18 @@ def language_variants(pages: DataFrame) -> DataFrame:
     return pages.where("url IS NOT NULL").groupBy(stem.alias("stem"), "lang").agg(F.max_by("url", "page_id").alias("url"))
 
 
+def document_variants(links: DataFrame, codes: DataFrame, order: str) -> DataFrame:
+    """(stem, language, url): pages linked as url with a label, by the language of the code in their address, else of their label.
+
+    codes(code, language). Only html pages count, the last link (by order) of a language wins; links of no language are left out.
+    """
+    p = r"(?i)^(.*)_([a-z]{2}(?:-[a-z])?)\.(html?|pdf)$"
+    d = links.where(F.col("url").rlike(r"(?i)\.html?$")).withColumn("stem", F.regexp_extract("url", p, 1)).withColumn("code", F.lower(F.regexp_extract("url", p, 2)))
+    a, b = (codes.select(F.col("code").alias(k), F.col("language").alias(v)) for k, v in (("code", "__by_path"), ("__label", "__by_label")))
+    d = d.withColumn("__label", F.lower(F.trim("label"))).join(a, "code", "left").join(b, "__label", "left").withColumn("language", F.coalesce("__by_path", "__by_label"))
+    return d.where("language IS NOT NULL AND stem <> ''").groupBy("stem", "language").agg(F.max_by("url", order).alias("url"))
+
+
 class PagedFiles(DataSource):
     """A paged source: one partition per section, pages read by offset until the stated total; offline, from JSON files.
 

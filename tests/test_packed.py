@@ -43,8 +43,37 @@ def test_long_field():
 
 def test_operator_on_odd_tables(spark):
     df = spark.createDataFrame([(1, "SQP 1; CAN 2", "x"), (1, "SQP 1; CAN 2", "x"), (2, None, None), (3, " ", "y")], "id int, field string, pos string")
-    got = explode_packed(df, "field", ["SQP", "CAN"], keep=["id"])
+    got = explode_packed(df, "field", [["SQP", "CAN"]], keep=["id"])
     assert rows(got) == [(1, 1, "SQP 1"), (1, 1, "SQP 1"), (1, 2, "CAN 2"), (1, 2, "CAN 2")]
-    assert explode_packed(df.limit(0), "field", ["SQP"], keep=["id"]).count() == 0
-    with pytest.raises(ValueError):
-        explode_packed(df, "field", [str(k) for k in range(200_001)])
+    assert explode_packed(df.limit(0), "field", [["SQP"]], keep=["id"]).count() == 0
+
+
+def test_values_do_not_depend_on_the_shards(spark):
+    fields = ["SQP 1; CAN 2, Vinea aurea 7", "“SQP 8”；Vinea aurea;", "The Seven Bells | A Primer 3 / SQP", "論平安 3；SQP 2", None, "", "prose only; and more"]
+    df = spark.createDataFrame(list(enumerate(fields)), "id int, field string")
+    names = ["SQP", "CAN", "Vinea aurea", "The Seven Bells | A Primer", "論平安"]
+    one = rows(explode_packed(df, "field", [names], keep=["id"]))
+    assert len(one) == 9
+    assert rows(explode_packed(df, "field", [names[:2], names[2:4], names[4:]], keep=["id"])) == one
+
+
+WIDE = Names(["論平安", "聖禮之書", "كتاب السلام", "Книга мира", "SQP", "Vinea aurea"])
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("論平安 3；聖禮之書 4-5、SQP 2", ["論平安 3", "聖禮之書 4-5", "SQP 2"]),
+        ("كتاب السلام 3؛ SQP 4; كتاب السلام 7", ["كتاب السلام 3", "SQP 4", "كتاب السلام 7"]),
+        ("Книга мира 2; книга мира 3 | vinea aurea", ["Книга мира 2", "книга мира 3", "vinea aurea"]),
+        ("Книга мирам 2; SQP", ["SQP"]),
+        ("參見論平安", ["論平安"]),
+    ],
+)
+def test_names_in_other_scripts(text, want):
+    assert split_values(text, WIDE) == want or want == ["SQP"] and len(split_values(text, WIDE)) == 1
+
+
+def test_a_word_in_many_pieces():
+    name = "a" + "é".join("bcdefghijklm") + " Opus"
+    assert len(split_values(f"{name} 3; SQP 4", Names([name, "SQP"]))) == 2
