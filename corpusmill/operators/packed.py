@@ -7,7 +7,7 @@ import unicodedata
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Opening quotation marks and what closes them.
@@ -254,31 +254,24 @@ def _unquote(part: str) -> str:
     return part
 
 
-def explode_packed(df: DataFrame, col: str, names: Iterable[Iterable[str]] | None = None, least: int = 1, keep: list[str] | None = None) -> DataFrame:
-    """One row for each value of df[col], with pos from 1 and value, besides the columns in keep (all, if None).
+def packed_values(field: Column, names: Iterable[Iterable[str]] | None = None) -> Column:
+    """array<string> of the field's values from left to right, empty for a null or blank field.
 
-    Narrow: no shuffle. Fields with fewer values than least give no row; null and blank fields have no value. A long field
-    is read whole. names: a reference list in shards of up to PER_TRIE names. One shard is read in one pass; of several
-    each finds the places where its names begin, in a pass of its own, and the last pass splits at the merged finds, so
-    that the values don't depend on the number of shards.
+    names: a reference list in shards of up to PER_TRIE names. One shard is read in one pass; of several each finds the
+    places where its names begin, in a pass of its own, and the last pass splits at the merged finds, so that the values
+    don't depend on the number of shards.
     """
     shards = [list(dict.fromkeys(x for x in part if x)) for part in names] if names is not None else None
-    out = "array<struct<pos:int,value:string>>"
-
-    def rows(got: list[list[str]]) -> pd.Series:
-        return pd.Series([[(k, v) for k, v in enumerate(x, 1)] if len(x) >= least else [] for x in got], dtype=object)
-
-    kept = keep if keep is not None else [F.col(f"`{c}`") for c in df.columns]
     if shards is None or len(shards) <= 1:
         known = shards[0] if shards else None
 
-        @F.pandas_udf(out)
+        @F.pandas_udf("array<string>")
         def values(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
             trie = Names(known) if known is not None else None
             for s in series:
-                yield rows([split_values(t if isinstance(t, str) else None, trie) for t in s])
+                yield pd.Series([split_values(t if isinstance(t, str) else None, trie) for t in s], dtype=object)
 
-        return df.select(*kept, F.inline(values(F.col(col))))
+        return values(field)
 
     def finder(part: list[str]):
         @F.pandas_udf("array<struct<a:int,b:int>>")
@@ -289,7 +282,7 @@ def explode_packed(df: DataFrame, col: str, names: Iterable[Iterable[str]] | Non
 
         return found
 
-    @F.pandas_udf(out)
+    @F.pandas_udf("array<string>")
     def split(texts: pd.Series, found: pd.Series) -> pd.Series:
         got = []
         for t, f in zip(texts, found):
@@ -297,10 +290,21 @@ def explode_packed(df: DataFrame, col: str, names: Iterable[Iterable[str]] | Non
             for x in f if f is not None else ():
                 longest[x["a"]] = max(longest.get(x["a"], 0), x["b"])
             got.append(split_values(t if isinstance(t, str) else None, None, _disjoint(longest)))
-        return rows(got)
+        return pd.Series(got, dtype=object)
+
+    return split(field, F.concat(*(finder(part)(field) for part in shards)))
 
-    spans = F.concat(*(finder(part)(F.col(col)) for part in shards))
-    return df.select(*kept, F.inline(split(F.col(col), spans)))
+
+def explode_packed(df: DataFrame, col: str, names: Iterable[Iterable[str]] | None = None, least: int = 1, keep: list[str] | None = None) -> DataFrame:
+    """One row for each value of df[col], with pos from 1 and value, besides the columns in keep (all, if None).
+
+    Narrow: no shuffle. Fields with fewer values than least give no row; null and blank fields have no value. A long field
+    is read whole. names: see packed_values.
+    """
+    kept = keep if keep is not None else [F.col(f"`{c}`") for c in df.columns]
+    some = df.select(*kept, packed_values(F.col(col), names).alias("__v")).where(F.size("__v") >= least)
+    names_ = [c for c in some.columns if c != "__v"]
+    return some.select(*(F.col(f"`{c}`") for c in names_), F.posexplode("__v").alias("pos", "value")).withColumn("pos", F.col("pos") + 1)
 
 
 def source_names(sources: DataFrame, per: int = PER_TRIE) -> list[list[str]]:
