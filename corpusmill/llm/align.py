@@ -9,8 +9,8 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,12 +20,11 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm import lm
 from corpusmill.llm.lookalike import skeleton, surface
-from corpusmill.llm.sentences import Splitter
+from corpusmill.llm.sentences import Splitter, unit_spans
 
 BITS, ROUNDS = 20, 5
 #: Cost of a confident 1-1 bead by length, and the share of a unit's words that a counterpart must explain.
 CONFIDENT, COVER = 1.2, 0.5
-_MASK = (1 << BITS) - 1
 
 
 def words(unit: str) -> list[str]:
@@ -39,12 +38,36 @@ def size(unit: str) -> float:
     return len(unit) + 2.2 * han
 
 
-def _pair_bucket(lang: str, e: str, f: str) -> int:
-    return zlib.crc32(f"{lang}\x01{e}\x01{f}".encode("utf-8", "surrogatepass")) & _MASK
+_memo: dict[str, int] = {}
+_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-def _word_bucket(lang: str, e: str) -> int:
-    return zlib.crc32(f"{lang}\x02{e}".encode("utf-8", "surrogatepass")) & _MASK
+def word_hash(word: str) -> int:
+    """63 bits of a word, the same in every process."""
+    got = _memo.get(word)
+    if got is None:
+        got = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") >> 1
+        if len(_memo) < 500_000:
+            _memo[word] = got
+    return got
+
+
+def _bucket(h: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = (h ^ (h >> np.uint64(31))) * _M2
+        return ((h ^ (h >> np.uint64(29))) * _M1 >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def word_buckets(lang: int, side: int, words_: np.ndarray) -> np.ndarray:
+    """Buckets of the words of one side (1 left, 2 right) of a language."""
+    with np.errstate(over="ignore"):
+        return _bucket(words_.astype(np.uint64) * _M1 + np.uint64(lang) + np.uint64(side))
+
+
+def pair_buckets(lang: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Bucket of each pair of words: a row for each right word."""
+    with np.errstate(over="ignore"):
+        return _bucket((left.astype(np.uint64) * _M1)[None, :] + (right.astype(np.uint64) * _M2)[:, None] + np.uint64(lang))
 
 
 def by_length(a: list[float], b: list[float]) -> list[tuple[int, int, int, int, float]]:
@@ -83,55 +106,67 @@ class Lexicon:
 
     def __init__(self, joint: np.ndarray, of: np.ndarray, back: np.ndarray):
         self.joint, self.of, self.back = joint, of, back
-        self.memo: dict[tuple[str, str, str], float] = {}
-
-    def t(self, lang: str, e: str, f: str) -> float:
-        key = (lang, e, f)
-        got = self.memo.get(key)
-        if got is None:
-            if e == f:
-                got = 1.0
-            else:
-                # probability in both directions: a word that stands beside everything translates nothing
-                c = float(self.joint[_pair_bucket(lang, e, f)])
-                both = (float(self.of[_word_bucket(lang, e)]) + 0.5) * (float(self.back[_word_bucket(lang, "\x03" + f)]) + 0.5)
-                got = min(1.0, c / math.sqrt(both)) if c > 0.2 else 0.0
-            if len(self.memo) < 400_000:
-                self.memo[key] = got
-        return got
-
-    def weight(self, lang: str, side: str, w: str) -> float:
-        """How much a word says: rare words and numbers much, articles little."""
-        n = float(self.of[_word_bucket(lang, w)]) if side == "e" else float(self.back[_word_bucket(lang, "\x03" + w)])
-        return 1.0 / math.log(8.0 + n)
-
-
-def beads(pairs: DataFrame) -> DataFrame:
-    """eb, fb and at of each confident bead of pairs(lang, left, right): the buckets of its words and of its word pairs."""
+
+    def table(self, lang: int, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Probability of each pair (a row for each left word), and how much each word says: rare words much, articles little.
+
+        A probability counts in both directions: a word that stands beside everything translates nothing.
+        """
+        c = self.joint[pair_buckets(lang, left, right)].T
+        of, back = self.of[word_buckets(lang, 1, left)], self.back[word_buckets(lang, 2, right)]
+        t = np.where(c > 0.2, np.minimum(1.0, c / np.sqrt((of + 0.5)[:, None] * (back + 0.5)[None, :])), 0.0)
+        t[left[:, None] == right[None, :]] = 1.0
+        return t, 1.0 / np.log(8.0 + of), 1.0 / np.log(8.0 + back)
+
+
+def prepared(pairs: DataFrame, splitter: Splitter) -> DataFrame:
+    """id, lang, and of both sides the units' offsets, sizes and hashed words, of pairs(id, lang, node_text, loc_text): texts are cut once."""
+
+    def side(texts: list[str]) -> list[tuple[list[int], list[float], list[list[int]]]]:
+        out = []
+        for t, starts in zip(texts, splitter.batch(texts)):
+            units = [t[x:y] for x, y in unit_spans(t, starts)]
+            out.append((starts, [size(u) for u in units], [[word_hash(w) for w in words(u)] for u in units]))
+        return out
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            cols = {"id": b["id"], "lang": b["lang"]}
+            for name, col in (("e", "node_text"), ("f", "loc_text")):
+                got = side(list(b[col]))
+                for k, field in enumerate(("starts", "sizes", "words")):
+                    cols[f"{name}_{field}"] = [g[k] for g in got]
+            yield pd.DataFrame(cols)
+
+    sides = ", ".join(f"{n}_starts array<int>, {n}_sizes array<double>, {n}_words array<array<bigint>>" for n in "ef")
+    return pairs.mapInPandas(part, f"id int, lang string, {sides}")
+
+
+def beads(units: DataFrame) -> DataFrame:
+    """eb, fb and at of each confident bead of prepared(): the buckets of its words and of its word pairs."""
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for lang, left, right in zip(b["lang"], b["left"], b["right"]):
-                left, right = list(left), list(right)
-                if not left or not right:
+            for lang, es, fs, ew, fw in zip(b["lang"], b["e_sizes"], b["f_sizes"], b["e_words"], b["f_words"]):
+                if not len(es) or not len(fs):
                     continue
-                for i, i2, j, j2, c in by_length([size(x) for x in left], [size(x) for x in right]):
+                code = word_hash(lang)
+                for i, i2, j, j2, c in by_length(list(es), list(fs)):
                     if (i2 - i, j2 - j) != (1, 1) or c > CONFIDENT:
                         continue
-                    es, fs = words(left[i]), words(right[j])
-                    same = set(es) & set(fs)
-                    es = [e for e in dict.fromkeys(es) if e not in same]
-                    fs = [f for f in dict.fromkeys(fs) if f not in same]
-                    if es and fs:
-                        rows.append(([_word_bucket(lang, e) for e in es], [_word_bucket(lang, "\x03" + f) for f in fs], [_pair_bucket(lang, e, f) for f in fs for e in es]))
+                    same = set(ew[i]) & set(fw[j])
+                    left = np.array([w for w in dict.fromkeys(ew[i]) if w not in same], dtype=np.int64)
+                    right = np.array([w for w in dict.fromkeys(fw[j]) if w not in same], dtype=np.int64)
+                    if len(left) and len(right):
+                        rows.append((word_buckets(code, 1, left), word_buckets(code, 2, right), pair_buckets(code, left, right).ravel()))
             yield pd.DataFrame(rows, columns=["eb", "fb", "at"])
 
-    return pairs.mapInPandas(part, "eb array<int>, fb array<int>, at array<int>")
+    return units.mapInPandas(part, "eb array<int>, fb array<int>, at array<int>")
 
 
 def train(found: DataFrame) -> Lexicon:
-    """EM over beads() that were written once. A round is one pass of array arithmetic.
+    """EM over beads() that were written once. A round is one pass of array arithmetic over whole batches.
 
     The table is kept as expected counts: of word pairs, and of the words of either side, each hashed to 2**BITS buckets.
     """
@@ -145,15 +180,19 @@ def train(found: DataFrame) -> Lexicon:
             old = shared.value
             new = np.zeros(3 * size_, dtype=np.float64)
             for b in batches:
-                for eb, fb, at in zip(b["eb"], b["fb"], b["at"]):
-                    eb, fb = np.asarray(eb), np.asarray(fb)
-                    at = np.asarray(at).reshape(len(fb), len(eb))
-                    p = np.ones(at.shape) if old is None else old[0][at] / np.maximum(old[1][eb], 1e-6)[None, :] + 1e-9
-                    p /= p.sum(axis=1, keepdims=True)
-                    np.add.at(new, at.ravel(), p.ravel())
-                    np.add.at(new, size_ + eb, p.sum(axis=0))
-                    np.add.at(new, 2 * size_ + fb, 1)
-            some = np.flatnonzero(new > 1e-3)
+                if not len(b):
+                    continue
+                at, eb, fb = (np.concatenate([np.asarray(x) for x in b[c]]) for c in ("at", "eb", "fb"))
+                n_e, n_f = b["eb"].map(len).to_numpy(), b["fb"].map(len).to_numpy()
+                # every pair's row (its bead's right word) and its left word
+                row = np.repeat(np.arange(n_f.sum()), np.repeat(n_e, n_f))
+                first = np.repeat(np.cumsum(n_e) - n_e, n_e * n_f)
+                inner = np.arange(len(at)) - np.repeat(np.cumsum(n_e * n_f) - n_e * n_f, n_e * n_f)
+                left = eb[first + inner % np.repeat(n_e, n_e * n_f)]
+                p = np.ones(len(at)) if old is None else old[0][at] / np.maximum(old[1][left], 1e-6) + 1e-9
+                p /= np.bincount(row, p)[row]
+                new += np.bincount(np.concatenate([at, size_ + left, 2 * size_ + fb]), np.concatenate([p, p, np.ones(len(fb))]), 3 * size_)
+            some = np.flatnonzero(new)
             for lo in range(0, len(some), 100_000):
                 yield pd.DataFrame({"bucket": some[lo : lo + 100_000], "n": new[some[lo : lo + 100_000]]})
 
@@ -169,24 +208,24 @@ def train(found: DataFrame) -> Lexicon:
     return Lexicon(*table)
 
 
-def align(lex: Lexicon, lang: str, left: list[str], right: list[str]) -> list[tuple[int, int]]:
-    """Index pairs (left unit, right unit) of which one translates the other or a part of it."""
+def _counted(units: list) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct words of a text's units, and how often each unit holds each."""
+    lens = np.array([len(u) for u in units])
+    flat = np.concatenate([np.asarray(u, dtype=np.int64) for u in units])
+    ids, at = np.unique(flat, return_inverse=True)
+    k = max(len(ids), 1)
+    return ids, np.bincount(np.repeat(np.arange(len(units)), lens) * k + at, minlength=len(units) * k).reshape(len(units), k)[:, : len(ids)].astype(np.float64)
+
+
+def align(lex: Lexicon, lang: str, left: list, right: list) -> list[tuple[int, int]]:
+    """Index pairs (left unit, right unit) of which one translates the other or a part of it; units as lists of hashed words."""
     n, m = len(left), len(right)
     if not n or not m:
         return []
-    ew, fw = [words(x) for x in left], [words(x) for x in right]
-    e_at = {w: k for k, w in enumerate(dict.fromkeys(w for ws in ew for w in ws))}
-    f_at = {w: k for k, w in enumerate(dict.fromkeys(w for ws in fw for w in ws))}
-    in_e, in_f = np.zeros((n, len(e_at))), np.zeros((m, len(f_at)))
-    for i, ws in enumerate(ew):
-        for w in ws:
-            in_e[i, e_at[w]] += 1
-    for j, ws in enumerate(fw):
-        for w in ws:
-            in_f[j, f_at[w]] += 1
-    t = np.array([[lex.t(lang, e, f) for f in f_at] for e in e_at]).reshape(len(e_at), len(f_at))
-    we = in_e * np.array([lex.weight(lang, "e", w) for w in e_at])
-    wf = in_f * np.array([lex.weight(lang, "f", w) for w in f_at])
+    e_ids, in_e = _counted(left)
+    f_ids, in_f = _counted(right)
+    t, say_e, say_f = lex.table(word_hash(lang), e_ids, f_ids)
+    we, wf = in_e * say_e, in_f * say_f
     # how well a unit explains each word (an idiom's words share the credit), and the explained share of the other unit
     cov_f = np.minimum(1.0, 1.25 * (in_e @ t)) @ wf.T / np.maximum(wf.sum(axis=1), 1e-9)[None, :]
     cov_e = we @ np.minimum(1.0, 1.25 * (in_f @ t.T)).T / np.maximum(we.sum(axis=1), 1e-9)[:, None]
@@ -268,27 +307,17 @@ def first_rows(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.where(F.col("row_id").isNotNull()).groupBy(*keys).agg(F.min_by("text", "row_id").alias("text"))
 
 
-def found(pairs: DataFrame, splitter: Splitter, lex: Lexicon) -> DataFrame:
-    """id, lang, node_start, loc_start of each aligned pair of units of pairs(id, lang, node_text, loc_text)."""
+def found(units: DataFrame, lex: Lexicon) -> DataFrame:
+    """id, lang, node_start, loc_start of each aligned pair of units of prepared()."""
+    shared = units.sparkSession.sparkContext.broadcast((lex.joint, lex.of, lex.back))
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lexicon = Lexicon(*shared.value)
         for b in batches:
             rows = []
-            for key, lang, e, f in zip(b["id"], b["lang"], b["node_text"], b["loc_text"]):
-                eu, fu = splitter.units(e), splitter.units(f)
-                for i, j in align(lex, lang, [e[x:y] for x, y in eu], [f[x:y] for x, y in fu]):
-                    rows.append((key, lang, eu[i][0], fu[j][0]))
+            for key, lang, es, fs, ew, fw in zip(b["id"], b["lang"], b["e_starts"], b["f_starts"], b["e_words"], b["f_words"]):
+                for i, j in align(lexicon, lang, ew, fw):
+                    rows.append((key, lang, int(es[i]), int(fs[j])))
             yield pd.DataFrame(rows, columns=["id", "lang", "node_start", "loc_start"])
 
-    return pairs.mapInPandas(part, "id int, lang string, node_start int, loc_start int")
-
-
-def unit_lists(pairs: DataFrame, splitter: Splitter) -> DataFrame:
-    """lang, left, right: the unit texts of both sides."""
-
-    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            cut = lambda t: [t[x:y] for x, y in splitter.units(t)]
-            yield pd.DataFrame({"lang": b["lang"], "left": [cut(t) for t in b["node_text"]], "right": [cut(t) for t in b["loc_text"]]})
-
-    return pairs.mapInPandas(part, "lang string, left array<string>, right array<string>")
+    return units.mapInPandas(part, "id int, lang string, node_start int, loc_start int")

@@ -116,8 +116,8 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     right = right.where(~is_garbled(F.col("loc_text"), *_garble_model(spark, sf_dir)))
     pairs = materialize(spread(left.join(right, "id").select("id", "lang", "node_text", "loc_text"), scan=False))
     splitter = sentences.train(_node_texts(spark, sf_dir))
-    lexicon = align.train(materialize(align.beads(align.unit_lists(spread(pairs), splitter))))
-    return align.found(spread(pairs), splitter, lexicon)
+    units = materialize(align.prepared(spread(pairs), splitter))
+    return align.found(units, align.train(materialize(align.beads(units))))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
