@@ -215,6 +215,56 @@ def test_units_on_odd_rows(spark, splitter):
     assert got[1] == [] and got[2][0] == 0
 
 
+def test_a_batch_gives_what_single_texts_give(splitter, texts):
+    some = texts[:60] + ["", "  \n ", "a"]
+    assert splitter.batch(some) == [splitter.starts(t) for t in some]
+
+
+@pytest.fixture(scope="module")
+def held_out():
+    """A splitter of the texts of sf0.1 without 2,500 of them, and those by language."""
+    import pandas as pd
+
+    n = pd.read_parquet("/root/testdata/sf0.1/localized_nodes.parquet", columns=["lang", "text"]).dropna()
+    n = n.drop_duplicates("text").sample(frac=1, random_state=4)
+    test, rest = n[:2500], list(n["text"][2500:])
+    counts: dict = {}
+    for t in rest:
+        for u in sentences.evidence(t):
+            counts[u] = counts.get(u, 0) + 1
+    first = sentences.Splitter(type("C", (dict,), {"__missing__": lambda self, k: 0})(counts))
+    flat = [sentences.plain(t)[0] for t in rest]
+    known = [(f, first.chain(f, *first.marked(f)[:2])) for f in flat]
+    return sentences.Splitter(first.c, sentences.Bare.fit(known), sentences._near(known)), test
+
+
+@pytest.mark.parametrize("lang,kept,recall,precision", [("zh", 0.0, 0.85, 0.85), ("fr", 0.0, 0.9, 0.88), ("la", 0.0, 0.88, 0.86), ("ar", 0.0, 0.7, 0.75), ("zh", 0.5, 0.8, 0.85), ("fr", 0.5, 0.8, 0.85), ("zh", -1, 0.85, 0.85)])
+def test_boundaries_without_marks(held_out, lang, kept, recall, precision):
+    """Held-out texts whose marks are taken out, all, half of them, or all but the last: the boundaries that the marks gave are found again."""
+    splitter, test = held_out
+    rng = random.Random(7)
+    want = got = both = 0
+    for t in test.loc[test["lang"] == lang, "text"]:
+        if "\ufffd" in t or "\n" in t:
+            continue
+        starts, out, new, opens = set(splitter.starts(t)), [], set(), False
+        for i, ch in enumerate(t):
+            opens = opens or i in starts
+            last = kept < 0 and i == len(t) - 1
+            if not (ch.isalnum() or ch.isspace() or ch in "’'-_" or last or rng.random() < kept):
+                continue
+            if opens and not ch.isspace():
+                new.add(len(out))
+                opens = False
+            out.append(ch)
+        text = "".join(out)
+        lead = len(text) - len(text.lstrip())
+        found = set(splitter.starts(text)) - {lead}
+        new -= {lead}
+        want, got, both = want + len(new), got + len(found), both + len(new & found)
+    assert want > 30 and both >= recall * want and both >= precision * got
+
+
 def test_alignment_of_made_translations(spark):
     """EM on made sentences with a known dictionary: swapped, merged and left-out units are found."""
     rng = random.Random(6)
@@ -224,14 +274,17 @@ def test_alignment_of_made_translations(spark):
     left = lambda s: "The %s %s the %s." % tuple(w.translate(str.maketrans("01234567", "abcdefgh")) for w in s)
     right = lambda s: "Le %s %s le %s." % tuple(word(w.translate(str.maketrans("01234567", "abcdefgh"))) for w in s)
     docs = [[sent() for _ in range(4)] for _ in range(250)]
-    df = spark.createDataFrame([("fr", [left(s) for s in d], [right(s) for s in d]) for d in docs], "lang string, left array<string>, right array<string>")
+    hashed = lambda us: [[align.word_hash(w) for w in align.words(u)] for u in us]
+    both = [([left(s) for s in d], [right(s) for s in d]) for d in docs]
+    df = spark.createDataFrame([("fr", [align.size(u) for u in e], [align.size(u) for u in f], hashed(e), hashed(f)) for e, f in both], "lang string, e_sizes array<double>, f_sizes array<double>, e_words array<array<bigint>>, f_words array<array<bigint>>")
     lex = align.train(align.beads(df).cache())
+    aligned = lambda e, f: align.align(lex, "fr", hashed(e), hashed(f))
     d = docs[0] = [(subj[k], verb[k], obj[k]) for k in range(4)]
     L, R = [left(s) for s in d], [right(s) for s in d]
-    assert align.align(lex, "fr", L, R) == [(0, 0), (1, 1), (2, 2), (3, 3)]
-    assert set(align.align(lex, "fr", L, [R[1], R[0], R[3]])) == {(0, 1), (1, 0), (3, 2)}
-    assert set(align.align(lex, "fr", L, [R[0], R[1][:-1] + ", et " + R[2].lower(), R[3]])) == {(0, 0), (1, 1), (2, 1), (3, 2)}
-    assert align.align(lex, "fr", [], R) == [] and align.align(lex, "fr", ["..."], ["!"]) in ([], [(0, 0)])
+    assert aligned(L, R) == [(0, 0), (1, 1), (2, 2), (3, 3)]
+    assert set(aligned(L, [R[1], R[0], R[3]])) == {(0, 1), (1, 0), (3, 2)}
+    assert set(aligned(L, [R[0], R[1][:-1] + ", et " + R[2].lower(), R[3]])) == {(0, 0), (1, 1), (2, 1), (3, 2)}
+    assert aligned([], R) == [] and aligned(["..."], ["!"]) in ([], [(0, 0)])
 
 
 def test_bk_tree_against_brute_force():
@@ -267,7 +320,7 @@ def test_reference_mapping(spark, sf_dir):
     found = {r["label"]: r["source_id"] for r in reference.match(odd, src).collect()}
     assert found["ibid."] == found["Kitchen Almanac 3"] == "none" and found["S.Q.P. 4"].startswith("src-") and len(found) == 3
     two = {r["label"]: r["source_id"] for r in reference.match(odd, src, per_shard=100).collect()}
-    assert two == found  # shards give what one tree gives
+    assert two == found  # several trees give what one tree gives
     assert reference.match(odd.limit(0), src).count() == 0 and {r["source_id"] for r in reference.match(odd, src.limit(0)).collect()} <= {"none"}
 
 
