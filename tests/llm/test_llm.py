@@ -57,6 +57,26 @@ def test_plan_uses_every_item_once(cap):
     assert sum(n for _, n in plan) <= 1.08 * np.ceil(sizes.sum() / cap) + np.sum(sizes > cap / 2) * 0.2
 
 
+@pytest.mark.parametrize("cap", [256, 512, 2048, 8192])
+def test_least_squares_place_most_items(cap):
+    """Sizes as those of documents: many of 20 to 400 and a heavy tail. Little space stays unused, and most items are placed by the fit."""
+    rng = np.random.default_rng(cap)
+    sizes = np.concatenate([rng.lognormal(4.9, 0.6, 8000), rng.lognormal(6.2, 0.9, 800)]).astype(int) + 1
+    sizes = np.where(sizes > cap, sizes % cap, sizes)
+    u, c = np.unique(sizes[sizes > 0], return_counts=True)
+    plan, placed = packing.plan_steps(u, c, cap)
+    assert sum(len(x) * n for x, n in plan) == c.sum() and all(sum(x) <= cap for x, _ in plan)
+    assert placed >= 0.5 * c.sum()
+    assert sum(n for _, n in plan) <= 1.005 * (u * c).sum() / cap + 1
+
+
+def test_least_squares_converge():
+    index = np.array([[0, 0, -1], [0, 1, 2], [2, 2, 1]])
+    a = np.array([[2, 0, 0], [1, 1, 1], [0, 1, 2]]).T
+    x = packing.nnls(index, a @ np.array([3.0, 5.0, 2.0]))
+    assert np.allclose(x, [3, 5, 2], atol=0.1)
+
+
 def test_pack_is_whole(spark):
     rng = random.Random(4)
     items = [(k, rng.choice([0, 1, 3, 5, 5, 5, 9, 25, 26])) for k in range(300)] + [(7, 5), (None, 4), (900, None)]
