@@ -130,43 +130,68 @@ def is_markup(content: str) -> bool:
     return bool(_MARKUP.search(content))
 
 
-def render(content: str) -> str:
-    """All visible text: blocks apart, list items marked, cells of a row in one line with columns aligned."""
-    if not is_markup(content):
-        return content
-    out: list[str] = []
-
-    def text(n: Node) -> str:
-        return re.sub(r"[^\S\n]+", " ", "".join(t if not t or t == "\n" or k == 0 else " " + t if n.runs[k - 1][0] != ln else t for k, (ln, t, _) in enumerate(n.runs))).strip()
-
-    def walk(n: Node, lead: str) -> None:
+def _own(n: Node) -> str:
+    return re.sub(r"[^\S\n]+", " ", "".join(t if not t or t == "\n" or k == 0 else " " + t if n.runs[k - 1][0] != ln else t for k, (ln, t, _) in enumerate(n.runs))).strip()
+
+
+def _cells(table: Node) -> list[list[Node]] | None:
+    """Rows of cells of a table that holds data; None if a cell holds blocks of its own: the table then lays out the page."""
+    rows: list[list[Node]] = []
+    todo = list(reversed(table.kids))
+    while todo:
+        n = todo.pop()
+        if n.tag == "tr":
+            if any(c.kids for c in n.kids):
+                return None
+            rows.append(n.kids)
+        elif n.tag in ("tbody", "table"):
+            todo += reversed(n.kids)
+        elif n.kids:
+            return None
+        else:
+            rows.append([n])
+    return rows
+
+
+def layout(root: Node) -> list[tuple[str, str, list[int]]]:
+    """The page as it is seen: (kind, text, ids of the nodes in it) of each block, list item and table row, in order.
+
+    Hidden blocks are left out; list items are marked, further lines of a preformatted block stand under the first; the cells
+    of a row stand in one line, in columns as wide as their widest cell. A table whose cells hold blocks is no row of cells.
+    """
+    out: list[tuple[str, str, list[int]]] = []
+    todo: list[tuple[Node, str]] = [(root, "")]
+    while todo:
+        n, lead = todo.pop()
         if "!" in n.cls:
-            return
-        if n.tag == "table":
-            rows: list[list[str]] = []
-
-            def cells(m: Node) -> None:
-                for c in m.kids:
-                    if c.tag == "tr":
-                        rows.append([" ".join(filter(None, [text(x), *(text(y) for y in x.kids)])) for x in c.kids])
-                    else:
-                        cells(c)
-
-            cells(n)
-            width = [max((len(r[k]) for r in rows if k < len(r)), default=0) for k in range(max((len(r) for r in rows), default=0))]
-            out.extend("  ".join(v.ljust(width[k]) for k, v in enumerate(r)).rstrip() for r in rows)
-            out.append("")
-            return
-        own = text(n)
+            continue
+        if n.tag == "table" and (rows := _cells(n)) is not None:
+            texts = [[_own(c).replace("\n", " ") for c in r] for r in rows]
+            width = [max((len(r[k]) for r in texts if k < len(r)), default=0) for k in range(max(map(len, texts), default=0))]
+            for r, t in zip(rows, texts):
+                out.append(("row", "  ".join(v.ljust(width[k]) for k, v in enumerate(t)).rstrip(), [n.id, *(c.id for c in r)]))
+            continue
+        own = _own(n)
         if own:
-            out.append(lead + own)
-            if n.tag in ("p", "blockquote", "h1", "h2", "h3", "div"):
-                out.append("")
-        for c in n.kids:
-            walk(c, "- " if c.tag == "li" else "")
+            out.append(("item" if lead else "block", lead + own, [n.id]))
+        todo += [(c, "- " if c.tag == "li" else "") for c in reversed(n.kids)]
+    return out
+
+
+def spaced(rows: list[tuple[str, str]]) -> str:
+    """(kind, text) of blocks, items and rows as one text: blocks apart, items of a list and rows of a table under each other."""
+    out, before = [], ""
+    for kind, text in rows:
+        if text:
+            out.append("" if not out else "\n" if kind == before and kind != "block" else "\n\n")
+            out.append(text)
+            before = kind
+    return "".join(out)
 
-    walk(build(content).root, "")
-    return re.sub(r"\n{3,}", "\n\n", "\n".join(out)).strip()
+
+def render(content: str) -> str:
+    """All visible text of a page; one without markup as it is."""
+    return spaced([x[:2] for x in layout(build(content).root)]) if is_markup(content) else content
 
 
 def _outward(n: Node) -> tuple[int, int, int]:
@@ -188,10 +213,15 @@ def markup_lines(content: str) -> list[tuple[int, str, int]]:
     return [x[:3] for x in _markup_lines(content)]
 
 
-def _markup_lines(content: str) -> list[tuple[int, str, int, bool]]:
-    """The same, and whether the line holds a link."""
-    nodes = build(content).nodes
-    leaf = [n for n in nodes if any(t.strip() for _, t, _ in n.runs)]
+def _markup_lines(content: str) -> list[tuple[int, str, int, bool, int, str, str | None]]:
+    """The same, whether the line holds a link, and of the rendered page which block, item or row it is in: its place, kind and, for a row of cells, text.
+
+    The lines are those of the rendering: what isn't in it, as hidden text, is no line.
+    """
+    built = build(content)
+    nodes = built.nodes
+    shown = {i: (k, kind, text) for k, (kind, text, ids) in reversed(list(enumerate(layout(built.root)))) for i in ids}
+    leaf = [n for n in nodes if n.id in shown and any(t.strip() for _, t, _ in n.runs)]
     linky: dict[int, bool] = {}
     for n in leaf:
         total, a, inner = _outward(n)
@@ -244,7 +274,7 @@ def _markup_lines(content: str) -> list[tuple[int, str, int, bool]]:
             elif n.tag == "div":
                 v = 2 if (n.tag, n.cls) == dominant else 0
         verdict[n.id] = v
-    by_line: dict[int, list[tuple[str, int, bool]]] = {}
+    by_line: dict[int, list[tuple[str, int, bool, int]]] = {}
     for n in leaf:
         named = ""
         line = -1
@@ -259,8 +289,13 @@ def _markup_lines(content: str) -> list[tuple[int, str, int, bool]]:
             # notes typeset without blocks of their own: a named anchor begins the line
             if v == 0 and named and ln == line and n.id not in (own_links.keys() if own_links[n.id] and n.tag not in ("body", "td", "center") else ()) and k != "a":
                 v = 2
-            by_line.setdefault(ln, []).append((t.strip(), v, k in ("a", "#")))
-    return [(ln, " ".join(t for t, _, _ in parts), max(v for _, v, _ in parts), any(x for _, _, x in parts)) for ln, parts in sorted(by_line.items())]
+            by_line.setdefault(ln, []).append((t.strip(), v, k in ("a", "#"), n.id))
+    out = []
+    for ln, parts in sorted(by_line.items()):
+        top = max(v for _, v, _, _ in parts)
+        place, kind, text = shown[next(i for _, v, _, i in parts if v == top)]
+        out.append((ln, " ".join(t for t, _, _, _ in parts), top, any(x for _, _, x, _ in parts), place, kind, text if kind == "row" else None))
+    return out
 
 
 def _reaches(n: Node, main: Node) -> bool:
@@ -309,20 +344,42 @@ def plain_lines(content: str, site: str | None) -> list[tuple[int, str, int]]:
 
 
 def lines(pages: DataFrame) -> DataFrame:
-    """page_id, local_path, site, line_no, text, verdict and link flag of each line with visible text; one narrow pass. Rows with a null page_id or content have none."""
+    """page_id, local_path, site, line_no, text, verdict, link flag, and place, kind and row of the rendered page of each line with visible text.
+
+    One narrow pass. Rows with a null page_id or content have none.
+    """
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for pid, path, site, content in zip(b["page_id"], b["local_path"], b["site"], b["content"]):
                 kind = 1 if is_markup(content) else 0
-                # without markup, the items of a list that isn't body are titles of links
-                found = _markup_lines(content) if kind else [(*x, x[2] == 0 and x[1].startswith(("- ", "* ", "• "))) for x in plain_lines(content, site)]
-                rows += [(pid, path, site, ln, t, v, kind, linked) for ln, t, v, linked in found]
-            yield pd.DataFrame(rows, columns=["page_id", "local_path", "site", "line_no", "text", "verdict", "markup", "linked"])
+                if kind:
+                    found = _markup_lines(content)
+                else:
+                    # without markup, the items of a list that isn't body are titles of links
+                    found = [(ln, t, v, v == 0 and t.startswith(("- ", "* ", "• ")), ln, "item" if t.startswith(("- ", "* ", "• ")) else "block", None) for ln, t, v in plain_lines(content, site)]
+                rows += [(pid, path, site, ln, t, v, kind, linked, *place) for ln, t, v, linked, *place in found]
+            yield pd.DataFrame(rows, columns=["page_id", "local_path", "site", "line_no", "text", "verdict", "markup", "linked", "place", "kind", "cells"])
 
     some = pages.where("content IS NOT NULL AND page_id IS NOT NULL").select("page_id", "local_path", "site", "content")
-    return some.mapInPandas(part, "page_id long, local_path string, site string, line_no int, text string, verdict int, markup int, linked boolean")
+    return some.mapInPandas(part, "page_id long, local_path string, site string, line_no int, text string, verdict int, markup int, linked boolean, place int, kind string, cells string")
+
+
+def body_text(found: DataFrame, body: DataFrame) -> DataFrame:
+    """page_id and text of each page's main body: its lines (body_lines) as they stand in the rendered page, blocks apart, items marked, rows aligned."""
+    kept = found.join(body, ["page_id", "line_no"], "left_semi").groupBy("page_id", "place", "kind").agg(
+        F.max("cells").alias("cells"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), " ").alias("text")
+    )
+    lead = F.when((F.col("kind") == "item") & ~F.col("text").rlike(r"^[-*•] "), "- ").otherwise("")
+    blocks = F.array_sort(F.collect_list(F.struct("place", "kind", F.coalesce("cells", F.concat(lead, "text")).alias("text"))))  # the blocks of one page
+
+    def add(acc: Column, x: Column) -> Column:
+        gap = F.when(acc["text"] == "", "").when((acc["kind"] == x["kind"]) & (x["kind"] != "block"), "\n").otherwise("\n\n")
+        return F.struct(x["kind"].alias("kind"), F.concat(acc["text"], gap, x["text"]).alias("text"))
+
+    start = F.struct(F.lit("").alias("kind"), F.lit("").alias("text"))
+    return kept.groupBy("page_id").agg(blocks.alias("blocks")).select("page_id", F.aggregate("blocks", start, add)["text"].alias("text"))
 
 
 def look(text: Column) -> Column:

@@ -127,11 +127,25 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve(table(spark, sf_dir, "external_references"), table(spark, sf_dir, "external_sources"))
 
 
+def _page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusmill.llm import pages
+
+    return materialize(pages.lines(spread(table(spark, sf_dir, "source_pages").select("page_id", "local_path", "site", "content"))))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """page_id and line_no of each line of a page's main body."""
+    """page_id and line_no of each line of a page's main body, from the rendered page."""
+    from corpusmill.llm import pages
+
+    return pages.body_lines(_page_lines(spark, sf_dir))
+
+
+def p4_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main body of each page as it is rendered; pages without a body have no row."""
     from corpusmill.llm import pages
 
-    return pages.body_lines(materialize(pages.lines(spread(table(spark, sf_dir, "source_pages").select("page_id", "local_path", "site", "content")))))
+    found = _page_lines(spark, sf_dir)
+    return pages.body_text(found, pages.body_lines(found))
 
 
 def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,7 +164,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_restored": p1_restored, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p7_found": p7_found, "p6_found": p6_found, "p6_canonical": p6_canonical, "p8_ids": p8_ids, "p9_packing": p9_packing, "p10_found": p10_found, "p10_shares": p10_shares}
+    return {"p1_found": p1_found, "p1_restored": p1_restored, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_text": p4_text, "p7_found": p7_found, "p6_found": p6_found, "p6_canonical": p6_canonical, "p8_ids": p8_ids, "p9_packing": p9_packing, "p10_found": p10_found, "p10_shares": p10_shares}
 
 
 def oracle_sql() -> dict[str, str]:
