@@ -33,7 +33,7 @@ EMISSION = np.array(
 )
 START = np.array([0.85, 0.05, 0.06, 0.04])
 STAY = 0.9
-#: Weight of the stated table in re-estimation, as expected symbols of each state; rounds; share of words that makes spam.
+#: Expected counts of a state from which the data weigh as much as the stated table; rounds; share of words that makes spam.
 PRIOR_WEIGHT, ROUNDS, SHARE = 2000.0, 2, 0.5
 
 #: Share of a document's words from which one word is unusual.
@@ -49,12 +49,41 @@ _SPLITS = (re.compile(r"\s*;\s*"), re.compile(r"\s*[•·]\s*"), re.compile(r"\s
 _WORDS = re.compile(rf"[{lm.HAN}]|[^\W\d_{lm.HAN}]+")
 
 
+class Piece:
+    """What a piece of text says for itself: links, words in lower case, weight in words, and which marks it bears."""
+
+    __slots__ = ("text", "low", "links", "words", "n", "ended", "shop", "reference", "starred", "bars")
+
+    def __init__(self, text: str):
+        self.text, self.low = text, text.strip().lower()
+        plain, self.links = _URL.subn(" ", text) if _MAY_LINK.search(text) else (text, 0)
+        self.words = [w.lower() for w in _WORDS.findall(plain)]
+        han = 0 if plain.isascii() else sum(len(w) == 1 and w >= "\u2e80" and lm.is_han(w) for w in self.words)
+        self.n = self.links + len(self.words) - han + (han + 1) // 2
+        self.ended = bool(_END.search(text)) and self.n > 1
+        self.shop = bool(_SHOP.search(text))
+        self.reference = bool(_REFERENCE.search(text))
+        self.starred = text.rstrip().endswith("★")
+        self.bars = text.count("|") + text.count("｜")
+
+
+_known: dict[str, Piece] = {}
+_MAY_LINK = re.compile(r"[.<\]/]")
+
+
+def piece(text: str) -> Piece:
+    """The piece, kept for the next time if it is short: lists and refrains come again."""
+    got = _known.get(text)
+    if got is None:
+        got = Piece(text)
+        if len(text) < 200 and len(_known) < 100_000:
+            _known[text] = got
+    return got
+
+
 def n_words(text: str) -> int:
     """Words; two Han characters count as one, a link as one."""
-    plain, links = _URL.subn(" ", text)
-    ws = _WORDS.findall(plain)
-    han = sum(lm.is_han(w) for w in ws)
-    return links + len(ws) - han + (han + 1) // 2
+    return piece(text).n
 
 
 def pieces(text: str) -> list[str]:
@@ -70,6 +99,8 @@ def pieces(text: str) -> list[str]:
             continue
         best: list[str] = []
         for rx in _SPLITS:
+            if len(rx.findall(body)) < max(4, len(best)):
+                continue
             parts = [p for p in rx.split(body) if p.strip()]
             if len(parts) >= 5 and len(parts) > len(best) and sum(n_words(p) <= 4 for p in parts) >= 0.85 * len(parts):
                 best = parts
@@ -89,46 +120,45 @@ def pieces(text: str) -> list[str]:
 
 def symbols(text: str) -> list[tuple[int, int]]:
     """(symbol, words) of each piece."""
-    ps = pieces(text)
-    whole = Counter(w.lower() for p in ps for w in _WORDS.findall(_URL.sub(" ", p)))
-    same = Counter(p.strip().lower() for p in ps)
+    ps = [piece(p) for p in pieces(text)]
+    whole = Counter(w for p in ps for w in p.words)
+    same = Counter(p.low for p in ps)
     total = sum(whole.values()) or 1
     # a sentence that comes again is a refrain, unless others here are stuffed with its word
-    stuffing = any(_repeats([w.lower() for w in _WORDS.findall(p)], whole) >= 2 and _END.search(p) and not _URL.search(p) for p in ps)
+    stuffing = any(p.ended and not p.links and _repeats(p.words) >= 2 for p in ps) and any(p.ended and not p.links and _repeats(p.words, whole) >= 2 for p in ps)
     out = []
     for p in ps:
-        n = n_words(p)
-        plain = _URL.sub(" ", p)
-        words = [w.lower() for w in _WORDS.findall(plain)]
-        ended = bool(_END.search(p)) and n > 1
-        if not words and not _URL.search(p):
+        if not p.words and not p.links:
             s = "junk"
-        elif _URL.search(p):
-            s = "cited_link" if ended and len(words) >= 2 and not p.rstrip().endswith("★") else "link"
-        elif _SHOP.search(p) and not ended:
+        elif p.links:
+            s = "cited_link" if p.ended and len(p.words) >= 2 and not p.starred else "link"
+        elif p.shop and not p.ended:
             s = "shop"
-        elif ended or n > 4:
-            inside = _repeats(words, whole)
-            if inside >= 2 and ended:
+        elif p.ended or p.n > 4:
+            inside = _repeats(p.words, whole)
+            if inside >= 2 and p.ended:
                 s = "stuffed"
-            elif ended and same[p.strip().lower()] > 2:
-                s = "stuffed" if inside or (stuffing and _keyed(words, whole, total)) else "refrain"
-            elif _REFERENCE.search(p):
+            elif p.ended and same[p.low] > 2:
+                s = "stuffed" if inside or (stuffing and _keyed(p.words, whole, total)) else "refrain"
+            elif p.reference:
                 s = "reference"
-            elif ended:
+            elif p.ended:
                 s = "sentence"
             else:
-                s = "parts" if p.count("|") + p.count("｜") >= 2 else "line"
-        elif _REFERENCE.search(p):
+                s = "parts" if p.bars >= 2 else "line"
+        elif p.reference:
             s = "reference"
-        elif words and min(whole[w] for w in words) >= 3 and sum(whole.values()) >= 12:
+        elif p.words and total >= 12 and min(whole[w] for w in p.words) >= 3:
             s = "key"
         else:
             s = "short"
-        out.append((SYMBOLS.index(s), max(1, n)))
+        out.append((_INDEX[s], max(1, p.n)))
     return out
 
 
+_INDEX = {s: k for k, s in enumerate(SYMBOLS)}
+
+
 def _repeats(words: list[str], whole: Counter | None = None) -> int:
     """How often content words (pairs of Han characters) come again within the sentence, beyond the first time.
 
@@ -166,65 +196,110 @@ class Model:
         return Model(START.copy(), move, e)
 
     def viterbi(self, obs: list[int]) -> list[int]:
-        if not obs:
-            return []
-        lm_, le = np.log(self.move), np.log(self.emit)
-        d = np.log(self.start) + le[:, obs[0]]
+        return self.viterbi_all([obs])[0].tolist()
+
+    def viterbi_all(self, docs: list) -> list[np.ndarray]:
+        """The likeliest states of each document's symbols; a step of all documents at once, the longest first."""
+        order, length, at, flat = _laid(docs)
+        out: list[np.ndarray] = [np.zeros(0, dtype=np.int8) for _ in docs]
+        if not len(length):
+            return out
+        move, emit = np.log(self.move), np.log(self.emit).T
+        d = np.log(self.start) + emit[flat[at]]
         back = []
-        for o in obs[1:]:
-            m = d[:, None] + lm_
-            back.append(m.argmax(axis=0))
-            d = m.max(axis=0) + le[:, o]
-        s = int(d.argmax())
-        out = [s]
-        for b in reversed(back):
-            s = int(b[s])
-            out.append(s)
-        return out[::-1]
+        for t in range(1, int(length[0])):
+            k = int(np.searchsorted(-length, -t, side="left"))  # documents longer than t
+            m = d[:k, :, None] + move[None]
+            back.append(m.argmax(axis=1).astype(np.int8))
+            d[:k] = m.max(axis=1) + emit[flat[at[:k] + t]]
+        states = d.argmax(axis=1)
+        got = np.zeros(len(flat), dtype=np.int8)
+        got[at + length - 1] = states
+        for t in range(int(length[0]) - 1, 0, -1):
+            k = int(np.searchsorted(-length, -t, side="left"))
+            states[:k] = back[t - 1][np.arange(k), states[:k]]
+            got[at[:k] + t - 1] = states[:k]
+        for i, a, n in zip(order, at, length):
+            out[i] = got[a : a + n]
+        return out
 
     def expected(self, obs: list[int], into: np.ndarray) -> None:
-        """Adds the expected (state, symbol) counts of a document, by the scaled forward-backward recursion."""
-        k, n = len(STATES), len(obs)
-        if not n:
-            return
-        a = np.zeros((n, k))
-        c = np.zeros(n)
-        a[0] = self.start * self.emit[:, obs[0]]
-        c[0] = a[0].sum()
-        a[0] /= c[0]
-        for t in range(1, n):
-            a[t] = (a[t - 1] @ self.move) * self.emit[:, obs[t]]
-            c[t] = a[t].sum()
-            a[t] /= c[t]
-        b = np.ones(k)
-        for t in range(n - 1, -1, -1):
-            g = a[t] * b
-            into[:, obs[t]] += g / g.sum()
+        """Adds the expected (state, symbol) counts of a document."""
+        into += self.expected_all([obs])[0]
+
+    def expected_all(self, docs: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Expected counts of (state, symbol), (state, next state) and first states, by the scaled forward-backward recursion over all documents at once."""
+        k_ = len(STATES)
+        emitted, moved, first = np.zeros((k_, len(SYMBOLS))), np.zeros((k_, k_)), np.zeros(k_)
+        _, length, at, flat = _laid(docs)
+        if not len(length):
+            return emitted, moved, first
+        emit = self.emit.T
+        a = np.zeros((len(flat), k_))
+        c = np.zeros(len(flat))
+        f = self.start * emit[flat[at]]
+        c[at] = f.sum(axis=1)
+        a[at] = f / c[at][:, None]
+        for t in range(1, int(length[0])):
+            k = int(np.searchsorted(-length, -t, side="left"))
+            here = at[:k] + t
+            f = (a[here - 1] @ self.move) * emit[flat[here]]
+            c[here] = f.sum(axis=1)
+            a[here] = f / c[here][:, None]
+        g = np.zeros_like(a)
+        b = np.ones((len(length), k_))
+        for t in range(int(length[0]) - 1, -1, -1):
+            k = int(np.searchsorted(-length, -t, side="left"))  # documents with a symbol at t
+            here = at[:k] + t
+            x = a[here] * b[:k]
+            g[here] = x / x.sum(axis=1, keepdims=True)
             if t:
-                b = self.move @ (self.emit[:, obs[t]] * b) / c[t]
+                ahead = emit[flat[here]] * b[:k] / c[here][:, None]
+                moved += (a[here - 1].T @ ahead) * self.move
+                b[:k] = ahead @ self.move.T
+        first += g[at].sum(axis=0)
+        for s in range(k_):
+            emitted[s] = np.bincount(flat, g[:, s], len(SYMBOLS))
+        return emitted, moved, first
+
+
+def _laid(docs: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the documents with symbols, the longest first, their lengths, where each begins in all symbols laid end to end, and these."""
+    n = np.array([len(x) for x in docs], dtype=np.int64)
+    begin = np.cumsum(n) - n
+    flat = np.concatenate([np.asarray(x, dtype=np.int64) for x in docs]) if n.sum() else np.zeros(0, dtype=np.int64)
+    order = np.argsort(-n, kind="stable")
+    order = order[n[order] > 0]
+    return order, n[order], begin[order], flat
 
 
 def train(observed: DataFrame) -> Model:
-    """Re-estimates the emissions on all rows of observed(symbols array<int>); START and the transitions stay as stated."""
-    model = Model.stated()
-    prior = model.emit.copy()
+    """Re-estimates emissions, transitions and first states on all rows of observed(symbols array<int>).
+
+    The stated table and the data weigh alike, at any number of rows: so the states keep their meaning.
+    """
+    model = stated = Model.stated()
+    shapes = (stated.emit, stated.move, stated.start[None])
     for _ in range(ROUNDS):
         now = model
 
         def part(batches: Iterator[pd.DataFrame], now=now) -> Iterator[pd.DataFrame]:
-            total = np.zeros((len(STATES), len(SYMBOLS)))
+            total = np.zeros(sum(x.size for x in shapes))
             for b in batches:
-                for obs in b["symbols"]:
-                    now.expected([int(x) for x in obs], total)
-            yield pd.DataFrame({"at": np.arange(total.size), "n": total.ravel()})
+                total += np.concatenate([x.ravel() for x in now.expected_all(list(b["symbols"]))])
+            yield pd.DataFrame({"at": np.arange(total.size), "n": total})
 
         got = observed.select("symbols").mapInPandas(part, "at int, n double").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
-        flat = np.zeros(prior.size)
+        flat = np.zeros(sum(x.size for x in shapes))
         flat[got["at"].to_numpy(dtype=int)] = got["n"].to_numpy()
-        counts = flat.reshape(prior.shape)
-        weight = np.minimum(1.0, PRIOR_WEIGHT / np.maximum(counts.sum(axis=1, keepdims=True), 1e-9))
-        emit = prior * PRIOR_WEIGHT + counts * weight  # the data never outweigh the stated table, so states keep their meaning
-        model = Model(model.start, model.move, emit / emit.sum(axis=1, keepdims=True))
+        new, lo = [], 0
+        for prior in shapes:
+            counts = flat[lo : lo + prior.size].reshape(prior.shape)
+            lo += prior.size
+            seen = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1e-9)
+            sure = np.minimum(1.0, counts.sum(axis=1, keepdims=True) / PRIOR_WEIGHT)  # few rows say little
+            new.append((prior + sure * seen) / (1 + sure))
+        model = Model(new[2][0], new[1], new[0])
     return model
 
 
@@ -245,10 +320,10 @@ def shares(observed: DataFrame, model: Model) -> DataFrame:
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for obs, words in zip(b["symbols"], b["words"]):
-                states = model.viterbi([int(x) for x in obs])
-                total = sum(int(w) for w in words)
-                out.append(sum(int(w) for s, w in zip(states, words) if s) / total if total else 0.0)
+            for states, words in zip(model.viterbi_all(list(b["symbols"])), b["words"]):
+                words = np.asarray(words, dtype=np.int64)
+                total = int(words.sum())
+                out.append(float(words[states > 0].sum()) / total if total else 0.0)
             yield pd.DataFrame({"id": b["id"], "share": out})
 
     return observed.mapInPandas(part, "id long, share double")
