@@ -46,13 +46,15 @@ _END = re.compile(r"[.!?。！？؟…][”»“\"」』)）]*\s*$")
 _SENTENCE = re.compile(r"(?<=[.!?؟])[”»“\"」』)）]*\s+(?=[^\Wa-z\d_]|[¿¡“«„\"(])|(?<=[。！？])[」』）]*")
 _LABEL = re.compile(r"^\s*(?:tags?|keywords?|sku|mots[- ]clés|etiquetas|schlagwörter|標籤)\s*:?\s*", re.I)
 _SPLITS = (re.compile(r"\s*;\s*"), re.compile(r"\s*[•·]\s*"), re.compile(r"\s*\|\s*"), re.compile(r"\s+[-–]\s+"), re.compile(r"\s*[,、，]\s*"), re.compile(r"\s+(?=#)"), re.compile(r"\s{2,}"))
+#: What each of them needs four of.
+_SPLIT_MARKS = (";", "•·", "|", "-–", ",、，", "#", ("  ", "\t", "\u3000", "\xa0"))
 _WORDS = re.compile(rf"[{lm.HAN}]|[^\W\d_{lm.HAN}]+")
 
 
 class Piece:
     """What a piece of text says for itself: links, words in lower case, weight in words, and which marks it bears."""
 
-    __slots__ = ("text", "low", "links", "words", "n", "ended", "shop", "reference", "starred", "bars")
+    __slots__ = ("text", "low", "links", "words", "n", "ended", "again", "_shop", "_reference")
 
     def __init__(self, text: str):
         self.text, self.low = text, text.strip().lower()
@@ -61,10 +63,28 @@ class Piece:
         han = 0 if plain.isascii() else sum(len(w) == 1 and w >= "\u2e80" and lm.is_han(w) for w in self.words)
         self.n = self.links + len(self.words) - han + (han + 1) // 2
         self.ended = bool(_END.search(text)) and self.n > 1
-        self.shop = bool(_SHOP.search(text))
-        self.reference = bool(_REFERENCE.search(text))
-        self.starred = text.rstrip().endswith("★")
-        self.bars = text.count("|") + text.count("｜")
+        self.again = _top(self.words)
+        self._shop = self._reference = None
+
+    @property
+    def shop(self) -> bool:
+        if self._shop is None:
+            self._shop = bool(_SHOP.search(self.text))
+        return self._shop
+
+    @property
+    def reference(self) -> bool:
+        if self._reference is None:
+            self._reference = bool(_REFERENCE.search(self.text))
+        return self._reference
+
+    @property
+    def starred(self) -> bool:
+        return self.text.rstrip().endswith("★")
+
+    @property
+    def bars(self) -> int:
+        return self.text.count("|") + self.text.count("｜")
 
 
 _known: dict[str, Piece] = {}
@@ -98,8 +118,8 @@ def pieces(text: str) -> list[str]:
             out += [p + "★" for p in re.split(r"[★☆]{2,}", body) if p.strip()]
             continue
         best: list[str] = []
-        for rx in _SPLITS:
-            if len(rx.findall(body)) < max(4, len(best)):
+        for rx, marks in zip(_SPLITS, _SPLIT_MARKS):
+            if sum(map(body.count, marks)) < 4:
                 continue
             parts = [p for p in rx.split(body) if p.strip()]
             if len(parts) >= 5 and len(parts) > len(best) and sum(n_words(p) <= 4 for p in parts) >= 0.85 * len(parts):
@@ -121,11 +141,13 @@ def pieces(text: str) -> list[str]:
 def symbols(text: str) -> list[tuple[int, int]]:
     """(symbol, words) of each piece."""
     ps = [piece(p) for p in pieces(text)]
-    whole = Counter(w for p in ps for w in p.words)
-    same = Counter(p.low for p in ps)
+    whole: Counter = Counter()
+    for p in ps:
+        whole.update(p.words)
+    same = Counter([p.low for p in ps])
     total = sum(whole.values()) or 1
     # a sentence that comes again is a refrain, unless others here are stuffed with its word
-    stuffing = any(p.ended and not p.links and _repeats(p.words) >= 2 for p in ps) and any(p.ended and not p.links and _repeats(p.words, whole) >= 2 for p in ps)
+    stuffing = any(p.again and p.ended and not p.links and _repeats(p.again, whole, total) >= 2 for p in ps)
     out = []
     for p in ps:
         if not p.words and not p.links:
@@ -135,7 +157,7 @@ def symbols(text: str) -> list[tuple[int, int]]:
         elif p.shop and not p.ended:
             s = "shop"
         elif p.ended or p.n > 4:
-            inside = _repeats(p.words, whole)
+            inside = _repeats(p.again, whole, total)
             if inside >= 2 and p.ended:
                 s = "stuffed"
             elif p.ended and same[p.low] > 2:
@@ -159,23 +181,28 @@ def symbols(text: str) -> list[tuple[int, int]]:
 _INDEX = {s: k for k, s in enumerate(SYMBOLS)}
 
 
-def _repeats(words: list[str], whole: Counter | None = None) -> int:
-    """How often content words (pairs of Han characters) come again within the sentence, beyond the first time.
+def _top(words: list[str]) -> dict[str, int]:
+    """Content words (pairs of Han characters) that come more than once in a piece, with how often."""
+    if words and lm.is_han(words[0]):
+        some = ["".join(words[k : k + 2]) for k in range(len(words) - 1)]
+    else:
+        some = [w for w in words if len(w) > 3 or (len(w) > 2 and not w.isascii())]
+    if len(set(some)) == len(some):
+        return {}
+    return {w: v for w, v in Counter(some).items() if v > 1}
+
+
+def _repeats(top: dict[str, int], whole: Counter, total: int) -> int:
+    """How often the content words of a piece come again within it, beyond the first time.
 
     A word that comes twice in it counts only if it also makes up an unusual share of the document (whole).
     """
-    if words and lm.is_han(words[0]):
-        c = Counter("".join(words[k : k + 2]) for k in range(len(words) - 1))
-        top = [w for w, v in c.items() if v > 1]
-    else:
-        c = Counter(w for w in words if len(w) > 3 or (len(w) > 2 and not w.isascii()))
-        top = [w for w, v in c.items() if v > 1]
-    again = sum(c[w] - 1 for w in top)
-    if whole and top and max(c[w] for w in top) == 2:
-        total = sum(whole.values()) or 1
+    if not top:
+        return 0
+    if whole and max(top.values()) == 2:
         if max(min(whole[x] for x in (w if lm.is_han(w[0]) else [w])) for w in top) / total < UNUSUAL:
             return 0
-    return again
+    return sum(v - 1 for v in top.values())
 
 
 def _keyed(words: list[str], whole: Counter, total: int) -> bool:
