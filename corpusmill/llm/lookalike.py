@@ -1,9 +1,10 @@
 """Text that looks the same in different characters, brought to one form.
 
-Every word runs through a trie of the corpus' frequent words with a weighted edit automaton: ignorable characters and
-look-alikes cost nothing, so all spellings that a reader can't tell apart reach the same entries, and the most frequent
-entry is the canonical spelling. Words that reach no entry are normalised by table. Both depend on the word's look only,
-so two texts get one form exactly if they look the same, whichever words the trie holds.
+Every word runs through a trie of spellings with a weighted edit automaton: ignorable characters and look-alikes cost
+nothing, so all spellings that a reader can't tell apart reach the same entry, which holds the most frequent spelling of the
+whole corpus. Words that reach no entry are normalised by table. The trie holds just those words whose most frequent
+spelling isn't the table's, so it needs no bound, and both depend on the word's look only: two texts get one form exactly
+if they look the same.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,33 +20,42 @@ from pyspark.sql import functions as F
 
 from corpusmill.session import materialize
 
-#: Cyrillic and Greek letters that look like the Latin letter below them, and Arabic letters like the second row's.
-CYRILLIC = "асеоіѕрхуѵјһԁԛԝАВЕНІЈКМОРСТХЅУԚԜ"
-CYRILLIC_AS = "aceoispxyvjhdqwABEHIJKMOPCTXSYQW"
+#: Letters of other scripts that look like the Latin letter below them, and Arabic letters like the second row's.
+CYRILLIC = "асеоіѕрхуѵјһԁԛԝӏҽАВЕНІЈКМОРСТХЅУԚԜӀ"
+CYRILLIC_AS = "aceoispxyvjhdqwleABEHIJKMOPCTXSYQWI"
 GREEK = "οναικΑΒΕΖΗΙΚΜΝΟΡΤΥΧ"
 GREEK_AS = "ovaikABEZHIKMNOPTYX"
+ARMENIAN = "օսհցզյՕՍՏ"
+ARMENIAN_AS = "ouhgqjOUS"
+CHEROKEE = "ᎪᎬᎡᎢᎫᎬᎳᎷᎻᏀᏃᏏᏒᏔᏕᏙᏚᏞᏟᏢᏦᏧᏴ"
+CHEROKEE_AS = "AERTJEWMHGZbRWSVSLCPKdB"
 ARABIC = "یکہۀ"
 ARABIC_AS = "يكهه"
-#: Ranges of compatibility forms that look like what they decompose to.
-FORMS = re.compile("[＀-￯ﬀ-ﬆ⺀-⿟豈-﫿ﭐ-﷿ﹰ-﻿]")
-BLANKS = re.compile("[ \xa0  -   　]")
-#: The trie holds this many of the most frequent words; the rest goes by table to the same form.
-VOCABULARY = 20_000
+#: Ranges of compatibility forms that look like what they decompose to (letters in a circle don't).
+FORMS = re.compile("[＀-￯ﬀ-ﬆ⺀-⿟豈-﫿ﭐ-﷿ﹰ-﻾Ⅰ-ⅿℊ-ℓℕℙ-ℝℤℨK-ℭℯ-ℱℳℴ\U0001d400-\U0001d7ff]")
+BLANKS = re.compile("[ \xa0\u1680\u2000-\u200a\u202f\u205f\u3000]")
+#: Characters without a look that aren't of the format category: joiners, fillers, variation selectors.
+SILENT = frozenset([0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D, 0x180F, 0x3164, 0xFFA0, *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)])
+#: Spellings in one trie; more go in several, one pass each.
+PER_TRIE = 100_000
 #: Cost of a step of the automaton that a reader can see.
 VISIBLE = 1.0
 
-_LOOK = dict(zip(CYRILLIC, CYRILLIC_AS)) | dict(zip(GREEK, GREEK_AS)) | dict(zip(ARABIC, ARABIC_AS))
+_LOOK = {a: b for x, y in ((CYRILLIC, CYRILLIC_AS), (GREEK, GREEK_AS), (ARMENIAN, ARMENIAN_AS), (CHEROKEE, CHEROKEE_AS), (ARABIC, ARABIC_AS)) for a, b in zip(x, y)}
 _TO_CYRILLIC = {b: a for a, b in reversed(list(zip(CYRILLIC, CYRILLIC_AS)))}
 _TO_GREEK = {b: a for a, b in reversed(list(zip(GREEK, GREEK_AS)))}
-_WORD = re.compile(r"\w+")
+# words with their combining marks, which \w leaves out
+_WORD = re.compile(r"\w[\w\u0300-\u036f\u0610-\u061a\u064b-\u065f\u0670]*")
 _PLAIN = re.compile(r"[\x00-\x7f]*\Z")
 
 
+@lru_cache(maxsize=100_000)
 def ignorable(ch: str) -> bool:
-    """Characters without a look of their own: format characters, soft hyphens, variation selectors."""
-    return unicodedata.category(ch) == "Cf" or "︀" <= ch <= "️"
+    """Characters without a look of their own: format characters, soft hyphens, joiners, fillers, variation selectors."""
+    return ord(ch) in SILENT or unicodedata.category(ch) == "Cf"
 
 
+@lru_cache(maxsize=100_000)
 def _look(ch: str) -> str:
     """A Latin (or plain Arabic) letter that looks like ch, accents kept."""
     got = _LOOK.get(ch)
@@ -126,49 +137,87 @@ class Trie:
 
 
 class Normalizer:
-    """canonical(text) is equal for two texts exactly if they look the same."""
+    """canonical(text) is equal for two texts exactly if they look the same, whatever spellings the trie holds."""
 
     def __init__(self, words: dict[str, float]):
         self.trie = Trie(words)
+        self.bare = not words
+        self.plain = {skeleton(surface(w)) for w in words if skeleton(surface(w)).isascii()}
         self.memo: dict[str, str] = {}
 
     def word(self, word: str) -> str:
+        if word.isascii() and word not in self.plain:
+            return word
         got = self.memo.get(word)
         if got is None:
-            hit = self.trie.match(word)
+            hit = None if self.bare else self.trie.match(word)
             got = surface(hit[1]) if hit else by_table(skeleton(word))
             if len(self.memo) < 200_000:
                 self.memo[word] = got
         return got
 
     def canonical(self, text: str) -> str:
-        return _WORD.sub(lambda m: self.word(m.group()), surface(text))
+        if text.isascii() and not self.plain:
+            return text
+        return unicodedata.normalize("NFC", _WORD.sub(lambda m: self.word(m.group()), surface(text)))
 
+    def respelt(self, text: str) -> str:
+        """A canonical text with the words that this trie holds in their spelling, the others as they are."""
+        if self.bare or text.isascii() and not self.plain:
+            return text
 
-def frequent_words(texts: DataFrame, col: str = "text", most: int = VOCABULARY) -> dict[str, float]:
-    """The most frequent words of all rows, counted JVM-side; a word spelt in more scripts than one is none.
+        def one(m: re.Match) -> str:
+            hit = self.trie.match(m.group())
+            return surface(hit[1]) if hit else m.group()
 
-    Counting is a hash aggregation with partial sums, the choice a top-k: only `most` rows reach the driver.
+        return _WORD.sub(one, text)
+
+
+def spellings(texts: DataFrame, col: str = "text", per: int = PER_TRIE) -> list[dict[str, float]]:
+    """Of all rows, the words whose most frequent spelling isn't the table's, with their frequencies, in parts of about `per`.
+
+    Words are counted JVM-side with partial sums; of the distinct ones with a character beyond ASCII the look is taken, and
+    the most frequent spelling of each look. One that mixes scripts is no spelling.
     """
-    words = texts.select(F.explode(F.split(F.col(col), r"[^\p{L}\p{N}]+")).alias("w")).where("w <> ''")
-    counted = words.groupBy("w").agg(F.count("*").alias("n"))
-    mixed = F.col("w").rlike(r"\p{IsLatin}") & F.col("w").rlike(r"[\p{IsCyrillic}\p{IsGreek}]")
-    return {r["w"]: float(r["n"]) for r in counted.where(~mixed).orderBy(F.desc("n"), "w").limit(most).collect()}
+    words = texts.select(F.explode(F.split(F.col(col), r"[^\p{L}\p{N}\p{M}]+")).alias("w")).where("w <> '' AND NOT w RLIKE '^[\\\\x00-\\\\x7F]*$'")
+    mixed = F.col("w").rlike(r"\p{IsLatin}") & F.col("w").rlike(r"[\p{IsCyrillic}\p{IsGreek}\p{IsArmenian}\p{IsCherokee}]")
+    counted = words.groupBy("w").agg(F.count("*").alias("n")).where(~mixed)
+
+    @F.pandas_udf("struct<look:string,spelt:string>")
+    def look(series: pd.Series) -> pd.DataFrame:
+        looks = [skeleton(surface(w)) for w in series]
+        return pd.DataFrame({"look": looks, "spelt": [by_table(x) for x in looks]})
+
+    looks = counted.withColumn("l", look("w")).groupBy("l.look", "l.spelt").agg(F.max(F.struct("n", "w")).alias("m"))
+    # a look in ASCII only may be spelt in ASCII as well: how often, its words tell
+    odd = looks.where("m.w <> spelt").select("look", F.col("m.n").alias("n"), F.col("m.w").alias("w"))
+    ascii_ = texts.select(F.explode(F.split(F.col(col), r"[^\p{L}\p{N}\p{M}]+")).alias("look")).join(odd.select("look"), "look", "left_semi").groupBy("look").agg(F.count("*").alias("k"))
+    odd = materialize(odd.join(ascii_, "look", "left").where("k IS NULL OR k < n").select("look", "w", "n"))
+    shards = max(1, -(-odd.count() // per))
+    part = lambda k: odd if shards == 1 else odd.where(F.pmod(F.xxhash64("look"), F.lit(shards)) == k)
+    return [{surface(r["w"]): float(r["n"]) for r in part(k).collect()} for k in range(shards)]
+
 
+def canonical(text: Column, words: list[dict[str, float]]) -> Column:
+    """The one form of the text; null for null. Whole texts of any length, linear in them. words: the tries of spellings()."""
 
-def canonical(text: Column, words: dict[str, float]) -> Column:
-    """The one form of the text; null for null. Whole texts of any length, linear in them."""
+    def run_with(some: dict[str, float], first: bool):
+        @F.pandas_udf("string")
+        def run(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            n = Normalizer(some)
+            turn = n.canonical if first else n.respelt
+            for s in series:
+                yield pd.Series([turn(t) if isinstance(t, str) else None for t in s], dtype=object)
 
-    @F.pandas_udf("string")
-    def run(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        n = Normalizer(words)
-        for s in series:
-            yield pd.Series([n.canonical(t) if isinstance(t, str) else None for t in s], dtype=object)
+        return run
 
-    return run(text)
+    out = text
+    for k, some in enumerate(words or [{}]):
+        out = run_with(some, k == 0)(out)
+    return out
 
 
-def alike_pairs(rows: DataFrame, words: dict[str, float], group: list[str], id_col: str = "row_id", text_col: str = "text") -> DataFrame:
+def alike_pairs(rows: DataFrame, words: list[dict[str, float]], group: list[str], id_col: str = "row_id", text_col: str = "text") -> DataFrame:
     """Pairs of rows of one group whose texts look the same but aren't: group, row_id_a, row_id_b with row_id_a < row_id_b.
 
     Rows with a null text or id are in no pair; equal texts are none. The join is on the group and a hash of the form, so

@@ -34,18 +34,18 @@ def _node_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The one form of each node text."""
-    from corpusmill.llm.lookalike import canonical, frequent_words
+    from corpusmill.llm.lookalike import canonical, spellings
 
     nodes = _node_texts(spark, sf_dir)
-    return nodes.select("rec_kind", "row_id", canonical(F.col("text"), frequent_words(nodes)).alias("form"))
+    return nodes.select("rec_kind", "row_id", canonical(F.col("text"), spellings(nodes)).alias("form"))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of rows of one id (and language) whose texts look the same but differ in their characters."""
-    from corpusmill.llm.lookalike import alike_pairs, frequent_words
+    from corpusmill.llm.lookalike import alike_pairs, spellings
 
     nodes = _node_texts(spark, sf_dir)
-    return alike_pairs(nodes, frequent_words(nodes), ["rec_kind", "id", "lang"]).select("rec_kind", "row_id_a", "row_id_b")
+    return alike_pairs(nodes, spellings(nodes), ["rec_kind", "id", "lang"]).select("rec_kind", "row_id_a", "row_id_b")
 
 
 def _garble_model(spark: SparkSession, sf_dir: str):

@@ -188,6 +188,32 @@ def test_lookalikes():
         assert n.canonical(a) != n.canonical(b)
 
 
+@pytest.mark.parametrize(
+    "a,b",
+    [
+        ("𝐥𝐚𝐦𝐩", "lamp"), ("а\u0301", "á"), ("\u0430\u0301b", "áb"), ("la\u034fmp", "lamp"), ("օil", "oil"), ("Ꭺ", "A"), ("Ӏ", "I"), ("ℌ", "H"), ("Ⅳ", "IV"), ("ｌａｍｐ\u3000x", "lamp x"), ("oi\U000e0101l", "oil"),
+        ("e\u0301te\u0301", "été"),
+    ],
+)
+def test_characters_that_look_alike(a, b):
+    n = lookalike.Normalizer({})
+    assert n.canonical(a) == n.canonical(b)
+
+
+def test_spellings_do_not_depend_on_the_parts(spark):
+    """Words of look-alikes only get their script from the corpus; the form is the same whether one trie or several hold them."""
+    texts = ["оса оса осока", "оса сено", "coca cola oca", "ос\u00e1", "lamp", None, ""]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "row_id int, text string")
+    one = lookalike.spellings(df)
+    assert len(one) == 1 and "оса" in one[0] and "lamp" not in one[0]
+    many = lookalike.spellings(df, per=1)
+    assert len(many) == len(one[0])
+    form = lambda words: [r["f"] for r in df.select(lookalike.canonical(F.col("text"), words).alias("f")).collect()]
+    assert form(one) == form(many)
+    n = lookalike.Normalizer(one[0])
+    assert n.canonical("oca") == n.canonical("оса") == "оса"
+
+
 def test_trie_against_brute_force():
     rng = random.Random(9)
     words = {"".join(rng.choice("abc") for _ in range(rng.randint(1, 5))): 1.0 for _ in range(60)}
@@ -203,9 +229,9 @@ def test_trie_against_brute_force():
 def test_alike_pairs(spark):
     data = [(1, 1, "the lamp"), (2, 1, "thе lamp"), (3, 1, "thе lamp"), (4, 1, "the lamp"), (5, 2, "thе lamp"), (6, 1, "The lamp"), (7, 1, None), (None, 1, "the lаmp")]
     df = spark.createDataFrame(data, "row_id long, id int, text string").withColumn("form", F.lit("clash"))
-    got = rows(lookalike.alike_pairs(df, {"lamp": 1.0}, ["id"]))
+    got = rows(lookalike.alike_pairs(df, [{"lamp": 1.0}], ["id"]))
     assert got == [(1, 1, 2), (1, 1, 3), (1, 2, 4), (1, 3, 4)]
-    assert lookalike.alike_pairs(df.limit(0), {}, ["id"]).count() == 0
+    assert lookalike.alike_pairs(df.limit(0), [], ["id"]).count() == 0
 
 
 @pytest.fixture(scope="module")
@@ -376,6 +402,19 @@ def test_page_body(spark):
     assert pages.render("<table><tr><td>a<td>bb<tr><td>ccc<td>d</table>") == "a    bb\nccc  d"
 
 
+def test_rendering():
+    page = "<h1>T</h1><p>one<br>two <b>bold</b><ul><li>a<li>b</ul><table><tr><td>x<td>long cell<tr><td>wide<td>y</table><div style='display: none'>no</div><table><tr><td><p>laid out</p><td><h2>beside</h2></table>"
+    assert pages.render(page) == "T\n\none\ntwo bold\n\n- a\n- b\n\nx     long cell\nwide  y\n\nlaid out\n\nbeside"
+    assert pages.render("plain <text>") == "plain <text>" and pages.render("<p></p>") == ""
+
+
+def test_body_as_text(spark):
+    df = spark.createDataFrame([(1, "p", "s", PAGE), (2, "q", "s", None), (3, "r", "s", "")], "page_id long, local_path string, site string, content string")
+    found = pages.lines(df)
+    text = {r["page_id"]: r["text"] for r in pages.body_text(found, pages.body_lines(found)).collect()}
+    assert text == {1: "The lamp\n\n1 The lamp burns in the house and does not fail.\n\n- One item of the body.\n\n1 A note"}
+
+
 def test_titles_of_links_do_not_remove_headings(spark):
     """A heading of the body that other pages' boxes link to stays; a notice that they show as chrome goes."""
     body = "<body><main>\n<h2>The elder proclaims hope</h2>\n<p>The lamp burns in the house and does not fail.</p>\n<p>All rights reserved.</p>\n</main></body>"
@@ -422,11 +461,30 @@ def test_spam_on_odd_rows(spark):
     assert spam.shares(none, spam.train(none)).count() == 0
 
 
-def test_forward_backward_sums_to_one():
+def test_forward_backward_against_all_paths():
+    """Expected counts and the likeliest path of several documents at once, against every path of each."""
     m = spam.Model.stated()
-    total = np.zeros((len(spam.STATES), len(spam.SYMBOLS)))
-    m.expected([0, 7, 7, 10, 0], total)
-    assert abs(total.sum() - 5) < 1e-9
+    docs = [[0, 7, 7, 10], [], [9], [5, 5, 0]]
+    emitted, moved, first = m.expected_all(docs)
+    want = [np.zeros_like(x) for x in (emitted, moved, first)]
+    paths = []
+    for obs in docs:
+        ways = {}
+        for way in itertools.product(range(len(spam.STATES)), repeat=len(obs)):
+            p = 1.0
+            for t, (s, o) in enumerate(zip(way, obs)):
+                p *= (m.start[s] if not t else m.move[way[t - 1], s]) * m.emit[s, o]
+            ways[way] = p
+        paths.append(max(ways, key=ways.get))
+        for way, p in ways.items() if obs else ():
+            p /= sum(ways.values())
+            want[2][way[0]] += p
+            for t, (s, o) in enumerate(zip(way, obs)):
+                want[0][s, o] += p
+                if t:
+                    want[1][way[t - 1], s] += p
+    assert all(np.allclose(a, b) for a, b in zip((emitted, moved, first), want))
+    assert [tuple(x.tolist()) for x in m.viterbi_all(docs)] == paths
 
 
 @pytest.mark.parametrize("name", sorted(NEEDED))
