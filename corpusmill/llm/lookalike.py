@@ -177,9 +177,11 @@ def spellings(texts: DataFrame, col: str = "text", per: int = PER_TRIE) -> list[
     """Of all rows, the words whose most frequent spelling isn't the table's, with their frequencies, in parts of about `per`.
 
     Words are counted JVM-side with partial sums; of the distinct ones with a character beyond ASCII the look is taken, and
-    the most frequent spelling of each look. One that mixes scripts is no spelling.
+    the most frequent spelling of each look. One that mixes scripts is no spelling, nor is one that comes once.
     """
-    words = texts.select(F.explode(F.split(F.col(col), r"[^\p{L}\p{N}\p{M}]+")).alias("w")).where("w <> '' AND NOT w RLIKE '^[\\\\x00-\\\\x7F]*$'")
+    each = lambda t, name: t.select(F.explode(F.split(F.col(col), r"[^\p{L}\p{N}\p{M}]+")).alias(name))
+    beyond = r"[^\x00-\x7F]"
+    words = each(texts.where(F.col(col).rlike(beyond)), "w").where(F.col("w").rlike(beyond))
     mixed = F.col("w").rlike(r"\p{IsLatin}") & F.col("w").rlike(r"[\p{IsCyrillic}\p{IsGreek}\p{IsArmenian}\p{IsCherokee}]")
     counted = words.groupBy("w").agg(F.count("*").alias("n")).where(~mixed)
 
@@ -189,10 +191,13 @@ def spellings(texts: DataFrame, col: str = "text", per: int = PER_TRIE) -> list[
         return pd.DataFrame({"look": looks, "spelt": [by_table(x) for x in looks]})
 
     looks = counted.withColumn("l", look("w")).groupBy("l.look", "l.spelt").agg(F.max(F.struct("n", "w")).alias("m"))
-    # a look in ASCII only may be spelt in ASCII as well: how often, its words tell
-    odd = looks.where("m.w <> spelt").select("look", F.col("m.n").alias("n"), F.col("m.w").alias("w"))
-    ascii_ = texts.select(F.explode(F.split(F.col(col), r"[^\p{L}\p{N}\p{M}]+")).alias("look")).join(odd.select("look"), "look", "left_semi").groupBy("look").agg(F.count("*").alias("k"))
-    odd = materialize(odd.join(ascii_, "look", "left").where("k IS NULL OR k < n").select("look", "w", "n"))
+    # a spelling that stands once in the corpus is no usage
+    odd = materialize(looks.where("m.w <> spelt AND m.n > 1").select("look", F.col("m.n").alias("n"), F.col("m.w").alias("w")))
+    plain = odd.where(~F.col("look").rlike(beyond))
+    if not plain.isEmpty():
+        # a look in ASCII may be spelt in ASCII as well, and more often
+        usual = each(texts, "look").join(plain.select("look"), "look", "left_semi").groupBy("look").agg(F.count("*").alias("k"))
+        odd = materialize(odd.join(usual, "look", "left").where("k IS NULL OR k < n").select("look", "w", "n"))
     shards = max(1, -(-odd.count() // per))
     part = lambda k: odd if shards == 1 else odd.where(F.pmod(F.xxhash64("look"), F.lit(shards)) == k)
     return [{surface(r["w"]): float(r["n"]) for r in part(k).collect()} for k in range(shards)]
