@@ -32,8 +32,13 @@ _LEAD = re.compile(r"(?i)^\W*(?:(?:cf|see also|see|vgl|voir|cfr|confer)\b[.,:]?\
 _LOCATOR = re.compile(r"[\s,;.:_]*(?:(?:\b|_)(?:can|lib|ch|cap|no|n|pp|p|s)\.?|§)?[\s_]*\d[\d\s,;–\-:.]*$", re.I)
 
 
+_OTHER = re.compile("[^a-z0-9]+")
+
+
 def key(text: str) -> str:
     """Letters and digits in lower case without accents."""
+    if text.isascii():
+        return _OTHER.sub("", text.lower())
     return "".join(c for c in unicodedata.normalize("NFKD", text).casefold() if c.isalnum())
 
 
@@ -127,23 +132,41 @@ def levenshtein(a: str, b: str) -> int:
     return score
 
 
-def damerau(a: str, b: str) -> float:
-    """Edit distance in which a swap of neighbours counts once and a letter typed twice or read wrongly less; only ranks what the tree found."""
-    inf = len(a) + len(b)
-    d = [[0.0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) + 1):
-        d[i][0] = float(i)
-    for j in range(len(b) + 1):
-        d[0][j] = float(j)
+def damerau(a: str, b: str, most: int | None = None) -> float:
+    """Edit distance in which a swap of neighbours counts once and a letter typed twice or read wrongly less; only ranks what the tree found.
+
+    most: the plain edit distance, if it is known. This one is no larger, so no best way strays farther from the diagonal
+    than most / 0.7, and the rest isn't filled.
+    """
+    inf = float(len(a) + len(b) + 1)
+    n = len(b)
+    w = n + len(a) if most is None else int(most / 0.7) + 1
+    older: list[float] = []
+    old = [float(j) for j in range(n + 1)]
     for i in range(1, len(a) + 1):
-        for j in range(1, len(b) + 1):
-            x, y = a[i - 1], b[j - 1]
-            best = d[i - 1][j - 1] + (0.0 if x == y else 1.0)
-            best = min(best, d[i - 1][j] + (0.7 if i > 1 and a[i - 2] == x else 1.0), d[i][j - 1] + 1.0)
+        x = a[i - 1]
+        gone = 0.7 if i > 1 and a[i - 2] == x else 1.0
+        new = [inf] * (n + 1)
+        lo = i - w
+        if lo <= 0:
+            new[0] = float(i)
+            lo = 1
+        for j in range(lo, min(n, i + w) + 1):
+            y = b[j - 1]
+            best = old[j - 1] + (0.0 if x == y else 1.0)
+            v = old[j] + gone
+            if v < best:
+                best = v
+            v = new[j - 1] + 1.0
+            if v < best:
+                best = v
             if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                best = min(best, d[i - 2][j - 2] + 1.0)
-            d[i][j] = min(best, inf)
-    return d[-1][-1]
+                v = older[j - 2] + 1.0
+                if v < best:
+                    best = v
+            new[j] = best
+        older, old = old, new
+    return old[-1]
 
 
 class BKTree:
@@ -331,7 +354,7 @@ class Matcher:
         for lev, w in sorted(near):
             if lev / 2 > (best[0] if best else most):
                 break  # all that follow are farther
-            rank = (damerau(k, w), lev, min(self.owner[w])[0], w)
+            rank = (damerau(k, w, lev), lev, min(self.owner[w])[0], w)
             if rank[0] <= most and (best is None or rank < best):
                 best = rank
         return best
