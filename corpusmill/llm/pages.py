@@ -344,7 +344,7 @@ def plain_lines(content: str, site: str | None) -> list[tuple[int, str, int]]:
 
 
 def lines(pages: DataFrame) -> DataFrame:
-    """page_id, local_path, site, line_no, text, verdict, link flag, and place, kind and row of the rendered page of each line with visible text.
+    """page_id, local_path, site, line_no, text, its look, verdict, link flag, and place, kind and row of the rendered page of each line with visible text.
 
     One narrow pass. Rows with a null page_id or content have none.
     """
@@ -353,17 +353,17 @@ def lines(pages: DataFrame) -> DataFrame:
         for b in batches:
             rows = []
             for pid, path, site, content in zip(b["page_id"], b["local_path"], b["site"], b["content"]):
-                kind = 1 if is_markup(content) else 0
-                if kind:
+                if is_markup(content):
                     found = _markup_lines(content)
                 else:
                     # without markup, the items of a list that isn't body are titles of links
                     found = [(ln, t, v, v == 0 and t.startswith(("- ", "* ", "• ")), ln, "item" if t.startswith(("- ", "* ", "• ")) else "block", None) for ln, t, v in plain_lines(content, site)]
-                rows += [(pid, path, site, ln, t, v, kind, linked, *place) for ln, t, v, linked, *place in found]
-            yield pd.DataFrame(rows, columns=["page_id", "local_path", "site", "line_no", "text", "verdict", "markup", "linked", "place", "kind", "cells"])
+                rows += [(pid, path, site, ln, t, v, linked, *place) for ln, t, v, linked, *place in found]
+            yield pd.DataFrame(rows, columns=["page_id", "local_path", "site", "line_no", "text", "verdict", "linked", "place", "kind", "cells"])
 
     some = pages.where("content IS NOT NULL AND page_id IS NOT NULL").select("page_id", "local_path", "site", "content")
-    return some.mapInPandas(part, "page_id long, local_path string, site string, line_no int, text string, verdict int, markup int, linked boolean, place int, kind string, cells string")
+    got = some.mapInPandas(part, "page_id long, local_path string, site string, line_no int, text string, verdict int, linked boolean, place int, kind string, cells string")
+    return got.withColumn("h", look(F.col("text")))
 
 
 def body_text(found: DataFrame, body: DataFrame) -> DataFrame:
@@ -394,7 +394,7 @@ def body_lines(found: DataFrame) -> DataFrame:
     share of its pages; copies of one page count once. Titles of links say nothing about the body of other pages and have
     no vote. Pages of which only headings are left have no body. Null and empty contents give no row.
     """
-    found = found.withColumn("h", look(F.col("text"))).withColumn("site", F.coalesce("site", F.lit("")))
+    found = found.withColumn("site", F.coalesce("site", F.lit("")))
     sites = found.groupBy("site").agg(F.count_distinct("local_path").alias("pages"))
     seen = found.where("verdict > 0 OR NOT linked").groupBy("h", "site", "local_path").agg(F.max((F.col("verdict") == 0).cast("int")).alias("c"))
     looks = seen.groupBy("h", "site").agg(F.count("*").alias("n"), F.sum("c").alias("c"))

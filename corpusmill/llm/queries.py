@@ -130,21 +130,22 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusmill.llm import pages
 
-    return materialize(pages.lines(spread(table(spark, sf_dir, "source_pages").select("page_id", "local_path", "site", "content"))))
+    return pages.lines(spread(table(spark, sf_dir, "source_pages").select("page_id", "local_path", "site", "content")))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id and line_no of each line of a page's main body, from the rendered page."""
     from corpusmill.llm import pages
 
-    return pages.body_lines(_page_lines(spark, sf_dir))
+    # the looks of the lines are written, not their texts
+    return pages.body_lines(materialize(_page_lines(spark, sf_dir).drop("text", "place", "kind", "cells")))
 
 
 def p4_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main body of each page as it is rendered; pages without a body have no row."""
     from corpusmill.llm import pages
 
-    found = _page_lines(spark, sf_dir)
+    found = materialize(_page_lines(spark, sf_dir))
     return pages.body_text(found, pages.body_lines(found))
 
 
