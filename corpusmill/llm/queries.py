@@ -48,20 +48,21 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alike_pairs(nodes, spellings(nodes), ["rec_kind", "id", "lang"]).select("rec_kind", "row_id_a", "row_id_b")
 
 
+#: Texts of ASCII only hold no garbled sequence and no unit that the garbled-text model counts: they are passed over JVM-side.
+_BEYOND = r"[^\x00-\x7F]"
+
+
 def _garble_model(spark: SparkSession, sf_dir: str):
     from corpusmill.llm.garble import corpus_counts
 
     texts = table(spark, sf_dir, "localized_nodes").select("text").unionByName(table(spark, sf_dir, "footnotes").select("text"))
-    return corpus_counts(spread(texts))
-
-
-def _garble_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    loc = table(spark, sf_dir, "localized_nodes").select(F.lit("localized_node").alias("rec_kind"), F.col("row_id").alias("rec_id"), "text")
-    return spread(loc.unionByName(table(spark, sf_dir, "footnotes").select(F.lit("footnote").alias("rec_kind"), F.col("note_key").alias("rec_id"), "text")))
+    return corpus_counts(spread(texts.where(F.col("text").rlike(_BEYOND))))
 
 
 def _beyond_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _garble_rows(spark, sf_dir).where(~F.col("text").rlike(r"\A[\x00-\x7F]*\z"))  # texts of ASCII only hold no garbled sequence
+    loc = table(spark, sf_dir, "localized_nodes").select(F.lit("localized_node").alias("rec_kind"), F.col("row_id").alias("rec_id"), "text")
+    both = loc.unionByName(table(spark, sf_dir, "footnotes").select(F.lit("footnote").alias("rec_kind"), F.col("note_key").alias("rec_id"), "text"))
+    return spread(both.where(F.col("text").rlike(_BEYOND)))
 
 
 def p1_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,8 +93,8 @@ def _legible(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusmill.llm.garble import is_garbled
 
     nodes = _node_texts(spark, sf_dir).where("text IS NOT NULL")
-    loc = nodes.where("rec_kind = 'localized_node'")
-    return nodes.where("rec_kind = 'catechism_node'").unionByName(loc.where(~is_garbled(F.col("text"), *_garble_model(spark, sf_dir))))
+    asked = (F.col("rec_kind") == "localized_node") & F.col("text").rlike(_BEYOND)
+    return nodes.where(~asked).unionByName(nodes.where(asked & ~is_garbled(F.col("text"), *_garble_model(spark, sf_dir))))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
