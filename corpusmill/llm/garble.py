@@ -184,6 +184,7 @@ class Restorer:
         self.memo: dict[str, float] = {}
         self.fits: dict[int, list[tuple[str, bytes]]] | None = None
         self.read: dict[str, list[tuple[int, str, float]]] = {}
+        self.lost = False  # whether the text decoded last has lost bytes
 
     def unit(self, u: str) -> float:
         """Log frequency of a unit; for one that the corpus hardly knows, at least what its characters earn."""
@@ -233,7 +234,7 @@ class Restorer:
             if any(self.alphabet.get(c, 0.0) <= 0 and not c.isascii() for c in set(got) - set(piece)):
                 continue
             s = self.score(got)
-            if got.isascii() or s > mine:
+            if got.replace("\xa0", " ").isascii() or s > mine:
                 out.append((k, got, s))
         return out
 
@@ -301,23 +302,52 @@ class Restorer:
                 prev, p = max((v[0] - (0.0 if q == ch or ch < 0 or q < 0 else SWITCH), q) for q, v in best[-1].items())
                 here[ch] = (prev + s, p)
             best.append(here)
-        garbled, out, done = 0, [], len(text)
+        garbled, states = 0, [0] * len(pieces)
         state = max(best[-1], key=lambda q: best[-1][q][0]) if best else None
         for k in range(len(pieces) - 1, -1, -1):
-            a, b = pieces[k]
-            got = next(r for r in columns[k] if r[0] == state)[1]
-            if LOST in got:
-                garbled += 1
-            elif state >= 0:
-                garbled += 1
-            out.append(text[b:done])
-            out.append(got)
-            done = a
+            states[k] = state
             state = best[k][state][1]
-        out.append(text[:done])
-        if self.reader is not None and LOST in text:
+        used = {CHANNELS[q] for q in states if q >= 0}
+        parts: list[tuple[str, str, tuple]] = []  # what lies before the stretch, its reading, the channels through which it is torn
+        done = 0
+        for (a, b), col, q in zip(pieces, columns, states):
+            got = next(r for r in col if r[0] == q)[1]
+            garbled += LOST in got or q >= 0
+            lost = torn(text[a:b], {CHANNELS[q]}) if q >= 0 else tuple(c for c in torn(text[a:b], used) if _BROKEN[c[1]].search(text[a:b]))
+            parts.append((text[done:a], got, lost))
+            done = b
+        self.lost = garbled > 0 and (LOST in text or any(p[2] for p in parts))
+        if self.reader is not None and garbled and LOST in text:
             return self.reader.restore(text, lambda part: self.decode(part)[0]), garbled
-        return "".join(reversed(out)), garbled
+        out: list[str] = []
+        skip = 0
+        for k, ((a, b), (gap, got, lost)) in enumerate(zip(pieces, parts)):
+            out.append(gap[skip:])
+            skip = 0
+            if lost and self.reader is not None and garbled:
+                # a last byte that was a no-break space may have become the blank after the stretch
+                skip = int(text[b : b + 1] == " " and any(0xC2 <= to_byte(w).get(text[b - 1], 0) < 0xE0 for _, w in lost))
+                after = (parts[k + 1][0] if k + 1 < len(parts) else text[done:])[skip : skip + lattice.ORDER - 1]
+                reads = [x for c in lost if (x := self.reader.read(text[a : b + skip], c, "".join(out)[-20:], after)) is not None]
+                if reads:
+                    got = max(reads)[1]
+                else:
+                    skip = 0
+            out.append(got)
+        return "".join(out) + text[done + skip :], garbled
+
+
+def torn(text: str, used: set[tuple[str, str, int]]) -> tuple[tuple[str, str], ...]:
+    """Of the channels used, those of utf-8 read in one byte a character in which sequences of the text have lost bytes."""
+    out = []
+    for true, wrong, times in sorted(used):
+        if true != "utf-8" or wrong in _WIDE or times > 1:
+            continue
+        flat = b"".join(x if x is not None else b"\x00" for x in _unread(text, wrong))
+        rest = _SEQ.sub(b"", flat)
+        if any(x >= 0x80 for x in rest):
+            out.append((true, wrong))
+    return tuple(out)
 
 
 # stretches: what lies between blanks; East Asian characters part from others and also end after a mark of the sentence
@@ -334,13 +364,20 @@ def corpus_counts(texts: DataFrame, col: str = "text") -> tuple[lm.Counts, dict[
 
 
 def restored(text: Column, counts: lm.Counts, alphabet: dict[str, float]) -> Column:
-    """struct<text, garbled>: the restored text and the number of garbled stretches; null text gives null and 0. Losses stay marked: see relost."""
-    @F.pandas_udf("struct<text:string,garbled:int>")
+    """struct<text, garbled, lost>: the restored text, the number of garbled stretches and whether bytes are lost; null text gives null and 0.
+
+    Where bytes are lost, see relost.
+    """
+
+    @F.pandas_udf("struct<text:string,garbled:int,lost:boolean>")
     def run(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         r = Restorer(counts, alphabet)
         for s in series:
-            got = [r.decode(t) if isinstance(t, str) else (None, 0) for t in s]
-            yield pd.DataFrame({"text": [g[0] for g in got], "garbled": np.array([g[1] for g in got], dtype="int32")})
+            rows = []
+            for t in s:
+                r.lost = False
+                rows.append((*(r.decode(t) if isinstance(t, str) else (None, 0)), r.lost))
+            yield pd.DataFrame(rows, columns=["text", "garbled", "lost"]).astype({"garbled": "int32"})
 
     return run(text)
 

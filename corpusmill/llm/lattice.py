@@ -22,6 +22,8 @@ BITS, ORDER, BLOCK = 20, 6, 1 << 14
 CUT, WAYS = 9.0, 200
 #: Log cost of a character beyond ASCII that stands as it is, and of a loss that nothing fits.
 STANDS, UNREAD = -2.5, -14.0
+#: Log cost of a byte that came out as nothing.
+DROPPED = -1.0
 #: (true encoding, encoding it was read in) of texts with losses; utf-8 twice: sequences that were cut off.
 CHANNELS = (
     ("cp1252", "utf-8"), ("mac_roman", "utf-8"), ("cp850", "utf-8"), ("cp1256", "utf-8"), ("iso8859-6", "utf-8"), ("big5", "utf-8"), ("gb18030", "utf-8"), ("utf-8", "utf-8"),
@@ -135,6 +137,13 @@ def _undefined(codec: str) -> frozenset[int]:
     return frozenset(bad or range(0x80, 0x100))
 
 
+def _holes(codec: str) -> frozenset[int]:
+    """Bytes that a one-byte encoding leaves undefined, none if it defines each."""
+    bad = _undefined(codec)
+    return bad if len(bad) < 128 else frozenset()
+
+
+_CONTROLS, _NO_BREAK = frozenset(range(0x80, 0xA0)), frozenset([0xA0])
 _HIGH, _LEADS, _LEADS4, _NEXT = (frozenset(range(*r)) for r in ((0x80, 0x100), (0xE0, 0xF5), (0xF0, 0xF5), (0x80, 0xC0)))
 
 
@@ -169,6 +178,11 @@ class Reader:
         starts: list[int] = []
 
         table = None if wrong in ("utf-8", "gb18030") else to_byte(wrong)
+        # of utf-8 read in one byte a character: a byte may have come out as a question mark, one without a character as nothing
+        single = table is not None and true == "utf-8"
+        dropped = _holes(wrong) if single else frozenset()
+        if single and wrong == "cp1252" and not any(0x80 <= table.get(ch, 0) < 0xA0 for ch in text):
+            dropped = _CONTROLS  # read as Latin-1 and cleared of control characters
         ways_of: list[list[list[frozenset[int]]]] = []
         for ch in text:
             if ch == LOST:
@@ -180,6 +194,10 @@ class Reader:
                     ways = [[_undefined(wrong)]]
             elif table is not None:
                 ways = [[frozenset((table[ch],))]] if ch in table else []
+                if single and ch == "?":
+                    ways.append([_NEXT])
+                elif single and ch == " ":
+                    ways.append([_NO_BREAK])  # a no-break space that was made a blank
             else:
                 try:
                     ways = [[frozenset((b,)) for b in ch.encode(wrong)]]
@@ -206,12 +224,15 @@ class Reader:
             for mask, _ in steps[p]:
                 for b in mask:
                     for c, raw in spelt.get(b, ()):
-                        ends = {p}
+                        ends = {p: 0.0}
                         for x in raw:
-                            ends = {q for e in ends for m, q in steps[e] if x in m}
+                            moved = {q: cost for e, cost in ends.items() for m, q in steps[e] if x in m}
+                            if x in dropped:
+                                moved |= {e: cost + DROPPED for e, cost in ends.items() if e != p and e not in moved}
+                            ends = moved
                             if not ends:
                                 break
-                        arcs[p] += [(c, e, 0.0) for e in ends]
+                        arcs[p] += [(c, e, cost) for e, cost in ends.items()]
             arcs[p] = sorted(set(arcs[p]))
         for k, ch in enumerate(text):
             arcs[starts[k]].append((ch, starts[k + 1], UNREAD if ch == LOST else 0.0 if ch.isascii() else STANDS))

@@ -67,17 +67,16 @@ def _beyond_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each garbled record with its restored text and the number of garbled stretches; losses are read under the legible records."""
-    from corpusmill.llm.garble import LOST, relost, restored
+    from corpusmill.llm.garble import relost, restored
     from corpusmill.llm.lattice import count_grams
 
     model = _garble_model(spark, sf_dir)
     rows = _beyond_ascii(spark, sf_dir).withColumn("r", restored(F.col("text"), *model))
-    rows = materialize(rows.select("rec_kind", "rec_id", "text", F.col("r.text").alias("read"), F.col("r.garbled").alias("garbled")))
+    rows = materialize(rows.select("rec_kind", "rec_id", "text", F.col("r.text").alias("read"), F.col("r.garbled").alias("garbled"), F.col("r.lost").alias("lost")))
     grams = count_grams(rows.where("garbled = 0"), "text")
     found = rows.where("garbled > 0")
-    lossy = F.contains("text", F.lit(LOST))
-    whole = found.where(~lossy).select("rec_kind", "rec_id", F.col("read").alias("text"), "garbled")
-    lost = spread(found.where(lossy), scan=False)
+    whole = found.where("NOT lost").select("rec_kind", "rec_id", F.col("read").alias("text"), "garbled")
+    lost = spread(found.where("lost"), scan=False)
     return whole.unionByName(lost.select("rec_kind", "rec_id", relost(F.col("text"), *model, grams).alias("text"), "garbled"))
 
 

@@ -165,6 +165,63 @@ def test_lost_bytes_are_read_from_a_lattice(texts, restorer):
         assert total and same >= share * total, (true, wrong, same, total)
 
 
+def _by_byte(t: str, lost: str) -> str:
+    """The UTF-8 bytes of a text read as cp1252; the ones that it leaves undefined (or all continuations: "?next") come out as lost."""
+    out = []
+    for ch in t:
+        for k, b in enumerate(ch.encode("utf-8")):
+            if lost == "?next":
+                out.append("?" if k else bytes([b]).decode("cp1252", "replace"))
+                continue
+            if lost == "control":
+                out.append("" if 0x80 <= b < 0xA0 else chr(b))
+                continue
+            try:
+                out.append(bytes([b]).decode("cp1252"))
+            except UnicodeDecodeError:
+                out.append(lost)
+    return "".join(out)
+
+
+@pytest.fixture(scope="module")
+def reader():
+    """A restorer with the sequences of sf0.1 without the texts that it is asked for, and these by language."""
+    import pandas as pd
+
+    n = pd.read_parquet("/root/testdata/sf0.1/localized_nodes.parquet", columns=["lang", "text"]).dropna().drop_duplicates("text").sample(frac=1, random_state=3)
+    alphabet: dict = {}
+    counts = counts_of(n["text"], garble.touched)
+    for t in n["text"]:
+        for c in t:
+            if not c.isascii():
+                alphabet[c] = alphabet.get(c, 0) + 1
+    plain = garble.Restorer(counts, alphabet)
+    some = n[(n["text"].str.len() < 160) & ~n["text"].map(str.isascii)].iloc[:1500]
+    clean = some[[plain.decode(t)[1] == 0 and lookalike.surface(t) == t for t in some["text"]]]
+    asked = {lang: list(g["text"][:10]) for lang, g in clean.groupby("lang")}
+    held = {t for ts in asked.values() for t in ts}
+    table = np.zeros(2 * (1 << lattice.BITS) + 1)
+    lattice.add(table, [t for t in n["text"] if t not in held and plain.decode(t)[1] == 0])
+    return garble.Restorer(counts, alphabet, lattice.Reader(lattice.Grams(table[:-1].reshape(2, -1), table[-1]), alphabet)), asked
+
+
+@pytest.mark.parametrize(
+    "lang,lost,share",
+    [("zh", "", 0.8), ("zh", "?", 0.8), ("zh", "control", 0.6), ("ar", "", 0.6), ("ar", "?", 0.7), ("fr", "?next", 0.6), ("de", "?next", 0.6), ("es", "?next", 0.7)],
+)
+def test_single_lost_bytes(reader, lang, lost, share):
+    """Bytes that came out as nothing or as question marks, any number of them in a text: that share of the texts comes back exactly."""
+    r, asked = reader
+    got = [(t, r.decode(b)) for t in asked[lang] if (b := _by_byte(t, lost)) != t]
+    assert len(got) >= 5 and sum(n > 0 for _, (_, n) in got) >= 0.8 * len(got)
+    assert sum(t == back for t, (back, _) in got) >= share * len(got)
+
+
+def test_a_no_break_space_that_became_a_blank(reader):
+    r, _ = reader
+    assert r.decode("L’enfant oublie le chant, jusquâ€™Ã  ce que le fruit soit mÃ»r.")[0] == "L’enfant oublie le chant, jusqu’à ce que le fruit soit mûr."
+
+
 def test_every_broken_sequence_is_filled(restorer):
     channel = next(c for c in garble.CHANNELS if c == ("utf-8", "cp1252", 1))
     assert "Ã" not in restorer.completed("rÃ?gÃ?", channel)
