@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 #: A rule or dimension table of more rows than this isn't sent to every worker.
 SMALL = 50_000
 
 
 def small(df: DataFrame, most: int = SMALL) -> DataFrame:
-    """df with a broadcast hint if a count shows at most `most` rows, else as it is: the plan then shuffles."""
+    """df with a broadcast hint if a count shows at most `most` rows, else as it is: an equality join then shuffles, one on ranges or conditions compares blocks."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
@@ -47,9 +46,15 @@ def first_rule(df: DataFrame, text: Column, rules: list[tuple[str, str]]) -> Col
 
 
 def zip_ordered(left: DataFrame, right: DataFrame, keys: list[str], left_order: list[str], right_order: list[str]) -> DataFrame:
-    """Rows of both sides paired by their ordinal within the key; the longer side is cut."""
-    a = left.withColumn("ordinal", F.row_number().over(W.partitionBy(*keys).orderBy(*left_order)))
-    b = right.withColumn("ordinal", F.row_number().over(W.partitionBy(*keys).orderBy(*right_order)))
+    """Rows of both sides paired by their ordinal within the key, from 1; the longer side is cut.
+
+    Ordinals are found by ranges of the order and the pairs joined on key and ordinal, so a key with a third of the rows is
+    neither sorted nor joined in one task.
+    """
+    from corpusmill.operators.ordered import with_position
+
+    a = with_position(left, left_order, "ordinal", keys).withColumn("ordinal", F.col("ordinal") + 1)
+    b = with_position(right, right_order, "ordinal", keys).withColumn("ordinal", F.col("ordinal") + 1)
     return a.join(b, [*keys, "ordinal"])
 
 

@@ -220,11 +220,35 @@ def ext_first_table(spark, d):
     return got.select("id", F.col("pos").cast("bigint").alias("pos"), "left", "right")
 
 
+def prj_payload(spark, d):
+    """PRJ-02: each node as one nested JSON document with its source and statistics, nulls kept."""
+    n = nodes(spark, d, "title", "part", "vatican_source", "xrefs", "incoming")
+    stats = F.struct(F.size("xrefs").alias("xrefs"), F.size("incoming").alias("incoming"))
+    doc = F.struct("id", "title", "part", F.struct(F.col("vatican_source.file").alias("file"), F.col("vatican_source.url").alias("url")).alias("source"), stats.alias("stats"))
+    return n.select("id", F.to_json(doc, {"ignoreNullFields": "false"}).alias("doc"))
+
+
+def prj_subtitles(spark, d):
+    """PRJ-08: the subtitle of a localized row: its preview, unless that is the text or the title but for marks and case; a fixed one for summaries."""
+    loc = table(spark, d, "localized_nodes").select("row_id", "title", "text", "preview")
+    summary = F.upper(F.trim(F.regexp_replace(F.coalesce("title", F.lit("")), r"\s+", " "))) == "IN BRIEF"
+    key = T.subtitle_key(F.col("preview"))
+    same = (key == "") | (key == T.subtitle_key(F.col("text"))) | (key == T.subtitle_key(F.col("title")))
+    return loc.select("row_id", F.when(summary, "Summary").when(~same, F.trim("preview")).alias("subtitle"))
+
+
+def ext_absolute(spark, d):
+    """EXT-21: markup whose links within the page are made absolute, without style attributes: how many of either, and a hash of the result."""
+    p = table(spark, d, "source_pages").where("content IS NOT NULL AND url IS NOT NULL").select("page_id", "url", "content")
+    html = F.replace(F.regexp_replace("content", r"(?i)\sstyle\s*=\s*\"[^\"]*\"", ""), F.lit('href="#'), F.concat(F.lit('href="'), "url", F.lit("#")))
+    return p.select("page_id", F.regexp_count("content", F.lit('href="#')).cast("bigint").alias("inner_links"), F.md5(html).alias("hash"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         prj_variants, agg_outline, prj_colours, prj_tooltip, prj_view, srt_collated, set_difference, set_split, set_append_unique, scl_labels, scl_escapes, scl_links, src_variant_language,
-        src_filtered_crawl, src_sections, ext_sections, ext_cut_paragraphs, ext_canons, ext_first_table,
+        src_filtered_crawl, src_sections, prj_payload, prj_subtitles, ext_absolute, ext_sections, ext_cut_paragraphs, ext_canons, ext_first_table,
     )
 }
 
@@ -241,6 +265,7 @@ def _tone(s: str, x: str, a: str) -> str:
     return f"'hsl(' || {_R.format('(h + 360) % 360')} || ' ' || {_R.format(s)} || '% ' || {_R.format(x)} || '%{' / ' + a if a else ''})'"
 
 
+_SUBTITLE = "lower(trim(regexp_replace(regexp_replace(regexp_replace(coalesce({0}, ''), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'), '[.,;:!?''\"“”‘’«»()\\[\\]{{}}-]', '', 'g')))"
 _TITLE = f"WITH {N}, t AS (SELECT id, title FROM n WHERE title IS NOT NULL)"
 _CLEANED = f"WITH {N}, t AS (SELECT id, {CLEAN.format('title')} AS title FROM n WHERE title IS NOT NULL)"
 SQL = {
@@ -259,6 +284,9 @@ SQL = {
     "src_variant_language": "SELECT 'https://hortus.example/doc-' || id AS stem, lang AS language, 'https://hortus.example/doc-' || id || '_' || CASE lang WHEN 'es' THEN 'sp' WHEN 'la' THEN 'xx' WHEN 'zh' THEN 'zh-t' ELSE lang END || '.html' AS url FROM localized_nodes WHERE lang IS NOT NULL AND row_id % 11 <> 0 GROUP BY id, lang",
     "src_filtered_crawl": "WITH RECURSIVE r AS (SELECT 1 AS id UNION SELECT target FROM r JOIN catechism_edges ON source = r.id WHERE target % 10 <> 0) SELECT id::int AS id FROM r",
     "src_sections": f"WITH {N}, a AS (SELECT 'base' AS document, 'en' AS lang, id, row_id AS page FROM n WHERE text IS NOT NULL UNION ALL SELECT 'pack', lang, id, row_id FROM localized_nodes WHERE text IS NOT NULL AND lang IS NOT NULL) SELECT document, lang, count(DISTINCT id) AS sections, min(page) AS first_page FROM a GROUP BY document, lang",
+    "prj_payload": f"WITH {N} SELECT id, to_json({{'id': id, 'title': title, 'part': part, 'source': {{'file': vatican_source.file, 'url': vatican_source.url}}, 'stats': {{'xrefs': len(xrefs), 'incoming': len(incoming)}}}})::varchar AS doc FROM n",
+    "prj_subtitles": f"WITH k AS (SELECT row_id, title, preview, {_SUBTITLE.format('preview')} AS p, {_SUBTITLE.format('text')} AS t, {_SUBTITLE.format('title')} AS h FROM localized_nodes) SELECT row_id, CASE WHEN upper(trim(regexp_replace(coalesce(title, ''), '\\s+', ' ', 'g'))) = 'IN BRIEF' THEN 'Summary' WHEN p <> '' AND p <> t AND p <> h THEN trim(preview) END AS subtitle FROM k",
+    "ext_absolute": r'''SELECT page_id, len(regexp_extract_all(content, 'href="#')) AS inner_links, md5(replace(regexp_replace(content, '(?i)\sstyle\s*=\s*"[^"]*"', '', 'g'), 'href="#', 'href="' || url || '#')) AS hash FROM source_pages WHERE content IS NOT NULL AND url IS NOT NULL''',
     "ext_sections": f"{_CLEANED} SELECT id, 1 AS number, title || chr(10) || 'more' AS body FROM t UNION ALL SELECT id, 3, 'again' FROM t",
     "ext_cut_paragraphs": f"{_CLEANED} SELECT id, id % 20 + 1 AS number, title || ' goes on' AS body FROM t UNION ALL SELECT id, id % 20 + 4, 'four' FROM t",
     "ext_canons": f"{_TITLE} SELECT id, 7 AS number, title AS body FROM t UNION ALL SELECT id, 12, 'two' FROM t",

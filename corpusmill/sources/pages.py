@@ -64,6 +64,16 @@ def read_documents(spark: SparkSession, path: str, schema: str, rows: str) -> Da
     return spark.read.schema(schema).json(path, multiLine=True).select(F.inline(rows))
 
 
+def load_pack(spark: SparkSession, path: str, schema: str, needed: bool = False) -> DataFrame:
+    """A pack of JSON rows under an explicit schema; one that isn't there is empty, or an error if it is needed."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return spark.read.schema(schema).json(path)
+    if needed:
+        raise FileNotFoundError(path)
+    return spark.createDataFrame([], schema)
+
+
 def date_spine(spark: SparkSession, start: str, end: str) -> DataFrame:
     """One row per day from start to end, both included; none if end is before start."""
     days = F.when(F.lit(end) >= F.lit(start), F.sequence(F.to_date(F.lit(start)), F.to_date(F.lit(end)), F.expr("INTERVAL 1 DAY")))

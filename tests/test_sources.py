@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.sources import pages as P
@@ -36,6 +37,27 @@ def test_sinks(spark, tmp_path):
     assert json.loads(K.document(df, "id").first()["document"])["count"] == 3
 
 
+def test_documents_and_packs(spark, tmp_path):
+    (tmp_path / "doc.json").write_text(json.dumps({"rows": [{"id": 1, "t": "a"}, {"id": 2}], "count": 2}))
+    assert rows(P.read_documents(spark, str(tmp_path / "doc.json"), "rows array<struct<id:int,t:string>>, count int", "rows")) == [(1, "a"), (2, None)]
+    K.write_rows(spark.createDataFrame([(1, "a")], "id int, t string"), str(tmp_path / "pack"))
+    assert rows(P.load_pack(spark, str(tmp_path / "pack"), "id int, t string")) == [(1, "a")]
+    assert P.load_pack(spark, str(tmp_path / "none"), "id int").count() == 0
+    with pytest.raises(FileNotFoundError):
+        P.load_pack(spark, str(tmp_path / "none"), "id int", needed=True)
+
+
+def test_windowed_counts(spark, tmp_path):
+    src = tmp_path / "w"
+    data = [("2025-01-01 00:01:00", "a"), ("2025-01-01 00:02:00", "a"), ("2025-01-01 00:11:00", "a"), ("2025-01-01 00:01:00", "b")]
+    spark.createDataFrame(data, "t string, k string").select(F.col("t").cast("timestamp").alias("t"), "k").coalesce(1).write.parquet(str(src))
+    stream = spark.readStream.schema("t timestamp, k string").parquet(str(src))
+    q = state.windowed_counts(stream, "t", "k").writeStream.format("memory").queryName("windowed").outputMode("update").start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted((r["k"], r["count"]) for r in spark.table("windowed").collect()) == [("a", 1), ("a", 2), ("b", 1)]
+
+
 def test_date_spine(spark):
     assert P.date_spine(spark, "2025-01-30", "2025-02-02").count() == 4
     assert P.date_spine(spark, "2025-02-02", "2025-01-30").count() == 0
