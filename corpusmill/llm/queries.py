@@ -164,9 +164,28 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p10_shares(spark, sf_dir).where(F.col("share") > spam.SHARE).select("doc_id")
 
 
+def p9_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each capacity, how many documents the packing holds, and whether every container fits."""
+    packed = p9_packing(spark, sf_dir)
+    per = packed.groupBy("capacity_id", "doc_id").agg(F.count("*").alias("pieces"))
+    docs = per.groupBy("capacity_id").agg(F.count("*").alias("documents"))
+    fill = packed.groupBy("capacity_id", "container_id").agg(F.sum("piece_size").alias("fill")).groupBy("capacity_id").agg(F.max("fill").alias("most"))
+    caps = table(spark, sf_dir, "pack_capacities").select("capacity_id", "capacity_tokens")
+    return docs.join(fill, "capacity_id").join(caps, "capacity_id").select("capacity_id", "documents", (F.col("most") <= F.col("capacity_tokens")).alias("fits"))
+
+
+def p8_no_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id of every document, and whether its list of ids is empty: it is for null and empty texts and for no other."""
+    return p8_ids(spark, sf_dir).select("doc_id", (F.size("ids") == 0).alias("empty"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_restored": p1_restored, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_text": p4_text, "p7_found": p7_found, "p6_found": p6_found, "p6_canonical": p6_canonical, "p8_ids": p8_ids, "p9_packing": p9_packing, "p10_found": p10_found, "p10_shares": p10_shares}
+    return {f.__name__: f for f in (p1_found, p1_restored, p2_found, p3_found, p4_found, p4_text, p7_found, p6_found, p6_canonical, p8_ids, p8_no_ids, p9_packing, p9_totals, p10_found, p10_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of what it can express: which documents have no ids, and that the packing holds every document in containers that fit."""
+    return {
+        "p8_no_ids": "SELECT doc_id, coalesce(text, '') = '' AS empty FROM documents",
+        "p9_totals": "SELECT capacity_id, (SELECT count(*) FROM documents) AS documents, true AS fits FROM pack_capacities",
+    }
