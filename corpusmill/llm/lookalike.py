@@ -46,7 +46,6 @@ _TO_CYRILLIC = {b: a for a, b in reversed(list(zip(CYRILLIC, CYRILLIC_AS)))}
 _TO_GREEK = {b: a for a, b in reversed(list(zip(GREEK, GREEK_AS)))}
 # words with their combining marks, which \w leaves out
 _WORD = re.compile(r"\w[\w\u0300-\u036f\u0610-\u061a\u064b-\u065f\u0670]*")
-_PLAIN = re.compile(r"[\x00-\x7f]*\Z")
 
 
 @lru_cache(maxsize=100_000)
@@ -67,18 +66,31 @@ def _look(ch: str) -> str:
     return ch
 
 
+class _Looks(dict):
+    """What each character looks like, found when it is first asked for; a table for str.translate."""
+
+    def __missing__(self, code: int) -> str:
+        got = self[code] = _look(chr(code))
+        return got
+
+
+_LOOKS = _Looks()
+#: Every character without a look: those of the format category lie in these ranges.
+_SILENT = re.compile("[" + "".join(re.escape(chr(c)) for lo, hi in ((0x80, 0x10000), (0x11000, 0x14000), (0x1BC00, 0x1BD00), (0x1D100, 0x1D200), (0xE0000, 0xE0200)) for c in range(lo, hi) if ignorable(chr(c))) + "]")
+
+
 def surface(text: str) -> str:
     """Without ignorables, blanks as one kind, compatibility forms resolved, accents composed."""
-    if _PLAIN.match(text):
+    if text.isascii():
         return text
-    text = "".join(c for c in text if c.isascii() or not ignorable(c))
+    text = _SILENT.sub("", text)
     text = FORMS.sub(lambda m: unicodedata.normalize("NFKC", m.group()), BLANKS.sub(" ", text))
     return unicodedata.normalize("NFC", text)
 
 
 def skeleton(word: str) -> str:
     """The look of a word: every look-alike as the Latin letter."""
-    return unicodedata.normalize("NFC", "".join(_look(c) for c in word))
+    return word if word.isascii() else unicodedata.normalize("NFC", word.translate(_LOOKS))
 
 
 def by_table(look: str) -> str:

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm import lm
-from corpusmill.llm.lookalike import BLANKS, FORMS, _look, ignorable
+from corpusmill.llm.lookalike import _SILENT, BLANKS, FORMS, _look, ignorable
 
 #: Marks that can end a sentence, marks of ellipsis, quotation marks with what closes them.
 ENDS = ".!?。！？؟।۔"
@@ -45,19 +45,34 @@ NEAR = 8
 UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF))
 
 
-def plain(text: str) -> tuple[str, list[int]]:
+class _Plain(dict):
+    """One plain character for each, found when it is first asked for; a table for str.translate."""
+
+    def __missing__(self, code: int) -> str:
+        ch = chr(code)
+        if not ch.isascii() and ch != "…":
+            ch = " " if BLANKS.match(ch) else unicodedata.normalize("NFKC", ch) if FORMS.match(ch) and ch not in "！？：；，。" else _look(ch)
+        got = self[code] = ch[:1] or " "
+        return got
+
+
+_PLAIN = _Plain()
+_MARKS = re.compile("[\u0300-\u036f\u0483-\u0489\u0591-\u05c7\u0610-\u061a\u064b-\u065f\u0670\u06d6-\u06ed\u0711-\u109f\u135d-\u135f\u1712-\u1dff\u20d0-\u20ff\u2cef-\u2dff\u302a-\u302f\u3099\u309a\ua66f-\uabed\ufb1e\ufe20-\ufe2f\U00010000-\U0010ffff]")
+
+
+def plain(text: str) -> tuple[str, Sequence[int]]:
     """The text without ignorables and with look-alikes as one letter each, and the offset of every character kept."""
     if text.isascii():
-        return text, list(range(len(text)))
+        return text, range(len(text))
+    if not _SILENT.search(text) and not _MARKS.search(text):
+        return text.translate(_PLAIN), range(len(text))
     out, at = [], []
     for i, ch in enumerate(text):
         if ch.isascii():
             out.append(ch)
             at.append(i)
         elif not ignorable(ch) and not unicodedata.combining(ch):
-            if ch not in "…":
-                ch = " " if BLANKS.match(ch) else unicodedata.normalize("NFKC", ch) if FORMS.match(ch) and ch not in "！？：；，。" else _look(ch)
-            out.append(ch[:1] or " ")
+            out.append(_PLAIN[ord(ch)])
             at.append(i)
         elif out and unicodedata.combining(ch):
             both = unicodedata.normalize("NFC", out[-1] + ch)
@@ -456,7 +471,7 @@ class Splitter:
             out.append(self._kept(texts[k], offsets, self.chain(flat, leads, found)))
         return out
 
-    def _kept(self, text: str, at: list[int], starts: list[int]) -> list[int]:
+    def _kept(self, text: str, at: Sequence[int], starts: list[int]) -> list[int]:
         out = []
         for s in starts:
             k = at[s]
