@@ -111,12 +111,14 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusmill.llm.garble import is_garbled
 
     nodes, loc = table(spark, sf_dir, "catechism_nodes"), table(spark, sf_dir, "localized_nodes")
-    left = align.first_rows(nodes, ["id"]).withColumnRenamed("text", "node_text").where("node_text IS NOT NULL")
-    right = align.first_rows(loc, ["id", "lang"]).withColumnRenamed("text", "loc_text").where("loc_text IS NOT NULL")
-    right = right.where(~is_garbled(F.col("loc_text"), *_garble_model(spark, sf_dir)))
-    pairs = materialize(spread(left.join(right, "id").select("id", "lang", "node_text", "loc_text"), scan=False))
+    right = align.first_rows(loc, ["id", "lang"]).where("text IS NOT NULL AND lang IS NOT NULL")
+    asked = F.col("text").rlike(_BEYOND)
+    right = materialize(right.where(~asked).unionByName(spread(right.where(asked), scan=False).where(~is_garbled(F.col("text"), *_garble_model(spark, sf_dir)))))
+    left = align.first_rows(nodes, ["id"]).where("text IS NOT NULL").join(right.select("id").distinct(), "id", "left_semi")
     splitter = sentences.train(_node_texts(spark, sf_dir))
-    units = materialize(align.prepared(spread(pairs), splitter))
+    e = align.prepared(spread(left, scan=False), ["id"], "e", splitter)
+    f = align.prepared(spread(right), ["id", "lang"], "f", splitter)
+    units = materialize(spread(e.join(f, "id"), scan=False))
     return align.found(units, align.train(materialize(align.beads(units))))
 
 

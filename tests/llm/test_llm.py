@@ -368,6 +368,29 @@ def test_boundaries_without_marks(held_out, lang, kept, recall, precision):
     assert want > 30 and both >= recall * want and both >= precision * got
 
 
+def test_length_alignment_against_all_ways():
+    """The cheapest beads of pairs of several shapes filled together, against a search of every way."""
+    rng = np.random.default_rng(2)
+    pairs = [(rng.integers(3, 90, n).astype(float), rng.integers(3, 90, m).astype(float)) for n, m in [(0, 0), (0, 2), (3, 0), (1, 1), (2, 1), (4, 3), (4, 3), (5, 6)]]
+
+    def cheapest(a, b):
+        ratio = (b.sum() or 1.0) / (a.sum() or 1.0)
+        memo: dict = {(0, 0): 0.0}
+        for i in range(len(a) + 1):
+            for j in range(len(b) + 1):
+                ways = [memo[i, j]] if (i, j) == (0, 0) else []
+                for di, dj, fix in align.MOVES:
+                    if i >= di and j >= dj and (di or dj):
+                        x, y = a[i - di : i].sum(), b[j - dj : j].sum()
+                        ways.append(memo[i - di, j - dj] + fix + (abs(np.log((y + 4) / (x * ratio + 4))) * 3 if di and dj else 0))
+                memo[i, j] = min(ways)
+        return memo[len(a), len(b)]
+
+    for (a, b), found in zip(pairs, align.by_length_all(pairs)):
+        assert abs(sum(c for *_, c in found) - cheapest(a, b)) < 1e-9
+        assert [x for i, i2, _, _, _ in found for x in range(i, i2)] == list(range(len(a))) and [x for _, _, j, j2, _ in found for x in range(j, j2)] == list(range(len(b)))
+
+
 def test_alignment_of_made_translations(spark):
     """EM on made sentences with a known dictionary: swapped, merged and left-out units are found."""
     rng = random.Random(6)
@@ -377,9 +400,16 @@ def test_alignment_of_made_translations(spark):
     left = lambda s: "The %s %s the %s." % tuple(w.translate(str.maketrans("01234567", "abcdefgh")) for w in s)
     right = lambda s: "Le %s %s le %s." % tuple(word(w.translate(str.maketrans("01234567", "abcdefgh"))) for w in s)
     docs = [[sent() for _ in range(4)] for _ in range(250)]
-    hashed = lambda us: [[align.word_hash(w) for w in align.words(u)] for u in us]
+    def hashed(us):
+        h = [[align.word_hash(w) for w in align.words(u)] for u in us]
+        return np.array([len(x) for x in h], dtype=np.int32), np.array([w for x in h for w in x], dtype=np.int64)
+
+    def side(us):
+        return np.array([align.size(u) for u in us]).tobytes(), *(x.tobytes() for x in hashed(us))
+
     both = [([left(s) for s in d], [right(s) for s in d]) for d in docs]
-    df = spark.createDataFrame([("fr", [align.size(u) for u in e], [align.size(u) for u in f], hashed(e), hashed(f)) for e, f in both], "lang string, e_sizes array<double>, f_sizes array<double>, e_words array<array<bigint>>, f_words array<array<bigint>>")
+    names = [f"{n}_{f} binary" for n in "ef" for f in ("sizes", "counts", "words")]
+    df = spark.createDataFrame([("fr", *map(bytearray, side(e)), *map(bytearray, side(f))) for e, f in both], "lang string, " + ", ".join(names))
     lex = align.train(align.beads(df).cache())
     aligned = lambda e, f: align.align(lex, "fr", hashed(e), hashed(f))
     d = docs[0] = [(subj[k], verb[k], obj[k]) for k in range(4)]
