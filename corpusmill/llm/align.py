@@ -266,10 +266,16 @@ def train(found: DataFrame) -> Lexicon:
             for lo in range(0, len(some), 100_000):
                 yield pd.DataFrame({"bucket": some[lo : lo + 100_000], "n": new[some[lo : lo + 100_000]]})
 
-        got = found.mapInPandas(part, "bucket int, n double").groupBy("bucket").agg(F.sum("n").cast("float").alias("n")).toPandas()
+        def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                yield pd.DataFrame({"at": [b["bucket"].to_numpy(dtype=np.int32).tobytes()], "n": [b["n"].to_numpy(dtype=np.float32).tobytes()]})
+
+        # to the driver as bytes, a row for each batch: at most the table
+        sums = found.mapInPandas(part, "bucket int, n double").groupBy("bucket").agg(F.sum("n").cast("float").alias("n"))
         flat = np.zeros(3 * size_, dtype=np.float32)
-        flat[got["bucket"].to_numpy(dtype=np.int64)] = got["n"].to_numpy()
-        shared.unpersist()
+        for r in sums.mapInPandas(packed, "at binary, n binary").collect():
+            flat[np.frombuffer(r["at"], dtype=np.int32)] = np.frombuffer(r["n"], dtype=np.float32)
+        shared.destroy()
         return flat[:size_], flat[size_ : 2 * size_], flat[2 * size_ :]
 
     table = None
