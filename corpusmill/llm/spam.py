@@ -42,7 +42,6 @@ UNUSUAL = 0.07
 _URL = re.compile(r"(?:https?://|www\.)\S+|<a\s[^>]*>[^<]*</a>|\[[^\]]*\]\([^)]*\)|\b[\w-]+\.(?:example|invalid|test|com|net|org|info|biz|shop)\b\S*", re.I)
 _SHOP = re.compile(r"★|☆|\[(?:cart|add|\+|>>)\]|\bSKU\b|#\w|(?<![\w.,])\(\d+[.,]\d\d\)|\b\d+ ?(?:cm|mm|kg|pcs)\b|[€$£]\s?\d|[^\W\d]-\d{1,3}(?!\d)", re.I)
 _REFERENCE = re.compile(r"\d+\s?[–-]\s?\d+|\.{3,}\s*\d+\s*$|\bpp?\.\s?\d|^\s*\[\d+\]|^\s*§?\s*\d+[.)]\s|\b1[5-9]\d\d\b|§\s?\d")
-_END = re.compile(r"[.!?。！？؟…][”»“\"」』)）]*\s*$")
 _SENTENCE = re.compile(r"(?<=[.!?؟])[”»“\"」』)）]*\s+(?=[^\Wa-z\d_]|[¿¡“«„\"(])|(?<=[。！？])[」』）]*")
 _LABEL = re.compile(r"^\s*(?:tags?|keywords?|sku|mots[- ]clés|etiquetas|schlagwörter|標籤)\s*:?\s*", re.I)
 _SPLITS = (re.compile(r"\s*;\s*"), re.compile(r"\s*[•·]\s*"), re.compile(r"\s*\|\s*"), re.compile(r"\s+[-–]\s+"), re.compile(r"\s*[,、，]\s*"), re.compile(r"\s+(?=#)"), re.compile(r"\s{2,}"))
@@ -57,12 +56,13 @@ class Piece:
     __slots__ = ("text", "low", "links", "words", "n", "ended", "again", "_shop", "_reference")
 
     def __init__(self, text: str):
-        self.text, self.low = text, text.strip().lower()
-        plain, self.links = _URL.subn(" ", text) if _MAY_LINK.search(text) else (text, 0)
-        self.words = [w.lower() for w in _WORDS.findall(plain)]
+        low = text.lower()
+        self.text, self.low = text, low.strip()
+        plain, self.links = _URL.subn(" ", low) if _MAY_LINK.search(low) else (low, 0)
+        self.words = _WORDS.findall(plain)
         han = 0 if plain.isascii() else sum(len(w) == 1 and w >= "\u2e80" and lm.is_han(w) for w in self.words)
         self.n = self.links + len(self.words) - han + (han + 1) // 2
-        self.ended = bool(_END.search(text)) and self.n > 1
+        self.ended = _ended(text) and self.n > 1
         self.again = _top(self.words)
         self._shop = self._reference = None
 
@@ -88,7 +88,16 @@ class Piece:
 
 
 _known: dict[str, Piece] = {}
-_MAY_LINK = re.compile(r"[.<\]/]")
+#: What every link holds; a cheap test before the pattern itself.
+_MAY_LINK = re.compile(r"://|www\.|<a\s|\]\(|\.(?:example|invalid|test|com|net|org|info|biz|shop)\b")
+
+
+def _ended(text: str) -> bool:
+    """Whether the text ends with a mark of the sentence, closing marks after it passed over."""
+    return text.rstrip().rstrip("”»“\"」』)")[-1:] in _ENDS
+
+
+_ENDS = tuple(".!?。！？؟…")
 
 
 def piece(text: str) -> Piece:
@@ -130,7 +139,7 @@ def pieces(text: str) -> list[str]:
         sentences = [s for s in _SENTENCE.split(line) if s.strip()]
         for s in sentences:
             words = s.split()
-            if len(words) > 14 and not _END.search(s) and len(re.findall(r"[,;:，；]", s)) < len(words) / 8:
+            if len(words) > 14 and not _ended(s) and len(re.findall(r"[,;:，；]", s)) < len(words) / 8:
                 # a long run without marks: by twos, as keys would lie
                 out += [" ".join(words[k : k + 2]) for k in range(0, len(words), 2)]
             else:
