@@ -8,8 +8,11 @@ from pyspark.sql import Window as W
 
 from corpusmill.functions.text import clean_text, document_label, expand_numbers, strip_bidi
 
-#: Bounds of paragraph numbers.
+#: Bounds of paragraph numbers; how a paragraph begins, with a mark after its number and without; a note in parentheses.
 FIRST_ID, LAST_ID = 1, 2865
+DELIMITED = r"^(?:[-–]\s*)?(\d{1,4})[.)]\s*(.*)$"
+SPACED = r"^(?:[-–]\s*)?(\d{1,4})\s+(.+)$"
+NOTE = r"\(([^()]{1,260})\)"
 
 
 def lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -37,8 +40,7 @@ def paragraph_start(c: Column, lo: int = FIRST_ID, hi: int = LAST_ID, noise: boo
     t = strip_bidi(c)
     if noise:
         t = F.regexp_replace(t, r"^[^\d\-–]{0,6}(?=[\-–]?\d{1,4})", "")
-    delimited = r"^(?:[-–]\s*)?(\d{1,4})[.)]\s*(.*)$"
-    spaced = r"^(?:[-–]\s*)?(\d{1,4})\s+(.+)$"
+    delimited, spaced = DELIMITED, SPACED
     with_mark = t.rlike(delimited)
     n = F.when(with_mark, F.regexp_extract(t, delimited, 1)).otherwise(F.regexp_extract(t, spaced, 1)).try_cast("int")
     rest = clean_text(F.when(with_mark, F.regexp_extract(t, delimited, 2)).otherwise(F.regexp_extract(t, spaced, 2)))
@@ -137,7 +139,7 @@ def inline_notes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     A note yields a reference if one of its segments holds a letter and is more than a comparison.
     """
-    found = F.regexp_extract_all(F.col(text_col), F.lit(r"\(([^()]{1,260})\)"), F.lit(1))
+    found = F.regexp_extract_all(F.col(text_col), F.lit(NOTE), F.lit(1))
     parts = lambda x: F.split(F.regexp_replace(x, COMPARE, "\u0001$0"), "[;\u0001]")
     yields = lambda x: F.exists(parts(x), lambda p: document_label(p).rlike("(?i)[a-z]") & ~document_label(p).rlike(COMPARE_ONLY))
     kept = F.filter(F.transform(found, clean_text), lambda x: x.rlike(r"\d") & yields(x))

@@ -9,6 +9,7 @@ from corpusmill.functions import text as T
 from corpusmill.operators import graph as G
 from corpusmill.operators import html as H
 from corpusmill.operators import joins as J
+from corpusmill.operators import ordered as O
 from corpusmill.operators import segment as S
 from corpusmill.operators.dedupe import append_unique, keep_first
 from corpusmill.operators.hierarchy import normal_segment
@@ -186,6 +187,18 @@ def src_sections(spark, d):
     return keep_first(a.unionByName(b), ["document", "lang", "id"], ["page"]).groupBy("document", "lang").agg(F.count("*").alias("sections"), F.min("page").alias("first_page"))
 
 
+def src_page_lookup(spark, d):
+    """SRC-22, JOIN-07: the node of each page: of English ones by the title, of others by ordinal, the k-th page of a language for the k-th node."""
+    p = table(spark, d, "source_pages").where("content IS NOT NULL AND lang IS NOT NULL")
+    p = p.select("page_id", "lang", T.label_key(F.regexp_extract("content", r"(?i)<title>([^|<]*?)\s*[|<-]", 1)).alias("k"))
+    n = nodes(spark, d, "title")
+    titles = n.where("title IS NOT NULL").groupBy(T.label_key(F.col("title")).alias("k")).agg(F.min("id").alias("id"))
+    by_title = p.where("lang = 'en' AND k <> ''").join(titles, "k").select("page_id", "id", F.lit("title").alias("how"))
+    order = O.with_position(p.where("lang <> 'en'").select("page_id", "lang"), ["page_id"], "ord", ["lang"])
+    by_place = order.join(O.with_position(n.select("id"), ["id"], "ord"), "ord").select("page_id", "id", F.lit("place").alias("how"))
+    return by_title.unionByName(by_place)
+
+
 def ext_sections(spark, d):
     """EXT-07: numbered sections of a document: up to its notes or the first number that decreases, the last of a number counts."""
     n = nodes(spark, d, "title").where("title IS NOT NULL")
@@ -248,7 +261,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         prj_variants, agg_outline, prj_colours, prj_tooltip, prj_view, srt_collated, set_difference, set_split, set_append_unique, scl_labels, scl_escapes, scl_links, src_variant_language,
-        src_filtered_crawl, src_sections, prj_payload, prj_subtitles, ext_absolute, ext_sections, ext_cut_paragraphs, ext_canons, ext_first_table,
+        src_filtered_crawl, src_sections, prj_payload, prj_subtitles, ext_absolute, src_page_lookup, ext_sections, ext_cut_paragraphs, ext_canons, ext_first_table,
     )
 }
 
@@ -265,6 +278,7 @@ def _tone(s: str, x: str, a: str) -> str:
     return f"'hsl(' || {_R.format('(h + 360) % 360')} || ' ' || {_R.format(s)} || '% ' || {_R.format(x)} || '%{' / ' + a if a else ''})'"
 
 
+_KEY = "trim(regexp_replace(regexp_replace(lower({0}), '\\bthe\\b', '', 'g'), '[^a-z0-9]+', ' ', 'g'))"
 _SUBTITLE = "lower(trim(regexp_replace(regexp_replace(regexp_replace(coalesce({0}, ''), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'), '[.,;:!?''\"“”‘’«»()\\[\\]{{}}-]', '', 'g')))"
 _TITLE = f"WITH {N}, t AS (SELECT id, title FROM n WHERE title IS NOT NULL)"
 _CLEANED = f"WITH {N}, t AS (SELECT id, {CLEAN.format('title')} AS title FROM n WHERE title IS NOT NULL)"
@@ -284,6 +298,7 @@ SQL = {
     "src_variant_language": "SELECT 'https://hortus.example/doc-' || id AS stem, lang AS language, 'https://hortus.example/doc-' || id || '_' || CASE lang WHEN 'es' THEN 'sp' WHEN 'la' THEN 'xx' WHEN 'zh' THEN 'zh-t' ELSE lang END || '.html' AS url FROM localized_nodes WHERE lang IS NOT NULL AND row_id % 11 <> 0 GROUP BY id, lang",
     "src_filtered_crawl": "WITH RECURSIVE r AS (SELECT 1 AS id UNION SELECT target FROM r JOIN catechism_edges ON source = r.id WHERE target % 10 <> 0) SELECT id::int AS id FROM r",
     "src_sections": f"WITH {N}, a AS (SELECT 'base' AS document, 'en' AS lang, id, row_id AS page FROM n WHERE text IS NOT NULL UNION ALL SELECT 'pack', lang, id, row_id FROM localized_nodes WHERE text IS NOT NULL AND lang IS NOT NULL) SELECT document, lang, count(DISTINCT id) AS sections, min(page) AS first_page FROM a GROUP BY document, lang",
+    "src_page_lookup": f"WITH {N}, p AS (SELECT page_id, lang, {_KEY.format(CLEAN.format('x'))} AS k FROM (SELECT page_id, lang, regexp_extract(content, '(?i)<title>([^|<]*?)\\s*[|<-]', 1) AS x FROM source_pages WHERE content IS NOT NULL AND lang IS NOT NULL)), t AS (SELECT {_KEY.format(CLEAN.format('title'))} AS k, min(id) AS id FROM n WHERE title IS NOT NULL GROUP BY 1), o AS (SELECT page_id, row_number() OVER (PARTITION BY lang ORDER BY page_id) AS r FROM p WHERE lang <> 'en'), m AS (SELECT id, row_number() OVER (ORDER BY id) AS r FROM n) SELECT page_id, id, 'title' AS how FROM p JOIN t USING (k) WHERE lang = 'en' AND k <> '' UNION ALL SELECT page_id, id, 'place' FROM o JOIN m USING (r)",
     "prj_payload": f"WITH {N} SELECT id, to_json({{'id': id, 'title': title, 'part': part, 'source': {{'file': vatican_source.file, 'url': vatican_source.url}}, 'stats': {{'xrefs': len(xrefs), 'incoming': len(incoming)}}}})::varchar AS doc FROM n",
     "prj_subtitles": f"WITH k AS (SELECT row_id, title, preview, {_SUBTITLE.format('preview')} AS p, {_SUBTITLE.format('text')} AS t, {_SUBTITLE.format('title')} AS h FROM localized_nodes) SELECT row_id, CASE WHEN upper(trim(regexp_replace(coalesce(title, ''), '\\s+', ' ', 'g'))) = 'IN BRIEF' THEN 'Summary' WHEN p <> '' AND p <> t AND p <> h THEN trim(preview) END AS subtitle FROM k",
     "ext_absolute": r'''SELECT page_id, len(regexp_extract_all(content, 'href="#')) AS inner_links, md5(replace(regexp_replace(content, '(?i)\sstyle\s*=\s*"[^"]*"', '', 'g'), 'href="#', 'href="' || url || '#')) AS hash FROM source_pages WHERE content IS NOT NULL AND url IS NOT NULL''',
