@@ -234,19 +234,38 @@ def canonical(text: Column, words: list[dict[str, float]]) -> Column:
     return out
 
 
-def alike_pairs(rows: DataFrame, words: list[dict[str, float]], group: list[str], id_col: str = "row_id", text_col: str = "text") -> DataFrame:
-    """Pairs of rows of one group whose texts look the same but aren't: group, row_id_a, row_id_b with row_id_a < row_id_b.
-
-    Rows with a null text or id are in no pair; equal texts are none. The join is on the group and a hash of the form, so
-    only rows that look alike meet, and the texts themselves aren't shuffled: two hashes of 64 bits stand for each.
-    """
+def _keyed(rows: DataFrame, words: list[dict[str, float]], group: list[str], id_col: str, text_col: str) -> DataFrame:
+    """group, rid, two hashes of the form and two of the text of each row with a text and an id; written once."""
     form = canonical(F.col(text_col), words)
     keyed = (
         rows.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
         .select(*group, F.col(id_col).alias("rid"), F.col(text_col).alias("raw"), form.alias("form"))
         .select(*group, "rid", F.xxhash64("form").alias("f1"), F.crc32("form").alias("f2"), F.xxhash64("raw").alias("r1"), F.crc32("raw").alias("r2"))
     )
-    keyed = materialize(keyed)  # five numbers a row, read three times below
+    return materialize(keyed)  # five numbers a row, read several times
+
+
+def alike_classes(rows: DataFrame, words: list[dict[str, float]], group: list[str], id_col: str = "row_id", text_col: str = "text") -> DataFrame:
+    """group, row_id, class_id and links of each row whose text looks like another's of its group but isn't the same.
+
+    The class is named by its smallest id; links counts the rows of the class with other characters, so copies aren't expanded
+    into pairs. Rows with a null text or id are in no class.
+    """
+    keyed = _keyed(rows, words, group, id_col, text_col)
+    key = [*group, "f1", "f2"]
+    classes = keyed.groupBy(*key).agg(F.min("rid").alias("class_id"), F.count("*").alias("n"))
+    same = keyed.groupBy(*key, "r1", "r2").agg(F.count("*").alias("m"))
+    links = same.join(classes, key).where("n > m").select(*key, "r1", "r2", "class_id", (F.col("n") - F.col("m")).alias("links"))
+    return keyed.join(links, [*key, "r1", "r2"]).select(*group, F.col("rid").alias(id_col), "class_id", "links")
+
+
+def alike_pairs(rows: DataFrame, words: list[dict[str, float]], group: list[str], id_col: str = "row_id", text_col: str = "text") -> DataFrame:
+    """Pairs of rows of one group whose texts look the same but aren't: group, row_id_a, row_id_b with row_id_a < row_id_b.
+
+    Rows with a null text or id are in no pair; equal texts are none. The join is on the group and a hash of the form, so
+    only rows that look alike meet, and the texts themselves aren't shuffled: two hashes of 64 bits stand for each.
+    """
+    keyed = _keyed(rows, words, group, id_col, text_col)
     # a look with one spelling only can't give a pair: found by aggregation first, so that crowds of exact copies aren't joined
     key = [*group, "f1", "f2"]
     several = keyed.groupBy(*key).agg(F.min("r1").alias("lo"), F.max("r1").alias("hi"), F.min("r2").alias("lo2"), F.max("r2").alias("hi2"))

@@ -40,6 +40,14 @@ def p6_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.select("rec_kind", "row_id", canonical(F.col("text"), spellings(nodes)).alias("form"))
 
 
+def p6_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row that looks like another of its id (and language) in other characters, with its class and how many it looks like."""
+    from corpusmill.llm.lookalike import alike_classes, spellings
+
+    nodes = _node_texts(spark, sf_dir)
+    return alike_classes(nodes, spellings(nodes), ["rec_kind", "id", "lang"]).select("rec_kind", "row_id", "class_id", "links")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of rows of one id (and language) whose texts look the same but differ in their characters."""
     from corpusmill.llm.lookalike import alike_pairs, spellings
@@ -182,7 +190,7 @@ def p8_no_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_restored, p2_found, p3_found, p4_found, p4_text, p7_found, p6_found, p6_canonical, p8_ids, p8_no_ids, p9_packing, p9_totals, p10_found, p10_shares)}
+    return {f.__name__: f for f in (p1_found, p1_restored, p2_found, p3_found, p4_found, p4_text, p7_found, p6_found, p6_classes, p6_canonical, p8_ids, p8_no_ids, p9_packing, p9_totals, p10_found, p10_shares)}
 
 
 def oracle_sql() -> dict[str, str]:

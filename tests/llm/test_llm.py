@@ -289,6 +289,9 @@ def test_alike_pairs(spark):
     got = rows(lookalike.alike_pairs(df, [{"lamp": 1.0}], ["id"]))
     assert got == [(1, 1, 2), (1, 1, 3), (1, 2, 4), (1, 3, 4)]
     assert lookalike.alike_pairs(df.limit(0), [], ["id"]).count() == 0
+    # one row for each with its class, instead of the pairs
+    assert rows(lookalike.alike_classes(df, [{"lamp": 1.0}], ["id"])) == [(1, 1, 1, 2), (1, 2, 1, 2), (1, 3, 1, 2), (1, 4, 1, 2)]
+    assert lookalike.alike_classes(df.limit(0), [], ["id"]).count() == 0
 
 
 @pytest.fixture(scope="module")
