@@ -36,7 +36,7 @@ BRACKETS = {"(": ")", "（": "）", "[": "]"}
 LINE_END = 0.12
 #: Texts of each kind (with and without characters of scripts that have no blanks) to which the model of unmarked places is
 #: fitted, and the longest of them; size of its table; passes; highest odds that it may give.
-SAMPLE, SAMPLE_CHARS, BITS, EPOCHS, HIGHEST = 8000, 4000, 18, 8, 6.0
+SAMPLE, SAMPLE_CHARS, BITS, EPOCHS, HIGHEST = 8000, 800, 18, 8, 6.0
 #: Styles: share of boundaries without a mark, and how usual each style is.
 STYLES = ((1e-4, 0.98), (0.5, 0.01), (0.98, 0.01))
 #: Characters since the last boundary up to which the chain tells how long ago it was.
