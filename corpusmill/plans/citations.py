@@ -28,6 +28,15 @@ def _books(spark, d):
     return C.book_aliases(table(spark, d, "external_sources"))
 
 
+def _scripture_pattern(spark, d):
+    """The pattern of the books' names; the list is counted, as the pattern goes to every worker."""
+    books = _books(spark, d).select("alias")
+    n = books.count()
+    if n > 20_000:
+        raise ValueError(f"{n} names of books; a pattern may have 20000")
+    return C.scripture_pattern(sorted(r["alias"] for r in books.collect()))
+
+
 def _queries(spark, d):
     return C.scripture_queries(_labels(spark, d).where("kind = 'scripture'"), _books(spark, d), "ref_key", "label")
 
@@ -40,8 +49,7 @@ def _verses(spark, d):
 
 def cit_classify(spark, d):
     """SCL-13: scripture or document, by the books' names that a label begins with."""
-    names = sorted({r["alias"] for r in _books(spark, d).limit(5000).collect()})
-    return _labels(spark, d).select("ref_key", F.when(document_label(F.col("label")).rlike(C.scripture_pattern(names)), "scripture").otherwise("document").alias("kind"))
+    return _labels(spark, d).select("ref_key", F.when(document_label(F.col("label")).rlike(_scripture_pattern(spark, d)), "scripture").otherwise("document").alias("kind"))
 
 
 def cit_scripture(spark, d):
@@ -126,8 +134,7 @@ def cit_number_ranges(spark, d):
 
 def ext_references(spark, d):
     """EXT-23: references of the footnotes with ids note:kind:n; segments that only continue are joined to the document before."""
-    names = sorted({r["alias"] for r in _books(spark, d).limit(5000).collect()})
-    return S.references(S.note_segments(table(spark, d, "footnotes"), "note_key", "text"), "note_key", F.col("label").rlike(C.scripture_pattern(names)))
+    return S.references(S.note_segments(table(spark, d, "footnotes"), "note_key", "text"), "note_key", F.col("label").rlike(_scripture_pattern(spark, d)))
 
 
 def hier_segments(spark, d):
