@@ -75,8 +75,12 @@ class _Looks(dict):
 
 
 _LOOKS = _Looks()
-#: Every character without a look: those of the format category lie in these ranges.
-_SILENT = re.compile("[" + "".join(re.escape(chr(c)) for lo, hi in ((0x80, 0x10000), (0x11000, 0x14000), (0x1BC00, 0x1BD00), (0x1D100, 0x1D200), (0xE0000, 0xE0200)) for c in range(lo, hi) if ignorable(chr(c))) + "]")
+#: Ranges of the format category; with SILENT, every character without a look.
+FORMAT = (
+    (0xAD, 0xAD), (0x600, 0x605), (0x61C, 0x61C), (0x6DD, 0x6DD), (0x70F, 0x70F), (0x890, 0x891), (0x8E2, 0x8E2), (0x180E, 0x180E), (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x2064), (0x2066, 0x206F),
+    (0xFEFF, 0xFEFF), (0xFFF9, 0xFFFB), (0x110BD, 0x110BD), (0x110CD, 0x110CD), (0x13430, 0x1343F), (0x1BCA0, 0x1BCA3), (0x1D173, 0x1D17A), (0xE0001, 0xE0001), (0xE0020, 0xE007F),
+)
+_SILENT = re.compile("[" + "".join(f"{chr(lo)}-{chr(hi)}" for lo, hi in FORMAT) + "".join(map(chr, sorted(SILENT))) + "]")
 
 
 def surface(text: str) -> str:
